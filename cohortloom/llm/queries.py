@@ -7,10 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import leakage, tokenizer
+from cohortloom.llm import leakage, quality, readability, splitter, tokenizer, vectors
 from cohortloom.session import table
 
 
+NOTES = splitter.SplitRule(600, 75, "words")
+SPANS = splitter.SplitRule(120, 20, "characters")
+
+
+def p3_grades(spark: SparkSession, d: str) -> DataFrame:
+    return readability.reading_grade(table(spark, d, "export_mhh_psychotic"), "note_id", "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return readability.demanding_texts(table(spark, d, "export_mhh_psychotic"), "note_id", "text")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    notes = splitter.split_column(table(spark, d, "export_mhh_psychotic").select("note_id", "text").distinct(), "note_id", "text", NOTES)
+    spans = table(spark, d, "psych_history_llm_input").select("classifier_row_id", "evidence_span").distinct()
+    spans = splitter.split_column(spans, "classifier_row_id", "evidence_span", SPANS)
+    parts = [
+        x.select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("item_key"), "n_pieces", "piece", "begin", "n_units", "piece_text")
+        for x, name, key in (
+            (notes, "export_mhh_psychotic", "note_id"),
+            (spans, "psych_history_llm_input", "classifier_row_id"),
+        )
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where("piece = 0 and n_pieces > 1").select("source_table", "item_key").distinct()
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.nearest(table(spark, d, "mhh_psychotic_matching_variables"), "hadm_id", "embedding")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.nearest_pairs(table(spark, d, "mhh_psychotic_matching_variables"), "hadm_id", "embedding")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -19,7 +57,23 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_grades": p3_grades,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
