@@ -77,3 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
+
+#: SQL where it can express a query.
+SQL: dict[str, str] = {}
