@@ -111,7 +111,7 @@ def _search(events: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if mask not in lists:
             lists[mask] = [name for name in names if mask >> bit[name] & 1]
         out.append(lists[mask])
-    return pd.DataFrame({"event": events["event"], "attributes": out})
+    return events[["event"]].assign(attributes=pd.Series(out, index=events.index, dtype=object))
 
 
 def as_known(
