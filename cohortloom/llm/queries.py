@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import leakage, quality, readability, splitter, tokenizer, vectors
+from cohortloom.llm import canonical, leakage, quality, readability, splitter, tokenizer, vectors
 from cohortloom.session import table
 
 
@@ -15,6 +15,17 @@ NOTES = splitter.SplitRule(600, 75, "words")
 SPANS = splitter.SplitRule(120, 20, "characters")
 
 
+def p2_entries(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "matched_pairs").select("pair_id", "mhh_chief_complaint_normalized").distinct()
+    pairs = pairs.where(F.regexp_replace("mhh_chief_complaint_normalized", r"(?U)\s+", "") != "")
+    found = canonical.map_to_list(pairs, "mhh_chief_complaint_normalized", table(spark, d, "complaint_reference"))
+    return pairs.join(found, "mhh_chief_complaint_normalized").select("pair_id", F.coalesce("ref_id", F.lit(-1)).cast("long").alias("ref_id"), "jaccard")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_entries(spark, d).select("pair_id", "ref_id").distinct()
+
+
 def p3_grades(spark: SparkSession, d: str) -> DataFrame:
     return readability.reading_grade(table(spark, d, "export_mhh_psychotic"), "note_id", "text")
 
@@ -66,6 +77,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_entries": p2_entries,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_grades": p3_grades,
     "p5_found": p5_found,
