@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import canonical, leakage, quality, readability, splitter, tokenizer, vectors
+from cohortloom.llm import canonical, clusters, leakage, quality, readability, splitter, tokenizer, vectors
 from cohortloom.session import table
 
 
@@ -15,6 +15,20 @@ NOTES = splitter.SplitRule(600, 75, "words")
 SPANS = splitter.SplitRule(120, 20, "characters")
 
 
+def _stories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "chief_complaint_cluster_qc_output").select("hadm_id", "chief_complaint_normalized")
+    return clusters.cluster_stories(rows, "hadm_id", "chief_complaint_normalized", table(spark, d, "complaint_reference")), rows
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    found, rows = _stories(spark, d)
+    return clusters.describe_clusters(found, rows, "hadm_id", "chief_complaint_normalized")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.same_cluster_pairs(_stories(spark, d)[0], "hadm_id")
+
+
 def p2_entries(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "matched_pairs").select("pair_id", "mhh_chief_complaint_normalized").distinct()
     pairs = pairs.where(F.regexp_replace("mhh_chief_complaint_normalized", r"(?U)\s+", "") != "")
@@ -77,6 +91,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_clusters": p1_clusters,
+    "p1_found": p1_found,
     "p2_entries": p2_entries,
     "p2_found": p2_found,
     "p3_found": p3_found,

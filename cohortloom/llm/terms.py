@@ -16,8 +16,8 @@ from cohortloom.session import materialize
 #: Abbreviations of hand-typed complaints.
 ABBREVIATIONS = {
     "abd": "abdomen", "absc": "abscess", "ams": "confusion", "bldg": "bleeding", "bx": "biopsy", "cst": "chest",
-    "disloc": "dislocation", "fngr": "finger", "ftg": "fatigue", "fx": "fracture", "ha": "headache", "htn": "hypertension",
-    "infxn": "infection", "kn": "knee", "lac": "laceration", "nk": "neck", "numb": "numbness", "rect": "rectum",
+    "disloc": "dislocation", "fngr": "finger", "ftg": "fatigue", "fvr": "fever", "fx": "fracture", "ha": "headache", "htn": "hypertension",
+    "infxn": "infection", "inj": "injury", "kn": "knee", "lac": "laceration", "loc": "syncope", "nk": "neck", "numb": "numbness", "rect": "rectum",
     "shldr": "shoulder", "sob": "dyspnea", "swlg": "swelling", "thrt": "throat", "wkns": "weakness", "p": "post",
     "w": "with", "c": "with", "s": "since", "bilat": "bilateral", "lt": "left", "rt": "right", "n": "nausea", "v": "vomiting", "d": "diarrhea",
 }
@@ -27,11 +27,13 @@ LINKS = frozenset("a an and at for in of on or the this to".split())
 
 @dataclass(frozen=True)
 class SpellRule:
-    """A word counts as misspelt if one that is `ratio` times as frequent is within `near` edits (within
-    `far` from far_length letters on); a word of the list counts as frequent as the list's words on
-    average at least. Candidates share at least `likeness` of their letters and letter pairs."""
+    """A word counts as misspelt if one that is `ratio` times as frequent is within `near` edits, or, from
+    far_length letters on, one that is far_ratio times as frequent within `far`; a word of the list
+    counts as frequent as the list's words on average at least. Candidates share at least `likeness`
+    of their letters and letter pairs."""
 
     ratio: float = 4.0
+    far_ratio: float = 64.0
     likeness: float = 0.35
     near: int = 1
     far: int = 2
@@ -103,6 +105,7 @@ def spelling(counts: DataFrame, known: DataFrame, rule: SpellRule = SpellRule())
 
     near = F.when(F.length("left_id") >= rule.far_length, rule.far).otherwise(rule.near)
     pairs = pairs.withColumn("edits", far("left_id", "right_id")).where(F.col("edits") <= near)
+    pairs = pairs.where(f"edits <= {rule.near} or weight >= {rule.far_ratio} * own")
     best = F.min_by("right_id", F.struct("edits", -F.col("n"), -F.col("jaccard"), "right_id"))
     return pairs.groupBy(F.col("left_id").alias("word")).agg(best.alias("right"))
 
