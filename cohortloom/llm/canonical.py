@@ -20,7 +20,7 @@ def wordings(values: DataFrame, text: str, reference: DataFrame, key: str, prefe
     each = values.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).distinct()
     each = materialize(each.withColumn("words", terms.lookup(terms.words(F.col("text")), terms.ABBREVIATIONS)).where("size(words) > 0"))
     counts = each.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    right = materialize(terms.spelling(counts, known))
+    right = materialize(terms.spelling(counts, known, each.count()))
     return terms.correct(each, "text", "words", right), names, terms.synonyms(names)
 
 

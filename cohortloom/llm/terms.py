@@ -29,11 +29,13 @@ LINKS = frozenset("a an and at for in of on or the this to".split())
 class SpellRule:
     """A word counts as misspelt if one that is `ratio` times as frequent is within `near` edits, or, from
     far_length letters on, one that is far_ratio times as frequent within `far`; a word of the list
-    counts as frequent as the list's words on average at least. Candidates share at least `likeness`
-    of their letters and letter pairs."""
+    counts as frequent as the list's words on average at least. Right words are those of the list and
+    those in `share` of the texts and more, which aren't changed by more than `near` edits; candidates
+    share at least `likeness` of their letters and letter pairs."""
 
     ratio: float = 4.0
-    far_ratio: float = 64.0
+    far_ratio: float = 12.0
+    share: float = 0.0005
     likeness: float = 0.35
     near: int = 1
     far: int = 2
@@ -79,10 +81,10 @@ def letters(word: Column) -> Column:
     return F.array_distinct(F.concat(single, pairs))
 
 
-def spelling(counts: DataFrame, known: DataFrame, rule: SpellRule = SpellRule()) -> DataFrame:
+def spelling(counts: DataFrame, known: DataFrame, texts: int, rule: SpellRule = SpellRule()) -> DataFrame:
     """word, right: what misspelt words stand for.
 
-    counts: word, n of the texts. known: word of the list, which are never misspelt. Candidates come
+    counts: word, n of so many texts. known: word of the list, which are never misspelt. Candidates come
     from the set-similarity join over letters and letter pairs; the fewest edits count, then the
     larger likeness, frequency and the first in the alphabet.
     """
@@ -92,7 +94,8 @@ def spelling(counts: DataFrame, known: DataFrame, rule: SpellRule = SpellRule())
     every = every.where(F.length("word") >= 2).withColumn("weight", F.when(F.col("listed"), F.greatest("n", usual)).otherwise(F.col("n")))
     every = materialize(every.withColumn("items", letters(F.col("word"))))
     asked = every.where("not listed").select(F.col("word").alias("left_id"), F.col("items"))
-    offered = every.where(f"weight >= {rule.ratio}").select(F.col("word").alias("right_id"), F.col("items"))
+    enough = max(rule.ratio, rule.share * texts)
+    offered = every.where(f"listed or n >= {enough}").select(F.col("word").alias("right_id"), F.col("items"))
     pairs = best_matches(asked, offered, rule.likeness, keep=None)
     size = every.select(F.col("word").alias("left_id"), F.col("n").alias("own"))
     other = every.select(F.col("word").alias("right_id"), "n", "weight")
@@ -104,8 +107,11 @@ def spelling(counts: DataFrame, known: DataFrame, rule: SpellRule = SpellRule())
         return pd.Series([edits(x, y, rule.far) for x, y in zip(a, b)], dtype="int32")
 
     near = F.when(F.length("left_id") >= rule.far_length, rule.far).otherwise(rule.near)
+    # a swap is two plain edits, so plain edits, counted in the JVM, rule out nearly all
+    pairs = pairs.where((F.abs(F.length("left_id") - F.length("right_id")) <= near) & (F.levenshtein("left_id", "right_id") <= 2 * near))
+    pairs = pairs.repartition(counts.sparkSession.sparkContext.defaultParallelism, "left_id")
     pairs = pairs.withColumn("edits", far("left_id", "right_id")).where(F.col("edits") <= near)
-    pairs = pairs.where(f"edits <= {rule.near} or weight >= {rule.far_ratio} * own")
+    pairs = pairs.where(f"edits <= {rule.near} or (own < {enough} and weight >= {rule.far_ratio} * own)")
     best = F.min_by("right_id", F.struct("edits", -F.col("n"), -F.col("jaccard"), "right_id"))
     return pairs.groupBy(F.col("left_id").alias("word")).agg(best.alias("right"))
 
