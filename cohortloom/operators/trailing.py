@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.known import micros
+from cohortloom.session import materialize
 
 _BLOCK = 512
 _DAY = 86_400_000_000
@@ -26,20 +27,26 @@ def daily_totals(events: DataFrame, entity: str, event: str, time: str) -> DataF
     return each.distinct().groupBy("entity", "day").agg(F.count("*").alias("n"))
 
 
-def rolling_calendar(events: DataFrame, entity: str, event: str, time: str, periods: tuple[int, ...] = (7, 30, 365)) -> DataFrame:
+def rolling_calendar(
+    events: DataFrame, entity: str, event: str, time: str, periods: tuple[int, ...] = (7, 30, 365), task_rows: int = 4_000_000
+) -> DataFrame:
     """entity, day (date), n_<p>d and mean_<p>d for each period, for every day from an entity's first to its last event.
 
     A period of p days ends with the day itself. Events are counted once each, whatever repeats;
-    rows with a null entity, event or time don't count; no events give no rows.
+    rows with a null entity, event or time don't count; no events give no rows. task_rows: exploded
+    rows that a task sums, from which the number of tasks follows.
     """
-    daily = daily_totals(events, entity, event, time)
+    daily = materialize(daily_totals(events, entity, event, time))
     span = daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     reach = max(periods) - 1
     upto = F.least(F.col("day") + reach, F.col("last"))
     seeds = daily.join(span, "entity").select("entity", F.col("day").alias("begin"), upto.alias("end"), "n")
     seeds = seeds.unionByName(span.select("entity", F.col("first").alias("begin"), F.col("last").alias("end"), F.lit(0).cast("long").alias("n")))
     block = F.explode(F.sequence(F.floor(F.col("begin") / _BLOCK), F.floor(F.col("end") / _BLOCK)))
-    placed = seeds.withColumn("block", block).repartition("entity", "block")
+    seeds = materialize(seeds)
+    rows = seeds.agg(F.sum(F.col("end") - F.col("begin") + 1)).first()[0] or 0
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-int(rows) // task_rows))
+    placed = seeds.withColumn("block", block).repartition(tasks, "entity", "block")  # few bytes that grow: the number is set by rows
     low = F.greatest(F.col("begin").cast("long"), F.col("block") * _BLOCK)
     high = F.least(F.col("end").cast("long"), F.col("block") * _BLOCK + _BLOCK - 1)
     dated = placed.withColumn("day", F.explode(F.sequence(low, high)))
