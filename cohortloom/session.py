@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,23 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     return builder.config(map=settings).getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each application, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="cohortloom-")) / "cohortloom.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, os.path.join(root.name, file.relative_to(root)))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One Parquet table of a directory."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
