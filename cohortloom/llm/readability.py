@@ -27,7 +27,7 @@ _FIELD = re.compile(r"\S:\s{1,}\S.*:\s{1,}\S|_{3,}\s*$")
 _ENDED = re.compile(r"[.!?…][\"'”’)\]]*$")
 #: Endings and beginnings that change the number of vowel groups a reader hears.
 _SILENT = re.compile(r"(?:[^aeiouyl]e|[aeiouy]le|[^td]ed|[^aeiouycgsxz]es)$")
-_SPLIT = re.compile(r"ia(?!l\b|n\b)|i(?:o(?!us|n)|um|us)|eo|ua|uo(?!us)|[aeo]ing|yi|[aeiou]{3}|^(?:re|pre|co)[aeiou]|ism$|[^aeiouy]le$")
+_SPLIT = re.compile(r"ia(?!l\b|n\b)|i(?:o(?!us|n)|um|us)|eo|ua|uo(?!us)|[aeo]ing|yi|[aeiou]{3}|^(?:re|pre|co)[aeiou]|ism$")
 _VOWELS = re.compile(r"[aeiouyàáâäèéêëìíîïòóôöùúûüœæ]+")
 
 

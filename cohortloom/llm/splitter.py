@@ -82,7 +82,7 @@ def split(text: str | None, rule: SplitRule) -> list[tuple[int, int]]:
         return [(0, len(text))]
     places = [[m.start() for m in level.finditer(text)] for level in _LEVELS]
     cores = _pack(0, len(text), 0, places, ruler, rule.limit - rule.overlap)
-    if len(cores) > 1 and ruler.size(*cores[0]) < rule.overlap:
+    while len(cores) > 1 and ruler.size(*cores[0]) < rule.overlap:
         cores[:2] = [(cores[0][0], cores[1][1])]  # still within the limit, and now long enough to be shared
     return [(ruler.back(begin, rule.overlap) if begin else 0, end) for begin, end in cores]
 

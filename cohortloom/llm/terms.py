@@ -29,7 +29,7 @@ LINKS = frozenset("a an and at for in of on or the this to".split())
 class SpellRule:
     """A word counts as misspelt if one that is `ratio` times as frequent is within `near` edits, or, from
     far_length letters on, one that is far_ratio times as frequent within `far`; a word of the list
-    counts as frequent as the list's words on average at least. Right words are those of the list and
+    counts as frequent as the list's words on average, and as `ratio`, at least. Right words are those of the list and
     those in `share` of the texts and more, which aren't changed by more than `near` edits; candidates
     share at least `likeness` of their letters and letter pairs."""
 
@@ -91,7 +91,7 @@ def spelling(counts: DataFrame, known: DataFrame, texts: int, rule: SpellRule =
     listed = known.select("word").distinct().withColumn("listed", F.lit(True))
     every = materialize(counts).join(listed, "word", "full").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("listed", F.lit(False)).alias("listed"))
     usual = F.lit(every.where("listed").agg(F.avg("n")).first()[0] or 0.0)
-    every = every.where(F.length("word") >= 2).withColumn("weight", F.when(F.col("listed"), F.greatest("n", usual)).otherwise(F.col("n")))
+    every = every.where(F.length("word") >= 2).withColumn("weight", F.when(F.col("listed"), F.greatest("n", usual, F.lit(rule.ratio))).otherwise(F.col("n")))
     every = materialize(every.withColumn("items", letters(F.col("word"))))
     asked = every.where("not listed").select(F.col("word").alias("left_id"), F.col("items"))
     enough = max(rule.ratio, rule.share * texts)

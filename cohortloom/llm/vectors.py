@@ -184,8 +184,9 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, rule: IndexRule =
     return (
         members.select("k", "class")
         .join(listed, "class")
-        .select(F.col("k").alias(key), F.posexplode(F.slice(others, 1, k)).alias("at", "x"))
-        .select(key, F.col("x.neighbour").alias("neighbour"), F.col("x.similarity").alias("similarity"), (F.col("at") + 1).alias("rank"))
+        .withColumn("others", F.slice(others, 1, k))
+        .select("k", F.posexplode("others").alias("at", "x"))
+        .select(F.col("k").alias(key), F.col("x.neighbour").alias("neighbour"), F.col("x.similarity").alias("similarity"), (F.col("at") + 1).alias("rank"))
     )
 
 
