@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortloom.functions import values as vl
-from cohortloom.operators import combine, history, matching, stats
+from cohortloom.operators import combine, history, matching, models, stats
 from cohortloom.operators import summarise as sm
 from cohortloom.plans import roles
-from cohortloom.session import table
+from cohortloom.session import checkpoint_root, table
+from cohortloom.streaming import lookback
 
 MEASURES = ["elixhauser_score", "hospital_los_days", "n_labevents", "n_orders", "prior_admissions_365d"]
 
@@ -181,7 +184,41 @@ def regression_grid(spark, d):
     return stats.fit_grid(rows, models, {"no_prior": "prior_admissions_365d = 0"})
 
 
+def cluster_summaries(spark, d):
+    return models.cluster_summary(table(spark, d, "chief_complaint_cluster_qc_output").distinct(), "bert_cluster", "cohort", "subject_id")
+
+
+def cluster_pair_agreement(spark, d):
+    rows = table(spark, d, "chief_complaint_cluster_qc_output").select("pair_id", "cohort", "bert_cluster").distinct()
+    return models.pair_agreement(rows, "pair_id", "cohort", "bert_cluster")
+
+
+def phrase_clusters(spark, d):
+    rows = table(spark, d, "chief_complaint_cluster_qc_output").select("hadm_id", "chief_complaint_normalized").distinct()
+    return models.phrase_clusters(rows, "hadm_id", "chief_complaint_normalized", 20)
+
+
+def classified_sections(spark, d):
+    """UDF-02, JSN-01 to JSN-04: a client's JSON answers read into labels."""
+    rows = table(spark, d, "psych_history_llm_input").select("classifier_row_id", "section_text").distinct()
+    told = models.classify(rows, "classifier_row_id", "section_text", models.keyword_client)
+    label = vl.enum_or(vl.json_field(F.col("answer"), "label"), ["positive", "unclear", "negative"], "unclear")
+    return told.select("classifier_row_id", label.alias("label"))
+
+
+def streamed_daily_counts(spark, d):
+    """A stream over the events' files, run to its end, in the windows of the streaming module."""
+    path = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = lookback.windowed_counts(rows, "ts", "event_type", "1 day", "1 day")
+    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.parquet(path).select("event_type", F.to_date("begin").alias("day"), "n")
+
+
 _QUERIES = [
+    streamed_daily_counts, cluster_summaries, cluster_pair_agreement, phrase_clusters, classified_sections,
     cohort_numeric_summary, cohort_categorical_balance, overall_beside_groups, admissions_per_subject_hist, interval_buckets, age_bin_cut_all_bins,
     matched_pair_smd, stacked_pairs, topn_codes_per_group, event_counts_zero_filled, label_crosstab, pivot_rates, collapsed_insurance, insurance_category,
     share_of_group, adjusted_p_values, label_agreement_outer, resume_missing_rows, key_differences, preferred_source_merge, last_written_rows,
@@ -220,6 +257,15 @@ select a.hadm_id, coalesce({" + ".join(stats.COMORBIDITY)}, 0)::bigint as n_grou
 
 
 SQL = {
+    "streamed_daily_counts": "select event_type, ts::date as day, count(*) as n from events group by 1, 2",
+    "cluster_summaries": """with q as (select distinct * from chief_complaint_cluster_qc_output) select bert_cluster, count(*) as n_rows,
+  count(distinct subject_id) as n_subjects, count(distinct cohort) as n_cohorts, (bert_cluster = -1)::int as is_noise from q group by 1""",
+    "cluster_pair_agreement": """with q as (select distinct pair_id, cohort, bert_cluster from chief_complaint_cluster_qc_output),
+w as (select pair_id, count(distinct cohort) as roles, min(bert_cluster) as low, max(bert_cluster) as high from q group by 1)
+select count(*) as n_pairs, count(*) filter (where low = high and low <> -1) as n_same, count(*) filter (where low = -1) as n_with_noise
+from w where roles = 2 and low is not null""",
+    "classified_sections": """select distinct classifier_row_id, case when section_text is null then 'unclear' when regexp_matches(lower(section_text), 'psych|mania') then 'positive'
+  when contains(lower(section_text), 'mood') then 'unclear' else 'negative' end as label from psych_history_llm_input""",
     "cohort_numeric_summary": f"""with {_U}, l as ({_UNPIVOTED})
 select cohort, measure, count(*) as n, avg(x) as mean, stddev_samp(x) as sd, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3,
   quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr, min(x) as min, max(x) as max, count(*) filter (where x > 0) as n_positive,
