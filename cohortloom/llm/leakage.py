@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.session import materialize
+from cohortloom.session import materialize, spread
 
 _WORD = re.compile(r"[^\W_]+")
 _LINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­]\s*\n\s*(?=[^\W\d_])")
@@ -291,7 +291,7 @@ def _aligned(docs, held, doc, text, item, kind, rule) -> DataFrame:
 
     counts = T.StructType([T.StructField(name, T.IntegerType()) for name in ("sentence", "words", "own", "total", "length")])
     schema = T.StructType([docs.schema[doc], T.StructField(item, kind), T.StructField("parts", T.ArrayType(counts))])
-    return docs.select(doc, text).mapInArrow(search, schema)
+    return spread(docs.select(doc, text)).mapInArrow(search, schema)
 
 
 def _without_stock(aligned: DataFrame, doc: str, item: str, limit: float, rule: LeakRule) -> DataFrame:

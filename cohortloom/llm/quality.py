@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cohortloom.session import spread
+
 #: Frequent function words of some European languages.
 COMMON_WORDS = frozenset(
     """
@@ -187,7 +189,7 @@ FIELDS = [
 
 
 def text_statistics(df: DataFrame, key: str, text: str, rule: ProseRule = ProseRule()) -> DataFrame:
-    """key and the statistics of every row's whole text; no shuffle.
+    """key and the statistics of every row's whole text, spread over all cores if the input is small.
 
     Null, empty and blank texts count no words and have null in the other columns; repeated rows
     stay; columns other than key and text are not read.
@@ -201,7 +203,7 @@ def text_statistics(df: DataFrame, key: str, text: str, rule: ProseRule = ProseR
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, *(name for name, _, _ in FIELDS)])
 
     schema = T.StructType([df.schema[key], *(T.StructField(name, kind) for name, kind, _ in FIELDS)])
-    return df.select(key, text).mapInArrow(measure, schema)
+    return spread(df.select(key, text)).mapInArrow(measure, schema)
 
 
 def not_prose(df: DataFrame, key: str, text: str, rule: ProseRule = ProseRule()) -> DataFrame:

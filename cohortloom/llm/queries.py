@@ -108,4 +108,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL where it can express a query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": r"""
+select distinct 'export_mhh_psychotic' as source_table, note_id as item_key from export_mhh_psychotic where len(regexp_extract_all(text, '[^ \t\r\n]+')) > 600
+union select distinct 'psych_history_llm_input', classifier_row_id::varchar from psych_history_llm_input where length(evidence_span) > 120
+""",
+    "p6_found": """
+with e as (select hadm_id as h, min(embedding) as v from mhh_psychotic_matching_variables where embedding is not null group by 1),
+u as (select h, v::double[] as v from e where list_inner_product(v::double[], v::double[]) > 0),
+s as (select a.h as a, b.h as b, row_number() over (partition by a.h order by round(list_cosine_similarity(a.v, b.v), 9) desc, b.h) as r
+  from u a join u b on a.h <> b.h)
+select distinct least(a, b) as hadm_id_a, greatest(a, b) as hadm_id_b from s where r <= 5
+""",
+}

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cohortloom.session import spread
+
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:['’\-.,][^\W_]+)*")
 _END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*(?=\s|$)")
@@ -114,7 +116,7 @@ def grade(text: str | None, rule: GradeRule = GradeRule()) -> tuple[int, int, fl
 
 
 def reading_grade(df: DataFrame, key: str, text: str, rule: GradeRule = GradeRule()) -> DataFrame:
-    """key, n_sentences, n_words and grade of every row's whole text; no shuffle.
+    """key, n_sentences, n_words and grade of every row's whole text, spread over all cores if the input is small.
 
     Null, empty and prose-less texts have no sentences and a null grade; repeated rows stay; columns
     other than key and text are not read.
@@ -128,7 +130,7 @@ def reading_grade(df: DataFrame, key: str, text: str, rule: GradeRule = GradeRul
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, "n_sentences", "n_words", "grade"])
 
     schema = T.StructType([df.schema[key]]).add("n_sentences", "long").add("n_words", "long").add("grade", "double")
-    return df.select(key, text).mapInArrow(measure, schema)
+    return spread(df.select(key, text)).mapInArrow(measure, schema)
 
 
 def demanding_texts(df: DataFrame, key: str, text: str, rule: GradeRule = GradeRule()) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cohortloom.session import spread
+
 #: Places before which a node of each level can begin, from the coarsest level to the finest.
 _LEVELS = [
     re.compile(r"(?:(?<=\n)|(?<=\r)(?!\n))(?=[ \t]*(?:#{1,6} |[^\s.!?:][^.!?:\r\n]{0,60}:[ \t]*(?:\r|\n|$)))"),  # headings
@@ -113,7 +115,7 @@ def _pack(begin: int, end: int, level: int, places: list[list[int]], ruler: _Rul
 def split_column(df: DataFrame, key: str, text: str, rule: SplitRule) -> DataFrame:
     """key, n_pieces, piece (from 0), begin (its first code point in the text), n_units and text of every piece.
 
-    Every row's whole text is covered and rows stay where they are. Null and empty texts have no
+    Every row's whole text is covered. Null and empty texts have no
     piece, repeated rows repeat theirs, and columns other than key and text are not read.
     """
 
@@ -141,4 +143,4 @@ def split_column(df: DataFrame, key: str, text: str, rule: SplitRule) -> DataFra
     schema = T.StructType([df.schema[key]])
     for name in ("n_pieces", "piece", "begin", "n_units"):
         schema = schema.add(name, "long")
-    return df.select(key, text).mapInArrow(cut, schema.add("piece_text", "string"))
+    return spread(df.select(key, text)).mapInArrow(cut, schema.add("piece_text", "string"))

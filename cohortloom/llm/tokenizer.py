@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cohortloom.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: White space as the vocabulary's pre-tokenizer means it (Unicode White_Space; the separators 1c-1f are not in it).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -193,7 +195,7 @@ def encoder(path: str = VOCABULARY) -> Encoder:
 
 
 def encode_column(df: DataFrame, key: str, text: str, path: str = VOCABULARY, ids: str = "ids") -> DataFrame:
-    """key and the list of ids of every row's whole text; no shuffle.
+    """key and the list of ids of every row's whole text, spread over all cores if the input is small.
 
     Null and empty texts give an empty list; repeated rows stay; other columns are not read.
     """
@@ -210,7 +212,7 @@ def encode_column(df: DataFrame, key: str, text: str, path: str = VOCABULARY, id
                 yield pa.RecordBatch.from_arrays([part.column(0), column], names=[key, ids])
 
     schema = T.StructType([df.schema[key], T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.select(key, text).mapInArrow(encode, schema)
+    return spread(df.select(key, text)).mapInArrow(encode, schema)
 
 
 def decode_column(df: DataFrame, key: str, ids: str, path: str = VOCABULARY, text: str = "text") -> DataFrame:
