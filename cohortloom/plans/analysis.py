@@ -24,8 +24,13 @@ def _variables(spark, d):
     return table(spark, d, "mhh_psychotic_matching_variables").drop("embedding").distinct()
 
 
+def _rounded(df, digits=7):
+    """Sums in another order differ in the last digits; more than what the data have is kept."""
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
 def cohort_numeric_summary(spark, d):
-    return sm.describe_numbers(_utilisation(spark, d), "cohort", MEASURES)
+    return _rounded(sm.describe_numbers(_utilisation(spark, d), "cohort", MEASURES))
 
 
 def cohort_categorical_balance(spark, d):
@@ -53,7 +58,7 @@ def age_bin_cut_all_bins(spark, d):
 
 def matched_pair_smd(spark, d):
     roles_ = combine.stacked_roles(table(spark, d, "matched_pairs").distinct(), {"mhh_": "case", "mhc0_": "control"}, ["pair_id"])
-    return sm.standardised_difference(roles_, "role", ("case", "control"), ["age_at_admission", "elixhauser_score"])
+    return _rounded(sm.standardised_difference(roles_, "role", ("case", "control"), ["age_at_admission", "elixhauser_score"]))
 
 
 def stacked_pairs(spark, d):
@@ -267,9 +272,10 @@ from w where roles = 2 and low is not null""",
     "classified_sections": """select distinct classifier_row_id, case when section_text is null then 'unclear' when regexp_matches(lower(section_text), 'psych|mania') then 'positive'
   when contains(lower(section_text), 'mood') then 'unclear' else 'negative' end as label from psych_history_llm_input""",
     "cohort_numeric_summary": f"""with {_U}, l as ({_UNPIVOTED})
-select cohort, measure, count(*) as n, avg(x) as mean, stddev_samp(x) as sd, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3,
-  quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr, min(x) as min, max(x) as max, count(*) filter (where x > 0) as n_positive,
-  100.0::double * count(*) filter (where x > 0) / count(*) as pct_positive from l where x is not null group by 1, 2""",
+select cohort, measure, count(*) as n, round(avg(x), 7) as mean, round(stddev_samp(x), 7) as sd, round(quantile_cont(x, 0.5), 7) as median,
+  round(quantile_cont(x, 0.25), 7) as q1, round(quantile_cont(x, 0.75), 7) as q3, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 7) as iqr,
+  round(min(x), 7) as min, round(max(x), 7) as max, count(*) filter (where x > 0) as n_positive,
+  round(100.0::double * count(*) filter (where x > 0) / count(*), 7) as pct_positive from l where x is not null group by 1, 2""",
     "cohort_categorical_balance": f"""with {_V}, l as (select cohort, 'sex' as variable, sex as level from v union all select cohort, 'insurance_group', insurance_group from v
   union all select cohort, 'chief_complaint_normalized', chief_complaint_normalized from v),
 c as (select cohort, variable, case when trim(coalesce(level, '')) = '' then 'missing' else level end as level, count(*) as n from l group by 1, 2, 3)
@@ -287,7 +293,7 @@ k as (select * from h where x is not null), """
   union all select role, 'elixhauser_score', elixhauser_score from s),
 m as (select measure, avg(x) filter (where role = 'case') as mean_1, avg(x) filter (where role = 'control') as mean_2,
   sqrt((var_samp(x) filter (where role = 'case') + var_samp(x) filter (where role = 'control')) / 2) as sd from l group by 1)
-select measure, mean_1, mean_2, case when sd > 0 then (mean_1 - mean_2) / sd end as smd from m""",
+select measure, round(mean_1, 7) as mean_1, round(mean_2, 7) as mean_2, case when sd > 0 then round((mean_1 - mean_2) / sd, 7) end as smd from m""",
     "stacked_pairs": f"with {_P}, {_STACK} select pair_id, role, subject_id, hadm_id, age_bin from s",
     "topn_codes_per_group": _WITH
     + """, c as (select icd_version, icd_code, count(distinct hadm_id) as n_admissions from diagnoses group by 1, 2),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import text as tx
 from cohortloom.functions import values as vl
-from cohortloom.session import table
+from cohortloom.session import spread, table
 
 
 def _notes(spark, d):
@@ -17,14 +17,14 @@ def _notes(spark, d):
 def keyword_density(spark, d):
     counts = tx.keyword_counts(F.col("text"))
     words = tx.pattern_count(F.col("text"), r"[^\s]+")
-    rows = table(spark, d, "documents").select("doc_id", words.alias("n_words"), *[c.alias(g) for g, c in counts.items()])
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", words.alias("n_words"), *[c.alias(g) for g, c in counts.items()])
     hits = sum((F.col(g) for g in counts), F.lit(0)).cast("long")
     return rows.withColumn("n_hits", hits).withColumn("hits_per_1000_words", F.when(F.col("n_words") > 0, 1000.0 * hits / F.col("n_words")).otherwise(0.0))
 
 
 def keyword_group_explode(spark, d):
     counts = tx.keyword_counts(F.col("text"))
-    rows = table(spark, d, "documents").select("doc_id", *[c.alias(g) for g, c in counts.items()])
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[c.alias(g) for g, c in counts.items()])
     long = rows.unpivot(["doc_id"], list(counts), "keyword_group", "hits").where("hits > 0")
     return long.groupBy("keyword_group").agg(F.sum("hits").alias("n_hits"), F.count("*").alias("n_documents"))
 
@@ -53,11 +53,11 @@ def chunk_windows(spark, d):
 
 
 def readability_metrics(spark, d):
-    return tx.complexity(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    return tx.complexity(spread(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "text")
 
 
 def bigram_counts(spark, d):
-    return tx.ngram_frequencies(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").where("n_documents >= 2")
+    return tx.ngram_frequencies(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").where("n_documents >= 2")
 
 
 def token_phrase_flags(spark, d):

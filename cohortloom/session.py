@@ -51,6 +51,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it has fewer partitions than there are cores.
+
+    For work that takes long for each row. Only inputs of fewer splits than cores, so small ones,
+    are moved; anything larger stays as it was read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -27,7 +27,7 @@ def plain(value):
         return str([plain(v) for v in value])
     if isinstance(value, bool) or not hasattr(value, "__float__"):
         return str(value)
-    return repr(round(float(value), 6) + 0.0)
+    return repr(round(float(value), 7) + 0.0)
 
 
 def rows(columns, data):
