@@ -22,6 +22,11 @@ def keyword_density(spark, d):
     return rows.withColumn("n_hits", hits).withColumn("hits_per_1000_words", F.when(F.col("n_words") > 0, 1000.0 * hits / F.col("n_words")).otherwise(0.0))
 
 
+def stigma_counts(spark, d):
+    counts = tx.keyword_counts(F.col("text"), tx.STIGMA)
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[c.alias(f"n_{g}") for g, c in counts.items()])
+
+
 def keyword_group_explode(spark, d):
     counts = tx.keyword_counts(F.col("text"))
     rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[c.alias(g) for g, c in counts.items()])
@@ -114,7 +119,7 @@ def keyword_prefilter(spark, d):
 
 
 _QUERIES = [
-    keyword_density, keyword_group_explode, note_sections, section_length_profile, chief_complaints, text_normalise, chunk_windows, readability_metrics,
+    keyword_density, stigma_counts, keyword_group_explode, note_sections, section_length_profile, chief_complaints, text_normalise, chunk_windows, readability_metrics,
     bigram_counts, token_phrase_flags, confused_in_section, missed_headings, parent_phrases, term_pairs, shared_terms, json_props, json_recovered, keyword_prefilter,
 ]
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -124,8 +129,8 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _hits(column: str, group: str) -> str:
-    return " + ".join(rf"len(regexp_extract_all({column}, {_quoted(rf'(?i)\b{p}\b')}))" for p in tx.KEYWORDS[group])
+def _hits(column: str, group: str, groups: dict[str, list[str]] = tx.KEYWORDS) -> str:
+    return " + ".join(rf"len(regexp_extract_all({column}, {_quoted(rf'(?i)\b{p}\b')}))" for p in groups[group])
 
 
 _COUNTS = ", ".join(f"coalesce({_hits('text', g)}, 0)::bigint as {g}" for g in tx.KEYWORDS)
@@ -168,6 +173,7 @@ _TERMS = "list_filter(list_transform(string_split(coalesce({}, ''), '|'), lambda
 _WORD = r"'[A-Za-z]+(?:[-''][A-Za-z]+)?'"
 
 SQL = {
+    "stigma_counts": "select doc_id, " + ", ".join(f"coalesce({_hits('text', g, tx.STIGMA)}, 0)::bigint as n_{g}" for g in tx.STIGMA) + " from documents",
     "keyword_density": rf"""
 with c as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\s]+')), 0)::bigint as n_words, {_COUNTS} from documents)
 select *, ({_SUM})::bigint as n_hits, case when n_words > 0 then 1000.0::double * ({_SUM}) / n_words else 0 end as hits_per_1000_words from c""",
