@@ -7,10 +7,11 @@ extended to both sides over altered, added and lost words; the aligned words dec
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +39,11 @@ class LeakRule:
     may fall within an alignment. least_share: aligned among the passage's words of weight 1 there
     (texts merely of the passages' style have the template's words but not these). least_seeds:
     words of weight 1 in the common fingerprints of a document and an item, below which they aren't aligned.
-    stock_share, stock_count: a sentence of the passages that more documents hold than this share of
-    all and this number is a stock sentence; its words don't count.
+    stock_held, stock_contexts, stock_lone, stock_near: a sentence is held where this share of its words
+    is aligned, and held alone where no sentence beside it in a passage has stock_near aligned words. It is
+    a stock sentence, whose words don't count, if it stands alone in more than stock_contexts different
+    contexts (stock_near * 3 words to both sides; copies have one), or in two if several passages
+    have it between other sentences, and alone in at least stock_lone of all its contexts.
     block_words: words of passages held by a task at once; more are searched in further blocks.
     """
 
@@ -54,8 +58,10 @@ class LeakRule:
     template_share: float = 0.05
     template_count: int = 4
     template_weight: float = 0.3
-    stock_share: float = 0.002
-    stock_count: int = 8
+    stock_held: float = 0.9
+    stock_contexts: int = 8
+    stock_lone: float = 0.5
+    stock_near: int = 3
     block_words: int = 2_000_000
 
 
@@ -94,6 +100,11 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return chosen
 
 
+def _digest(words: Iterable[str]) -> int:
+    """A number for some words, the same in every task."""
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class _Words(dict):
     """Numbers of the passages' words; every other word is 0."""
 
@@ -108,6 +119,8 @@ class _Index:
         self.rule = rule
         self.vocabulary: dict[str, int] = _Words()
         self.items = []
+        self.orders: list[list[int]] = []  # the sentences of each passage
+        self.lengths: list[list[int]] = []  # their words
         places = defaultdict(list)
         rng = np.random.default_rng(7)
         number = self.vocabulary
@@ -131,22 +144,28 @@ class _Index:
             hashes = _mix(self.codes[ids], rule.k)
             for at in np.flatnonzero(winnow(hashes, rule.window)).tolist():
                 places[int(hashes[at])].append((len(self.items), at, content[at + rule.k] - content[at]))
-            self.items.append((item, ids.tolist(), weights, content, sentences))
+            starts = [j == 0 or sentences[j] != sentences[j - 1] for j in range(len(words))]
+            self.orders.append([x for x, start in zip(sentences, starts) if start])
+            self.lengths.append(np.diff([*np.flatnonzero(starts), len(words)]).tolist())
+            self.items.append((item, ids.tolist(), weights, content, sentences, (np.cumsum(starts) - 1).tolist()))
         self.known = np.array(sorted(places), dtype=np.uint64)
         listed = [places[int(x)] for x in self.known]
         self.begins = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int64)
         self.postings = np.array([x for part in listed for x in part], dtype=np.int64).reshape(-1, 3)
 
-    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
-        """(row, item, parts) of the alignments in a batch of texts that are long enough.
+    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, bool, list[tuple]]]:
+        """(row, item, enough, parts) of the alignments in a batch of texts that are long enough or hold a sentence.
 
         parts: for each sentence of the passage that the alignment touches, its number, aligned
-        words, those of weight 1, and all its words of weight 1 in the aligned stretch.
+        words, those of weight 1, all its words of weight 1 in the aligned stretch, and if it is held
+        and the passage has others beside it, its place among them, its context in the text and
+        whether it stands alone there.
         """
         rule, number = self.rule, self.vocabulary.__getitem__
-        rows, starts, flat = [], [0], []
+        rows, read, starts, flat = [], [], [0], []
         for text in texts:
-            ids = list(map(number, words_of(text)))
+            read.append(words_of(text))
+            ids = list(map(number, read[-1]))
             rows.append(ids)
             flat += ids
             flat += [0] * rule.k
@@ -175,12 +194,33 @@ class _Index:
             at_row, item = divmod(int(keys[j]), len(self.items))
             own = order[first[j] : ends[j]]
             seeds = zip((found[every[own]] - begin[at_row]).tolist(), posting[own, 1].tolist())
-            for parts in self._alignments(rows[at_row], self.items[item], list(seeds)):
-                out.append((at_row, self.items[item][0], parts))
+            found_here = self._alignments(rows[at_row], item, list(seeds))
+            touched: dict[int, int] = defaultdict(int)
+            for _, parts in found_here:
+                for place, (_, words, *_) in parts.items():
+                    touched[place] = max(touched[place], words)
+            for enough, parts in found_here:
+                told = [self._told(read[at_row], item, place, part, touched) for place, part in parts.items()]
+                if enough or any(x[4] is not None for x in told):
+                    out.append((at_row, self.items[item][0], enough, told))
         return out
 
-    def _alignments(self, text: list[int], item: tuple, seeds: list[tuple[int, int]]) -> list[list[tuple]]:
-        rule, (_, passage, weights, content, sentences) = self.rule, item
+    def _told(self, words: list[str], item: int, place: int, part: list[int], touched: dict[int, int]) -> tuple:
+        """A part as leaks() gives it. place: which of the passage's sentences it is."""
+        rule, order = self.rule, self.orders[item]
+        number, aligned, own, total, low, high = part
+        if len(order) < 2 or aligned < rule.stock_held * self.lengths[item][place]:
+            return (number, aligned, own, total, None, None, None)
+        wide = 3 * rule.stock_near
+        beside = [order[j] if 0 <= j < len(order) else None for j in (place - 1, place + 1)]
+        context = _digest([*words[max(0, low - wide) : low], "|", *words[high + 1 : high + 1 + wide]])
+        alone = all(touched.get(j, 0) < rule.stock_near for j in (place - 1, place + 1))
+        return (number, aligned, own, total, _digest(map(str, beside)), context, alone)
+
+    def _alignments(self, text: list[int], item_at: int, seeds: list[tuple[int, int]]) -> list[tuple[bool, dict[int, list[int]]]]:
+        """Whether each alignment is long enough, and by place of a sentence its number, counts and first and last place in the text."""
+        rule, (_, passage, weights, content, sentences, places) = self.rule, self.items[item_at]
+        shortest = rule.stock_held * min(self.lengths[item_at])
         reached: list[tuple[int, int, int]] = []
         out = []
         for at, on in sorted(seeds):
@@ -189,27 +229,31 @@ class _Index:
             ahead, high, last = self._walk(text, passage, weights, at + rule.k, on + rule.k, 1)
             behind, low, first = self._walk(text, passage, weights, at - 1, on - 1, -1)
             reached.append((low, high, at - on))
-            aligned = [*behind, *range(on, on + rule.k), *ahead]
-            own = sum(weights[j] >= 1 for j in aligned)
-            if len(aligned) >= rule.least_words and own >= max(rule.least_content, rule.least_share * (content[last] - content[first + 1])):
-                parts: dict[int, list[int]] = {}
-                for j in range(first + 1, last):
-                    parts.setdefault(sentences[j], [0, 0, 0])[2] += weights[j] >= 1
-                for j in aligned:
-                    parts[sentences[j]][0] += 1
-                    parts[sentences[j]][1] += weights[j] >= 1
-                out.append([(number, *counts) for number, counts in parts.items()])
+            aligned = [*behind, *((on + j, at + j) for j in range(rule.k)), *ahead]
+            if len(aligned) < min(rule.least_words, shortest):
+                continue
+            own = sum(weights[j] >= 1 for j, _ in aligned)
+            enough = len(aligned) >= rule.least_words and own >= max(rule.least_content, rule.least_share * (content[last] - content[first + 1]))
+            parts: dict[int, list[int]] = {}
+            for j in range(first + 1, last):
+                parts.setdefault(places[j], [sentences[j], 0, 0, 0, len(text), -1])[3] += weights[j] >= 1
+            for j, there in aligned:
+                part = parts[places[j]]
+                part[1] += 1
+                part[2] += weights[j] >= 1
+                part[4], part[5] = min(part[4], there), max(part[5], there)
+            out.append((enough, parts))
         return out
 
-    def _walk(self, text, passage, weights, at, on, step) -> tuple[list[int], int, int]:
-        """The best stretch in one direction: places of its aligned words, first places beyond in text and passage."""
+    def _walk(self, text, passage, weights, at, on, step) -> tuple[list[tuple[int, int]], int, int]:
+        """The best stretch in one direction: places of its aligned words in passage and text, first places beyond in text and passage."""
         rule, size, length = self.rule, len(text), len(passage)
-        aligned: list[int] = []
+        aligned: list[tuple[int, int]] = []
         score = best = 0.0
         kept = (0, at, on)
         while 0 <= at < size and 0 <= on < length and score > best - rule.drop:
             if text[at] == passage[on]:
-                aligned.append(on)
+                aligned.append((on, at))
                 score += weights[on]
                 at, on = at + step, on + step
                 if score >= best:
@@ -252,54 +296,62 @@ def find_leaks(
     letters = sized.agg(F.sum(F.length("p")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(letters) // (rule.block_words * 6)))
     kind = items.schema[item].dataType
-    limit = max(rule.stock_count, rule.stock_share * docs.count())
-    out = docs.sparkSession.createDataFrame([], T.StructType([docs.schema[doc], T.StructField(item, kind)]))
+    aligned = None
     for block in range(blocks):
         held = sized.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == block).orderBy("i", "p").collect()
         if held:
-            aligned = materialize(_aligned(docs, [(r["i"], r["p"]) for r in held], doc, text, item, kind, rule))
-            out = out.union(_without_stock(aligned, doc, item, limit, rule))
-    return out.distinct()
+            found = materialize(_aligned(docs, [(r["i"], r["p"]) for r in held], doc, text, item, kind, rule))
+            aligned = found if aligned is None else aligned.union(found)
+    if aligned is None:
+        return docs.sparkSession.createDataFrame([], T.StructType([docs.schema[doc], T.StructField(item, kind)]))
+    return _without_stock(aligned, doc, item, rule).distinct()
+
+
+_PART = [("sentence", T.LongType(), pa.int64()), ("words", T.IntegerType(), pa.int32()), ("own", T.IntegerType(), pa.int32()), ("total", T.IntegerType(), pa.int32())]
+_PART += [("place", T.LongType(), pa.int64()), ("context", T.LongType(), pa.int64()), ("alone", T.BooleanType(), pa.bool_())]
 
 
 def _aligned(docs, held, doc, text, item, kind, rule) -> DataFrame:
-    entries, sizes, numbers = [], {}, {}
+    entries = []
     for i, p in held:
         words, sentences = [], []
         for sentence in map(words_of, _SENTENCE.split(p)):
-            own = numbers.setdefault(tuple(sentence), len(numbers))
-            sizes[own] = len(sentence)
             words += sentence
-            sentences += [own] * len(sentence)
+            sentences += [_digest(sentence)] * len(sentence)  # the same in every block
         if len(words) >= rule.k:
             entries.append((i, words, sentences))
-    shared = docs.sparkSession.sparkContext.broadcast((entries, sizes))
-    part = pa.struct([("sentence", pa.int32()), ("words", pa.int32()), ("own", pa.int32()), ("total", pa.int32()), ("length", pa.int32())])
+    shared = docs.sparkSession.sparkContext.broadcast(entries)
+    part = pa.struct([(name, arrow) for name, _, arrow in _PART])
     arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}.get(kind, pa.string())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, length = shared.value
-        index = _Index(passages, rule)
+        index = _Index(shared.value, rule)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
                 found = index.leaks(some.column(1).to_pylist())
-                parts = [[dict(zip(("sentence", "words", "own", "total", "length"), (*x, length[x[0]]))) for x in p] for _, _, p in found]
-                at = some.column(0).take(pa.array([row for row, _, _ in found], pa.int64()))
-                ids = pa.array([i for _, i, _ in found], arrow)
-                yield pa.RecordBatch.from_arrays([at, ids, pa.array(parts, pa.list_(part))], names=[doc, item, "parts"])
-
-    counts = T.StructType([T.StructField(name, T.IntegerType()) for name in ("sentence", "words", "own", "total", "length")])
-    schema = T.StructType([docs.schema[doc], T.StructField(item, kind), T.StructField("parts", T.ArrayType(counts))])
+                parts = [[dict(zip((name for name, _, _ in _PART), x)) for x in p] for *_, p in found]
+                at = some.column(0).take(pa.array([row for row, *_ in found], pa.int64()))
+                ids = pa.array([i for _, i, *_ in found], arrow)
+                enough = pa.array([bool(x) for _, _, x, _ in found], pa.bool_())
+                yield pa.RecordBatch.from_arrays([at, ids, enough, pa.array(parts, pa.list_(part))], names=[doc, item, "enough", "parts"])
+
+    counts = T.StructType([T.StructField(name, spark_kind) for name, spark_kind, _ in _PART])
+    schema = T.StructType([docs.schema[doc], T.StructField(item, kind), T.StructField("enough", T.BooleanType()), T.StructField("parts", T.ArrayType(counts))])
     return spread(docs.select(doc, text)).mapInArrow(search, schema)
 
 
-def _without_stock(aligned: DataFrame, doc: str, item: str, limit: float, rule: LeakRule) -> DataFrame:
-    """The alignments that are long enough without the sentences that many documents hold."""
-    each = aligned.select(F.col(doc).alias("d"), F.explode("parts").alias("x")).where("x.words >= 0.9 * x.length")
-    often = each.select("d", "x.sentence").distinct().groupBy("sentence").count().where(F.col("count") > limit)
+def _without_stock(aligned: DataFrame, doc: str, item: str, rule: LeakRule) -> DataFrame:
+    """The alignments that are long enough without the stock sentences."""
+    each = aligned.select(F.explode("parts").alias("x")).where("x.context is not null").select("x.*")
+    # what any passage has around a sentence shows that it was taken over with it
+    contexts = each.groupBy("sentence", "context").agg(F.min("alone").alias("alone"))
+    contexts = contexts.groupBy("sentence").agg(F.count("*").alias("contexts"), F.sum(F.col("alone").cast("long")).alias("lone"))
+    places = each.select("sentence", "place").distinct().groupBy("sentence").agg(F.count("*").alias("places"))
+    often = contexts.join(places, "sentence").where(F.col("lone") >= rule.stock_lone * F.col("contexts"))
+    often = often.where((F.col("lone") > rule.stock_contexts) | (F.col("places") > 1) & (F.col("lone") > 1))
     stock = [r["sentence"] for r in often.select("sentence").collect()]  # no more than the passages' sentences
     kept = F.filter("parts", lambda x: ~x["sentence"].isin(stock)) if stock else F.col("parts")
     total = lambda name: F.aggregate("kept", F.lit(0), lambda a, x: a + x[name])
     enough = (total("words") >= rule.least_words) & (total("own") >= F.greatest(F.lit(float(rule.least_content)), rule.least_share * total("total")))
-    return aligned.withColumn("kept", kept).where(enough).select(doc, item)
+    return aligned.where("enough").withColumn("kept", kept).where(enough).select(doc, item)

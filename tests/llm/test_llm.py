@@ -86,6 +86,23 @@ def test_stock_sentences_are_no_leaks(spark):
     assert leaks(spark, docs, []) == []
 
 
+def test_copies_of_a_leak_make_no_stock_sentence(spark):
+    other = "A lame heron stood all summer on the roof of the mill and watched how the boys mended their blue kites near the weir."
+    leaking = f"Seen today. {PASSAGE} Plan as before."
+    docs = [leaking] * 40 + [f"Visit {i}: the wound was dry." for i in range(80)]
+    assert leaks(spark, docs, [(1, f"{PASSAGE} {other}")]) == [(i, 1) for i in range(40)]
+    docs = [f"Visit {i} for review. {PASSAGE} {other} The wound {i} was dry." for i in range(20)]
+    assert leaks(spark, docs, [(1, f"{PASSAGE} {other}")]) == [(i, 1) for i in range(20)]
+
+
+def test_stock_sentences_are_told_in_small_tables_and_from_short_alignments(spark):
+    stock = "Call the unit or the emergency desk if any concern comes up after you get home."
+    own = "The old gardener kept seven green parrots in a wooden shed."
+    docs = [f"Day {i}. {stock}" for i in range(4)] + [f"{stock} {own[:44]}."]
+    other = "A lame heron stood all summer on the roof of the mill."
+    assert leaks(spark, docs, [(1, f"{PASSAGE} {stock} {own}"), (2, f"{stock} {other}")]) == []
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_long_shared_span():
     rng = np.random.default_rng(0)
     for _ in range(50):
