@@ -1,8 +1,9 @@
 """Statistics of each text that tell running prose from lists, tables and junk.
 
 Layout is read from the lines: columns whose delimiters stand below each other, indentation that
-repeats with a period, line lengths that follow each other at a lag, and list marks. Sentences are
-read from the running text with line breaks ignored, so that wrapping doesn't matter.
+repeats with a period, line lengths that follow each other at a lag, and list marks. Together they
+tell the lines that are set as a list or table, whatever their items or cells hold. Sentences are
+read from the other, running text with line breaks ignored, so that wrapping doesn't matter.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ COMMON_WORDS = frozenset(
 _TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _MARK = re.compile(r"^\s*(?:[-*•‣▪◦·–—+]{1,3}|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)])\s+\S")
 _DELIMITER = re.compile(r"\t|\||;|,|:|>| {2,}")
+#: What parts cells; a comma or semicolon only without a space behind it, as in prose one follows.
+_CELLS = [re.compile(x) for x in (r"\t", r"\|", r"(?<!\d)[,;](?=\S)|[,;](?=[^\s\d])", r";", r"(?<=\S) {2,}(?=\S)")]
 _END = re.compile(r"[.!?…。！？](?:[\"'”’)\]]*)(?=\s|$)|[。！？]")
 #: Letters of scripts other than Latin, whose function words aren't listed.
 _FOREIGN = re.compile(r"[^\W\d_A-Za-z\u00aa-\u024f\u1e00-\u1eff]")
@@ -52,8 +55,12 @@ class ProseRule:
     A sentence has least_words words, of which at least common_share are frequent function words and
     at most number_share numbers. A stretch without an end mark passes as a sentence from open_words
     words and open_common on, within one line or a wrapped paragraph (of lines of wrapped_line
-    characters on average). Text is prose if its sentences hold prose_share of its
-    visible characters.
+    characters on average; short_line, without spaces, in scripts other than Latin). Text is prose if
+    its sentences outside lists and tables hold prose_share of its visible characters.
+    At least least_rows neighbouring lines make a list or table: marked items of which at most half have
+    two sentences; rows with equally many cells in row_share of them; or, from least_period on in
+    indentation (with half the correlation of line lengths) and least_indent in indentation alone,
+    lines of which ended_share end in punctuation or that are short.
     """
 
     least_words: int = 4
@@ -62,7 +69,13 @@ class ProseRule:
     open_words: int = 8
     open_common: float = 0.18
     wrapped_line: float = 45.0
+    short_line: float = 20.0
     prose_share: float = 0.4
+    least_rows: int = 3
+    row_share: float = 0.9
+    least_period: float = 0.4
+    least_indent: float = 0.2
+    ended_share: float = 0.8
 
 
 def _aligned_columns(lines: list[str]) -> float:
@@ -93,21 +106,85 @@ def _autocorrelation(values: list[int]) -> float:
     return float(max(0.0, lags[1 : min(9, len(v) // 2)].max() / lags[0]))
 
 
-def _blocks(lines: list[str]) -> Iterator[list[str]]:
-    """The lines in stretches that can hold sentences: list items and table rows stand alone."""
+def _runs(flags: list[bool]) -> Iterator[tuple[int, int]]:
+    """Begin and end of each stretch of true flags."""
+    begin = None
+    for at, flag in enumerate([*flags, False]):
+        if flag and begin is None:
+            begin = at
+        elif not flag and begin is not None:
+            yield begin, at
+            begin = None
+
+
+def _items(lines: list[str], rule: ProseRule) -> Iterator[int]:
+    """The lines of lists: marked lines and what is indented below them, blank lines between ignored."""
+    member, marked, indent = [], [], None
+    for line in lines:
+        own = len(line) - len(line.lstrip())
+        mark = bool(_MARK.match(line))
+        indent = own if mark else indent if indent is not None and own > indent else None
+        member.append(indent is not None)
+        marked.append(mark)
+    for begin, end in _runs(member):
+        starts = [at for at in range(begin, end) if marked[at]]
+        if len(starts) < rule.least_rows:
+            continue
+        several = 0
+        for at, after in zip(starts, [*starts[1:], end]):
+            text = _MARK.sub("", " ".join(lines[at:after]), count=1)
+            several += sum(len(_TOKEN.findall(x)) >= rule.least_words or len(_FOREIGN.findall(x)) >= 8 for x in _END.split(text)) > 1
+        if 2 * several <= len(starts):
+            yield from range(begin, end)
+
+
+def _rows(lines: list[str], rule: ProseRule) -> Iterator[int]:
+    """The lines of tables: neighbours with equally many cells, of three on unless tabs or bars part them."""
+    for delimiter, least in zip(_CELLS, (1, 1, 2, 2, 1)):
+        counts = [len(delimiter.findall(x)) for x in lines]
+        for begin, end in _runs([x >= least for x in counts]):
+            own = Counter(counts[begin:end])
+            if end - begin >= rule.least_rows and max(own.values()) >= rule.row_share * (end - begin):
+                if delimiter is not _CELLS[-1] or _aligned_gaps(lines[begin:end], rule):
+                    yield from range(begin, end)
+
+
+def _aligned_gaps(lines: list[str], rule: ProseRule) -> bool:
+    """Whether gaps of blanks end, or begin, below each other."""
+    for side in (0, 1):
+        at = Counter(m.span()[side] for line in lines for m in _CELLS[-1].finditer(line))
+        if at and max(at.values()) >= rule.row_share * len(lines):
+            return True
+    return False
+
+
+def _laid(lines: list[str], period: float, correlation: float, ended: float, rule: ProseRule) -> set[int]:
+    """Which of the visible lines are set as a list or table."""
+    laid = {*_items(lines, rule), *_rows(lines, rule)}
+    if period >= rule.least_indent and period + correlation / 2 >= rule.least_period:
+        if ended >= rule.ended_share or sum(map(len, lines)) < rule.wrapped_line * len(lines):
+            indents = [len(x) - len(x.lstrip()) for x in lines]
+            laid |= {at for at, own in enumerate(indents) if own > min(indents)}
+    return laid
+
+
+def _blocks(lines: list[str], laid: set[int]) -> Iterator[tuple[list[str], bool]]:
+    """The lines in stretches that can hold sentences, and whether they are laid: list items and table rows stand alone."""
     run: list[str] = []
+    at = -1
     for line in lines:
         bare = line.strip()
-        alone = bare and ("\t" in bare or "|" in bare or _MARK.match(line))
+        at += bool(bare)
+        alone = bare and (at in laid or "\t" in bare or "|" in bare or _MARK.match(line))
         if run and (alone or not bare):
-            yield run
+            yield run, False
             run = []
         if alone:
-            yield [bare]
+            yield [bare], at in laid
         elif bare:
             run.append(bare)
     if run:
-        yield run
+        yield run, False
 
 
 def describe(text: str | None, rule: ProseRule = ProseRule()) -> tuple:
@@ -116,15 +193,18 @@ def describe(text: str | None, rule: ProseRule = ProseRule()) -> tuple:
     lines = [x for x in every if x.strip()]
     visible = sum(map(len, text.split())) if text else 0
     if not visible or not any(unicodedata.category(c) not in ("Cf", "Cc", "Zs") for c in text):
-        return (0, None, None, None, None, None, None, None, None, 0, None, None)
+        return (0, None, None, None, None, None, None, None, None, None, 0, None, None)
+    period, correlation = _autocorrelation([len(x) - len(x.lstrip()) for x in lines]), _autocorrelation([len(x) for x in lines])
+    ended = sum(1 for x in lines if _LINE_END.search(x.rstrip())) / len(lines)
+    laid = _laid(lines, period, correlation, ended, rule)
     count = letters = common = sentences = prose = 0
-    for block in _blocks(every):
+    for block, apart in _blocks(every, laid):
         whole = " ".join(block).lower()
         *closed, rest = _END.split(whole)
         for part in closed:
             words, own, frequent = _words(part)
             count, letters, common = count + len(words), letters + own, common + frequent
-            size = _sentence(part, words, own, frequent, rule.least_words, rule.common_share, rule)
+            size = 0 if apart else _sentence(part, words, own, frequent, rule.least_words, rule.common_share, rule)
             sentences += size > 0
             prose += size
         if not rest:
@@ -134,7 +214,8 @@ def describe(text: str | None, rule: ProseRule = ProseRule()) -> tuple:
         if len(block) > 1 and sum(map(len, block[:-1])) < rule.wrapped_line * (len(block) - 1) and len(rest) > len(block[-1]):
             rest = rest[-len(block[-1]) :]
             words, own, frequent = _words(rest)
-        if not _MARK.match(block[0]):
+        listed = len(block) > 1 and sum(len(x) - x.count(" ") for x in block) < rule.short_line * len(block)
+        if not apart and not _MARK.match(block[0]) and not (listed and _foreign(rest)):
             size = _sentence(rest, words, own, frequent, rule.open_words, rule.open_common, rule)
             sentences += size > 0
             prose += size
@@ -143,12 +224,13 @@ def describe(text: str | None, rule: ProseRule = ProseRule()) -> tuple:
         count,
         letters / count if count else None,
         max(0, visible - letters) / visible,
-        sum(1 for x in lines if _LINE_END.search(x.rstrip())) / len(lines),
+        ended,
         common / count if count else 0.0,
         sum(1 for x in lines if _MARK.match(x)) / len(lines),
         _aligned_columns(lines),
-        _autocorrelation([len(x) - len(x.lstrip()) for x in lines]),
-        _autocorrelation([len(x) for x in lines]),
+        period,
+        correlation,
+        sum(len(x) - sum(map(x.count, " \t")) for at, x in enumerate(lines) if at in laid) / visible,
         sentences,
         share,
         share >= rule.prose_share,
@@ -161,11 +243,16 @@ def _words(part: str) -> tuple[list[str], int, int]:
     return words, sum(map(len, words)), sum(map(COMMON_WORDS.__contains__, words))
 
 
+def _foreign(part: str) -> bool:
+    """Whether at least half of what is visible are letters of a script other than Latin."""
+    count = not part.isascii() and len(_FOREIGN.findall(part))
+    return bool(count) and 2 * count >= len(part) - part.count(" ")
+
+
 def _sentence(part: str, words: list[str], letters: int, frequent: int, least_words: int, common_share: float, rule: ProseRule) -> int:
     """The visible characters of a stretch if it reads as a sentence, else 0."""
     visible = len(part) - part.count(" ")
-    foreign = not part.isascii() and len(_FOREIGN.findall(part))
-    if foreign and 2 * foreign >= visible and visible >= 8:
+    if visible >= 8 and _foreign(part):
         return visible
     if len(words) < least_words or letters < 0.75 * visible or frequent < common_share * len(words):
         return 0
@@ -182,6 +269,7 @@ FIELDS = [
     ("column_alignment", T.DoubleType(), pa.float64()),
     ("indent_period", T.DoubleType(), pa.float64()),
     ("length_correlation", T.DoubleType(), pa.float64()),
+    ("layout_share", T.DoubleType(), pa.float64()),
     ("sentence_count", T.LongType(), pa.int64()),
     ("prose_share", T.DoubleType(), pa.float64()),
     ("is_prose", T.BooleanType(), pa.bool_()),

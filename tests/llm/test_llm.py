@@ -133,6 +133,26 @@ def test_prose(text, prose):
     assert quality.describe(text)[-1] is prose
 
 
+@pytest.mark.parametrize(
+    "text,prose",
+    [
+        ("\n".join(f"- {x} was given in the morning." for x in ("Aspirin", "Iron", "Insulin", "Zinc")), False),
+        ("\n".join(f"{i}\t{x}\tHe was told to take it with food." for i, x in enumerate(("iron", "zinc", "salt"))), False),
+        ("\n".join(f"{x},{i},it was given to him in the morning" for i, x in enumerate(("iron", "zinc", "salt"))), False),
+        ("\n".join(f"{x:<12}He was told to take it with food." for x in ("iron", "zinc", "salt", "selenium")), False),
+        ("\n".join(f"Knee:\n  It was sore in the morning.\n  There was no rash on day {i}." for i in range(5)), False),
+        ("- ацетилсалициловая кислота\n- железо внутрь утром\n- инсулин перед едой вечером", False),
+        ("アスピリンを朝に服用\n鉄剤を夕方に服用\nインスリンを毎食前に", False),
+        ("Больной был осмотрен утром и чувствовал себя хорошо. Болей в колене\nне было, и он ушел домой.", True),
+        ("\n".join(f"{i}. The knee was sore on the first day. It was better when he left, and he was glad." for i in range(4)), True),
+        ("He was seen in the clinic, and he felt well on the whole day. There was no pain in the knee.\n- iron 5 mg\n- zinc 2 mg\n- salt 3 mg", True),
+        ("  The man was seen in the\nclinic and he felt well on\nthat day.\n" * 4, True),
+    ],
+)
+def test_layout_decides_with_sentences(text, prose):
+    assert quality.describe(text)[-1] is prose
+
+
 def test_statistics_of_odd_texts(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)], "k long, t string, word_count int")
     rows = {r["k"]: r for r in quality.text_statistics(df, "k", "t").collect()}
