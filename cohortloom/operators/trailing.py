@@ -28,16 +28,19 @@ def daily_totals(events: DataFrame, entity: str, event: str, time: str) -> DataF
 
 
 def rolling_calendar(
-    events: DataFrame, entity: str, event: str, time: str, periods: tuple[int, ...] = (7, 30, 365), task_rows: int = 4_000_000
+    events: DataFrame, entity: str, event: str, time: str, periods: tuple[int, ...] = (7, 30, 365), task_rows: int = 4_000_000, whole: bool = False
 ) -> DataFrame:
     """entity, day (date), n_<p>d and mean_<p>d for each period, for every day from an entity's first to its last event.
 
-    A period of p days ends with the day itself. Events are counted once each, whatever repeats;
+    whole: to the last event of any entity instead, so that the days on which a total goes down to
+    zero, and those of zeros after them, are there too. A period of p days ends with the day itself. Events are counted once each, whatever repeats;
     rows with a null entity, event or time don't count; no events give no rows. task_rows: exploded
     rows that a task sums, from which the number of tasks follows.
     """
     daily = materialize(daily_totals(events, entity, event, time))
     span = daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    if whole:
+        span = span.withColumn("last", F.lit(daily.agg(F.max("day")).first()[0]).cast("int"))
     reach = max(periods) - 1
     upto = F.least(F.col("day") + reach, F.col("last"))
     seeds = daily.join(span, "entity").select("entity", F.col("day").alias("begin"), upto.alias("end"), "n")

@@ -39,6 +39,10 @@ def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
     return trailing.rolling_calendar(table(spark, d, "base_admissions_mhc_subject_groups"), "subject_id", "hadm_id", "admittime")
 
 
+def p7_calendar(spark: SparkSession, d: str) -> DataFrame:
+    return trailing.rolling_calendar(table(spark, d, "base_admissions_mhc_subject_groups"), "subject_id", "hadm_id", "admittime", whole=True)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "utilization_readmission_adjusted_model_dataset").select("hadm_id", "subject_id", "admittime", "prior_admissions_365d")
     asked = asked.where("prior_admissions_365d is not null").distinct()
@@ -46,7 +50,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return counted.where("not (prior_admissions_365d <=> n_before)").select("hadm_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_history": p4_history, "p7_found": p7_found, "p7_rolling": p7_rolling}
+QUERIES = {"p4_found": p4_found, "p4_history": p4_history, "p7_calendar": p7_calendar, "p7_found": p7_found, "p7_rolling": p7_rolling}
 
 _NAMES = "nullif(regexp_replace(lower({}), '\\s+', '', 'g'), '')"
 _ON_RECORD = f"""

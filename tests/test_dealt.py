@@ -82,6 +82,23 @@ def test_rolling_calendar_equals_brute_force(spark):
     assert found == want
 
 
+def test_whole_calendar_goes_on_after_the_last_event_of_an_entity(spark):
+    rng = random.Random(4)
+    rows = [(1, 0, day(5, 3), None), (2, 1, day(900, 2), None), *((3, i, day(rng.randint(100, 300)), None) for i in range(2, 30))]
+    df = spark.createDataFrame([*rows, *rows[:4]], "e long, id long, t timestamp_ntz, n string")
+    found = {(r["e"], r["day"]): (r["n_7d"], r["n_30d"], r["n_365d"]) for r in trailing.rolling_calendar(df, "e", "id", "t", task_rows=500, whole=True).collect()}
+    want = {}
+    for e in (1, 2, 3):
+        days = [t.date() for x, _, t, _ in rows if x == e]
+        at = min(days)
+        while at <= day(900).date():
+            want[e, at] = tuple(sum(at - dt.timedelta(days=p) < x <= at for x in days) for p in (7, 30, 365))
+            at += dt.timedelta(days=1)
+    assert found == want
+    assert found[1, day(369).date()] == (0, 0, 1) and found[1, day(370).date()] == (0, 0, 0)
+    assert trailing.rolling_calendar(df.where("e > 9"), "e", "id", "t", whole=True).count() == 0
+
+
 def test_counts_before_include_the_first_moment_and_exclude_the_last(spark):
     times = [day(0, 0), day(0, 12), day(0, 12), day(3, 1), day(10, 5), day(10, 6), day(10, 6)]
     events = spark.createDataFrame([(1, i, t, "x") for i, t in enumerate(times)] + [(1, 0, times[0], "x")], "e long, id long, t timestamp_ntz, n_before string")
