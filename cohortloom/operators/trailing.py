@@ -66,7 +66,7 @@ def counts_before(
 ) -> DataFrame:
     """asked's columns and n_before: different events of the entity from exactly `days` days before time, up to it exclusively.
 
-    The whole days between come from daily totals exploded onto the asked dates they influence; the
+    The whole days between come from a range join of daily totals and asked days by entity and block; the
     events of the first and last day are counted by their times. Rows of asked with a null entity or
     time have a null n_before; repeated rows stay.
     """
