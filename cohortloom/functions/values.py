@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.vocabulary import CONTEXT_LABELS, MENTION_TYPES
+
 
 def split_terms(text: Column, separator: str = r"\|") -> Column:
     """ARR-01: trimmed, non-blank parts of a delimited string; none for null."""
@@ -75,12 +77,48 @@ def rate_per_year(n: Column, days: Column) -> Column:
     return F.when(days > 0, n / (days / 365.25))
 
 
-def death_flags(admit: Column, discharge: Column, death: Column, days: int = 365) -> dict[str, Column]:
-    """DAT-05: died before discharge; within days of admission; after discharge within days of it."""
+def death_flags(admit: Column, discharge: Column, death: Column, expired: Column, days: int = 365) -> dict[str, Column]:
+    """DAT-05: died in hospital, as the flag of the admission says; within days of admission; after discharge, within days of it."""
     limit = F.make_dt_interval(F.lit(days))
-    inside = F.coalesce((death >= admit) & (death <= discharge), F.lit(False))
+    inside = F.coalesce(expired == 1, F.lit(False))
     return {
         "died_in_hospital": inside,
-        "died_within_of_admission": F.coalesce((death >= admit) & (death <= admit + limit), F.lit(False)),
-        "died_after_discharge": F.coalesce((death > discharge) & (death <= discharge + limit), F.lit(False)) & ~inside,
+        "death_within_1y_after_admission": F.coalesce((death >= admit) & (death <= admit + limit), F.lit(False)),
+        "post_discharge_death_within_1y": F.coalesce((death > discharge) & (death <= discharge + limit), F.lit(False)) & ~inside,
     }
+
+
+def lenient_day(text: Column) -> Column:
+    """DAT-06: the day of a time told as text, as year-month-day; null if it can't be read."""
+    return F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd")
+
+
+def classifier_fields(answer: Column) -> Column:
+    """JSN-01 to JSN-05: struct of label, mention_type, evidence_span, reason and recovered of a model's answer.
+
+    Fields go by either of their names. An answer that is no JSON counts only if a label can be read
+    from its beginning, and is recovered then; otherwise, as for null, the struct is null.
+    """
+    whole = json_object_text(answer)
+    read = lambda name: squeezed(F.coalesce(F.get_json_object(whole, f"$.{name}"), F.when(whole.isNull(), _told(answer, name))))
+    either = lambda a, b: F.lower(F.coalesce(read(a), read(b)))
+    said = either("psychiatric_context_label", "psychiatric_context_integrated")
+    label = F.when(said.isin(*CONTEXT_LABELS), said).otherwise("negative")
+    mention = either("psychiatric_mention_type", "integration_type")
+    usual = F.when(label == "positive", "current_context").otherwise("none")
+    fields = F.struct(
+        label.alias("label"), F.when(mention.isin(*MENTION_TYPES), mention).otherwise(usual).alias("mention_type"),
+        shortened(F.coalesce(read("evidence_span"), F.lit("")), 20, 120).alias("evidence_span"),
+        shortened(F.coalesce(read("reason"), F.lit("")), 25, 160).alias("reason"), whole.isNull().alias("recovered"),
+    )
+    return F.when(whole.isNotNull() | said.isin(*CONTEXT_LABELS), fields)
+
+
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def _told(text: Column, field: str) -> Column:
+    """What stands behind a field's name, also if its end is cut off; null for nothing."""
+    found = F.regexp_extract(text, rf'"{field}"\s*:\s*"([^"]*)', 1)
+    return F.when(found != "", found)

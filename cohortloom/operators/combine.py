@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.functions import text as tx
+from cohortloom.functions.vocabulary import COMBINED_SUBGROUPS, OVERLAPS, SUBGROUPS
+from cohortloom.session import materialize
+
 
 class ContractError(ValueError):
     """A frame breaks what an operator asks of it."""
@@ -102,3 +108,33 @@ def first_entities(df: DataFrame, entity: str, order: list[Column], n: int) -> D
     """TOP-03: all rows of the first n entities in an order."""
     firsts = df.groupBy(entity).agg(F.min(F.struct(*order)).alias("o")).orderBy("o", entity).limit(n)
     return df.join(firsts.select(entity), entity, "left_semi")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a number from 0 in an order that tells its rows apart; no task sees more than its range of rows."""
+    placed = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    counts = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one for each range
+    begin, starts = 0, []
+    for part in sorted(counts):
+        starts.append((part, begin))
+        begin += counts[part]
+    first = df.sparkSession.createDataFrame(starts, "_p int, _first long")
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return placed.withColumn("_r", within).join(F.broadcast(first), "_p").withColumn(name, F.col("_first") + F.col("_r")).drop("_p", "_r", "_first")
+
+
+def with_subgroups(df: DataFrame, complaint: str, terms: str) -> DataFrame:
+    """TXT-21, CND-07: df with has_<subgroup> of every clinical subgroup, combination and overlap, how many subgroups
+    match and which, the only one (`pure_group`) and the only combination (`exclusive_group`), null if there are none or several."""
+    t, names = F.col(complaint), F.col(terms)
+    out = df.withColumns({f"has_{g}": tx.belongs(t, names, *told) for g, told in SUBGROUPS.items()})
+    out = out.withColumns({f"has_{g}": reduce(lambda a, b: a | b, [F.col(f"has_{x}") for x in own]) for g, own in COMBINED_SUBGROUPS.items()})
+    out = out.withColumns({f"has_overlap_{g}": tx.belongs(t, names, *told) for g, told in OVERLAPS.items()})
+    own = F.filter(F.array(*[F.when(F.col(f"has_{g}"), F.lit(g)) for g in SUBGROUPS]), lambda x: x.isNotNull())
+    both = F.filter(F.array(*[F.when(F.col(f"has_{g}"), F.lit(g)) for g in COMBINED_SUBGROUPS]), lambda x: x.isNotNull())
+    flags = [c for c in out.columns if c.startswith("has_")]
+    out = out.withColumns({
+        "n_subgroups": F.size(own).cast("long"), "subgroups": F.array_join(own, " | "),
+        "pure_group": F.when(F.size(own) == 1, own[0]), "exclusive_group": F.when(F.size(both) == 1, both[0]),
+    })
+    return out.withColumns({c: F.col(c).cast("int") for c in flags})

@@ -2,54 +2,133 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import text as tx
 from cohortloom.functions import values as vl
+from cohortloom.functions import vocabulary as vo
+from cohortloom.operators import combine
+from cohortloom.plans.texts_sql import SQL as SQL
 from cohortloom.session import spread, table
 
 
-def _notes(spark, d):
-    return table(spark, d, "export_mhh_psychotic").select("note_id", "text").distinct()
+# The words that no parent phrase of the query begins or ends with.
+_STOP = ["a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
+
+
+def _notes(spark, d) -> DataFrame:
+    return spread(table(spark, d, "export_mhh_psychotic").select("note_id", "text").distinct())
+
+
+def _documents(spark, d) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _sections(spark, d) -> DataFrame:
+    return tx.parse_sections(_notes(spark, d), ["note_id"], "text")
 
 
 def keyword_density(spark, d):
     counts = tx.keyword_counts(F.col("text"))
-    words = tx.pattern_count(F.col("text"), r"[^\s]+")
-    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", words.alias("n_words"), *[c.alias(g) for g, c in counts.items()])
+    words = tx.pattern_count(F.col("text"), r"(?U)\S+")
+    rows = _documents(spark, d).select("doc_id", words.alias("n_words"), *[c.alias(g) for g, c in counts.items()])
     hits = sum((F.col(g) for g in counts), F.lit(0)).cast("long")
-    return rows.withColumn("n_hits", hits).withColumn("hits_per_1000_words", F.when(F.col("n_words") > 0, 1000.0 * hits / F.col("n_words")).otherwise(0.0))
+    rows = rows.withColumn("n_hits", hits).withColumn("hits_per_1000_words", F.when(F.col("n_words") > 0, 1000.0 * hits / F.col("n_words")).otherwise(0.0))
+    return rows.withColumn("log_words", F.round(F.when(F.col("n_words") > 0, F.log("n_words")), 6))
 
 
 def stigma_counts(spark, d):
-    counts = tx.keyword_counts(F.col("text"), tx.STIGMA)
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[c.alias(f"n_{g}") for g, c in counts.items()])
+    counts = tx.keyword_counts(F.col("text"), vo.STIGMA)
+    return _documents(spark, d).select("doc_id", *[c.alias(f"n_{g}") for g, c in counts.items()])
 
 
 def keyword_group_explode(spark, d):
     counts = tx.keyword_counts(F.col("text"))
-    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[c.alias(g) for g, c in counts.items()])
+    rows = _documents(spark, d).select("doc_id", *[c.alias(g) for g, c in counts.items()])
     long = rows.unpivot(["doc_id"], list(counts), "keyword_group", "hits").where("hits > 0")
     return long.groupBy("keyword_group").agg(F.sum("hits").alias("n_hits"), F.count("*").alias("n_documents"))
 
 
+def keyword_hits(spark, d):
+    """TXT-10 on the sections of the notes."""
+    return tx.keyword_hits(_sections(spark, d), ["note_id", "section"], "text")
+
+
+def keyword_flags(spark, d):
+    hits = tx.keyword_hits(_sections(spark, d), ["note_id", "section"], "text")
+    return tx.group_flags(hits, ["note_id"], list(vo.STIGMA))
+
+
 def note_sections(spark, d):
-    return tx.parse_sections(_notes(spark, d), ["note_id"], "text").select("note_id", "section", "text")
+    return _sections(spark, d).select("note_id", "section", "text")
+
+
+def section_report(spark, d):
+    return tx.section_report(_notes(spark, d), ["note_id"], "text")
 
 
 def section_length_profile(spark, d):
-    parsed = tx.parse_sections(_notes(spark, d), ["note_id"], "text")
-    return parsed.groupBy("section").agg(F.count("*").alias("n_notes"), F.sum(F.length("text")).alias("n_characters"), F.sum(tx.pattern_count(F.col("text"), r"[^\s]+")).alias("n_words"))
+    return _sections(spark, d).groupBy("section").agg(F.count("*").alias("n_notes"), F.sum(F.length("text")).alias("n_characters"), F.sum(tx.pattern_count(F.col("text"), r"(?U)\S+")).alias("n_words"))
+
+
+def classifier_input(spark, d):
+    """RSH-01, FLT-08, FLT-11: chosen sections from wide to long, blank ones dropped, with their lengths and hits (0 without any)."""
+    chosen = ["present_illness", "brief_hospital_course", "discharge_condition", "discharge_instructions"]
+    wide = _sections(spark, d).groupBy("note_id").agg(*[F.max(F.when(F.col("section") == c, F.col("text"))).alias(c) for c in chosen])
+    cells = F.array(*[F.struct(F.lit(c).alias("section_name"), F.col(c).alias("section_text")) for c in chosen])  # unpivot's code doesn't compile here
+    long = wide.select("note_id", F.explode(cells).alias("x")).select("note_id", "x.*").where(tx.strip(F.coalesce("section_text", F.lit(""))) != "")
+    hits = sum(tx.keyword_counts(F.col("section_text"), vo.STIGMA).values(), F.lit(0)).cast("long")
+    return long.select(
+        "note_id", "section_name", tx.pattern_count(F.col("section_text"), r"(?U)\S+").alias("section_word_count"),
+        F.length("section_text").cast("long").alias("section_char_length"), hits.alias("n_keyword_hits"), (hits > 0).cast("int").alias("has_sl_keyword_hit"),
+    )
 
 
 def chief_complaints(spark, d):
     return _notes(spark, d).select("note_id", tx.chief_complaint(F.col("text")).alias("chief_complaint"))
 
 
+def _complaints(spark, d) -> DataFrame:
+    return table(spark, d, "matched_pairs").select("pair_id", F.col("mhh_chief_complaint_raw").alias("raw"), F.col("mhh_quickumls_terms").alias("terms")).distinct()
+
+
 def text_normalise(spark, d):
-    rows = table(spark, d, "matched_pairs").select("pair_id", "mhh_chief_complaint_raw").distinct()
-    return rows.select("pair_id", tx.normal_complaint(F.col("mhh_chief_complaint_raw")).alias("normalized"))
+    return _complaints(spark, d).select("pair_id", tx.normal_complaint(F.col("raw")).alias("normalized")).distinct()
+
+
+def complaint_context(spark, d):
+    """TXT-07: the context form, the tokens and whether the raw text is a placeholder."""
+    rows = _complaints(spark, d).select("pair_id", "raw", tx.normal_complaint(F.col("raw")).alias("normal"))
+    return rows.select(
+        "pair_id", tx.context_complaint(F.col("raw")).alias("context"), tx.complaint_tokens(F.col("normal")).alias("tokens"),
+        tx.is_placeholder(F.col("raw")).cast("int").alias("is_placeholder"),
+    ).distinct()
+
+
+def concept_mentions(spark, d):
+    """TXT-08 on the evidence of the history sections."""
+    rows = table(spark, d, "psych_history_llm_input").select("classifier_row_id", tx.normal_complaint(F.col("section_text")).alias("said")).distinct()
+    rows = spread(rows).select("classifier_row_id", tx.concept_mentions(F.col("said")).alias("m"))
+    return rows.select("classifier_row_id", *[tx.mention_text(F.col("m"), n).alias("negated" if n else "affirmed") for n in (False, True)])
+
+
+def usable_complaints(spark, d):
+    """FLT-10: complaints that are kept after all screens."""
+    names = vl.split_terms(F.col("terms"))
+    gone = F.array_join(F.filter(names, lambda t: t.startswith("negated:")), " | ")
+    rows = _complaints(spark, d).select("pair_id", tx.normal_complaint(F.col("raw")).alias("normalized"), "terms", gone.alias("negated_terms"))
+    rows = rows.withColumn("m", tx.concept_mentions(F.col("normalized")))
+    rows = rows.select("*", tx.mention_text(F.col("m"), False).alias("affirmed"), tx.mention_text(F.col("m"), True).alias("negated"))
+    return tx.usable_complaints(rows).select("pair_id", "normalized").distinct()
+
+
+def complaint_subgroups(spark, d):
+    """TXT-21, CND-07: subgroups of the matched admissions' complaints, their combinations and overlaps."""
+    roles = combine.stacked_roles(table(spark, d, "matched_pairs").distinct(), {"mhh_": "case", "mhc0_": "control"}, ["pair_id"])
+    lower = F.transform(vl.split_terms(F.col("quickumls_terms")), F.lower)
+    rows = roles.select("pair_id", "role", F.col("chief_complaint_normalized").alias("t"), vl.expanded_terms(lower).alias("names"))
+    return combine.with_subgroups(rows, "t", "names").drop("t", "names")
 
 
 def chunk_windows(spark, d):
@@ -58,31 +137,32 @@ def chunk_windows(spark, d):
 
 
 def readability_metrics(spark, d):
-    return tx.complexity(spread(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "text")
+    return tx.complexity(_documents(spark, d), ["doc_id"], "text")
 
 
 def bigram_counts(spark, d):
-    return tx.ngram_frequencies(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").where("n_documents >= 2")
+    return tx.ngram_frequencies(_documents(spark, d), "doc_id", "text")
 
 
 def token_phrase_flags(spark, d):
     phrases = ["emergency department", "heavy drinking", "low mood", "hearing voices"]
     flags = [tx.has_phrase(F.col("text"), p).cast("int").alias("has_" + p.replace(" ", "_")) for p in phrases]
-    return table(spark, d, "documents").select("doc_id", *flags)
+    return _documents(spark, d).select("doc_id", *flags)
 
 
 def confused_in_section(spark, d):
-    parsed = tx.parse_sections(_notes(spark, d), ["note_id"], "text").where("section = 'discharge_condition'")
-    return parsed.select("note_id", F.col("text").rlike(r"(?i)\b(?:confusion|agitation)\b").cast("int").alias("flag"))
+    """TXT-18: the word in one section of every note that has it."""
+    parsed = _sections(spark, d).where("section = 'discharge_condition'")
+    return parsed.select("note_id", F.col("text").rlike(r"(?iU)\bconfused\b").cast("int").alias("flag"))
 
 
 def missed_headings(spark, d):
-    return tx.missed_headings(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return tx.missed_headings(_documents(spark, d), "doc_id", "text")
 
 
 def parent_phrases(spark, d):
     rows = table(spark, d, "chief_complaint_cluster_qc_output").select("hadm_id", "chief_complaint_normalized").distinct()
-    return tx.parent_phrases(rows, "hadm_id", "chief_complaint_normalized", 10, 2, 0.85, (1, 2, 3))
+    return tx.parent_phrases(rows, "hadm_id", "chief_complaint_normalized", stop_words=_STOP)
 
 
 def term_pairs(spark, d):
@@ -103,144 +183,32 @@ def json_props(spark, d):
 
 
 def json_recovered(spark, d):
-    """Props cut off before their end: the field is read by pattern."""
+    """JSN-02: props whole and cut off before their end; the field is read by pattern where the text is no JSON."""
     cut = F.substring("props", F.lit(1), F.length("props") - 1)
-    rows = table(spark, d, "events").select("event_id", cut.alias("props"))
+    rows = table(spark, d, "events").select("event_id", F.explode(F.array("props", cut)).alias("props"))
     return rows.select("event_id", vl.json_field(F.col("props"), "k").cast("long").alias("k"), vl.json_object_text(F.col("props")).isNull().cast("int").alias("recovered"))
 
 
+def lenient_days(spark, d):
+    """DAT-06: days read from hand-written times, null where there is none."""
+    rows = table(spark, d, "export_mhh_psychotic").select("note_id", "charttime").distinct()
+    told = F.coalesce(F.col("charttime").cast("string"), F.lit("not known"))
+    return rows.select("note_id", vl.lenient_day(told).alias("day"))
+
+
 def keyword_prefilter(spark, d):
-    """TXT-12: sections with hits, numbered by place within each note."""
-    parsed = tx.parse_sections(_notes(spark, d), ["note_id"], "text")
-    hits = sum(tx.keyword_counts(F.col("text")).values(), F.lit(0)).cast("long")
-    kept = parsed.withColumn("n_hits", hits).where("n_hits > 0")
-    number = F.row_number().over(Window.partitionBy("note_id").orderBy("position"))
-    return kept.select("note_id", "section", "n_hits", number.cast("long").alias("section_number"))
+    """TXT-12, ARR-06: sections with hits, with their groups and counts, numbered over all notes in order."""
+    counts = tx.keyword_counts(F.col("text"))
+    hits = sum(counts.values(), F.lit(0)).cast("long")
+    groups = F.size(F.filter(F.array(*[c > 0 for c in counts.values()]), lambda x: x)).cast("long")
+    parsed = _sections(spark, d).select("note_id", "section", "position", hits.alias("n_hits"), groups.alias("n_groups"), tx.group_count_text(counts).alias("group_hit_counts"))
+    return combine.numbered(parsed.where("n_hits > 0"), ["note_id", "position"], "classifier_row_id").drop("position")
 
 
 _QUERIES = [
-    keyword_density, stigma_counts, keyword_group_explode, note_sections, section_length_profile, chief_complaints, text_normalise, chunk_windows, readability_metrics,
-    bigram_counts, token_phrase_flags, confused_in_section, missed_headings, parent_phrases, term_pairs, shared_terms, json_props, json_recovered, keyword_prefilter,
+    keyword_density, stigma_counts, keyword_group_explode, keyword_hits, keyword_flags, note_sections, section_report, section_length_profile, classifier_input,
+    chief_complaints, text_normalise, complaint_context, concept_mentions, usable_complaints, complaint_subgroups, chunk_windows, readability_metrics,
+    bigram_counts, token_phrase_flags, confused_in_section, missed_headings, parent_phrases, term_pairs, shared_terms, json_props, json_recovered, lenient_days,
+    keyword_prefilter,
 ]
 QUERIES = {f.__name__: f for f in _QUERIES}
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _hits(column: str, group: str, groups: dict[str, list[str]] = tx.KEYWORDS) -> str:
-    return " + ".join(rf"len(regexp_extract_all({column}, {_quoted(rf'(?i)\b{p}\b')}))" for p in groups[group])
-
-
-_COUNTS = ", ".join(f"coalesce({_hits('text', g)}, 0)::bigint as {g}" for g in tx.KEYWORDS)
-_SUM = " + ".join(tx.KEYWORDS)
-_ALIASES = ", ".join(f"({_quoted(a)}, {_quoted(s)})" for a, s in tx.SECTION_OF.items())
-_SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-_SECTIONS = rf"""
-notes as (select distinct note_id, text from export_mhh_psychotic),
-alias(name, section) as (values {_ALIASES}),
-raw_lines as (select note_id, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) as l from notes),
-numbered as (select note_id, unnest(l) as line, generate_subscripts(l, 1) as i from raw_lines),
-read as (select n.note_id, n.i, n.line, a.section,
-    case when a.section is not null then regexp_extract(n.line, '^\s*([A-Za-z][A-Za-z0-9/_&,\-() ]{{1,90}}|[A-Z]{{2,12}})\s*:\s*(.*)$', 2) else n.line end as rest
-  from numbered n left join alias a on a.name =
-    lower({_SQUEEZE.format("regexp_extract(n.line, '^\\s*([A-Za-z][A-Za-z0-9/_&,\\-() ]{1,90}|[A-Z]{2,12})\\s*:\\s*(.*)$', 1)")})),
-blocks as (select *, sum((section is not null)::int) over (partition by note_id order by i) as b from read),
-parts as (select note_id, b, min(i) as i, coalesce(max(section), 'unsectioned') as section, string_agg(rest, chr(10) order by i) as t from blocks group by 1, 2),
-clean as (select note_id, b, i, section, {_SQUEEZE.format("regexp_replace(regexp_replace(t, '(^|\\s)_+(\\s|$)', ' ', 'g'), '(^|\\s)_+(\\s|$)', ' ', 'g')")} as t from parts),
-sections as (select note_id, section, min(i) - 1 as position, string_agg(t, ' ' order by b) as text from clean
-  where regexp_matches(t, '[A-Za-z0-9]') group by 1, 2)
-"""
-_COMPLAINT = r"(?i)(?:chief complaint:)([\s\S]+?)(?:\n\s*(?:(?:hpi|[A-Z][A-Za-z]{4,}(?:[ \t]+(?:[A-Za-z]{2,}|_+)){0,8})[ \t]*:)|\z)"
-
-
-def _normal(column: str) -> str:
-    out = f"regexp_replace(coalesce({column}, ''), '_+', ' ', 'g')"
-    out = f"replace(lower(regexp_replace(trim({out}), {_quoted('(?i)' + tx.PREFIXES)}, '')), '&', ' and ')"
-    for stem, words in [*tx.NEGATIONS.items(), ("can", "cannot"), ("won", "will not")]:
-        out = rf"regexp_replace({out}, {_quoted(rf'\b{stem}[' + chr(39) + rf'’]?t\b')}, '{words}', 'g')"
-    out = _SQUEEZE.format(rf"regexp_replace({out}, '[^\w\s/+-]', ' ', 'g')")
-    # no look-around in this dialect: words are replaced one by one in a list of space and slash bounded words
-    for short in sorted(tx.SHORTHAND, key=lambda s: (-len(s), s)):
-        pattern = rf"(^|[^\w/]){short}($|[^\w/])"
-        for _ in range(2):  # neighbours share a bound
-            out = f"regexp_replace({out}, '{pattern}', '\\1{tx.SHORTHAND[short]}\\2', 'g')"
-    return _SQUEEZE.format(out)
-
-
-_TERMS = "list_filter(list_transform(string_split(coalesce({}, ''), '|'), lambda x: trim(x)), lambda x: x <> '')"
-_WORD = r"'[A-Za-z]+(?:[-''][A-Za-z]+)?'"
-
-SQL = {
-    "stigma_counts": "select doc_id, " + ", ".join(f"coalesce({_hits('text', g, tx.STIGMA)}, 0)::bigint as n_{g}" for g in tx.STIGMA) + " from documents",
-    "keyword_density": rf"""
-with c as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\s]+')), 0)::bigint as n_words, {_COUNTS} from documents)
-select *, ({_SUM})::bigint as n_hits, case when n_words > 0 then 1000.0::double * ({_SUM}) / n_words else 0 end as hits_per_1000_words from c""",
-    "keyword_group_explode": f"""
-with c as (select doc_id, {_COUNTS} from documents), l as (unpivot c on {", ".join(tx.KEYWORDS)} into name keyword_group value hits)
-select keyword_group, sum(hits)::bigint as n_hits, count(*) as n_documents from l where hits > 0 group by 1""",
-    "note_sections": f"with {_SECTIONS.strip()} select note_id, section, text from sections",
-    "section_length_profile": rf"""with {_SECTIONS.strip()} select section, count(*) as n_notes, sum(length(text))::bigint as n_characters,
-  sum(len(regexp_extract_all(text, '[^\s]+')))::bigint as n_words from sections group by 1""",
-    "chief_complaints": f"""with n as (select distinct note_id, text from export_mhh_psychotic),
-c as (select note_id, trim(replace(coalesce(regexp_extract(text, {_quoted(_COMPLAINT)}, 1), ''), chr(10), ' ')) as t from n)
-select note_id, case when starts_with(t, '[]') then '' else t end as chief_complaint from c""",
-    "text_normalise": f"""with p as (select distinct pair_id, mhh_chief_complaint_raw from matched_pairs),
-n as (select pair_id, {_normal("mhh_chief_complaint_raw")} as t from p)
-select pair_id, case when t in ({", ".join(map(_quoted, tx.MISSING))}) then '' else t end as normalized from n""",
-    "chunk_windows": r"""
-with n as (select distinct note_id, text from export_mhh_psychotic),
-w as (select note_id, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') as w from n),
-c as (select note_id, w, greatest(1, ceil((len(w) - 75) / 525.0))::bigint as n_chunks from w where len(w) > 1 or w[1] <> ''),
-e as (select note_id, w, n_chunks, unnest(range(n_chunks)) as chunk from c)
-select note_id, chunk, n_chunks, length(array_to_string(w[chunk * 525 + 1 : chunk * 525 + 600], ' ')) as n_characters from e""",
-    "readability_metrics": rf"""
-with t as (select doc_id, coalesce(text, '') as t from documents),
-w as (select doc_id, t, regexp_extract_all(t, {_WORD}) as words,
-  len(regexp_extract_all(t, '[A-Za-z]+(?:[-''][A-Za-z]+)?|\d+(?:\.\d+)?')) as n_tokens,
-  list_filter(string_split_regex(regexp_replace(trim(t), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n{{2,}}'), lambda x: trim(x) <> '') as units from t),
-s as (select *, list_transform(words, lambda x: greatest(1, len(regexp_extract_all(lower(regexp_replace(x, '[^A-Za-z]', '', 'g')), '[aeiouy]+'))
-  - (regexp_matches(lower(regexp_replace(x, '[^A-Za-z]', '', 'g')), '[^ly]e$')
-     and len(regexp_extract_all(lower(regexp_replace(x, '[^A-Za-z]', '', 'g')), '[aeiouy]+')) > 1)::int)) as syl from w),
-c as (select doc_id, length(t) as n_characters, n_tokens, len(words) as n_alpha_words, len(units) as n_sentences,
-  coalesce(list_sum(syl), 0)::bigint as n_syllables, len(list_filter(syl, lambda x: x >= 3)) as n_complex,
-  coalesce(list_sum(list_transform(words, lambda x: length(regexp_replace(x, '[^A-Za-z]', '', 'g')))), 0)::bigint as n_letters from s),
-r as (select *, (n_tokens > 0 and n_alpha_words > 0 and n_sentences > 0) as ok, n_tokens::double / nullif(n_sentences, 0) as ps,
-  n_syllables::double / nullif(n_alpha_words, 0) as rate, 100.0::double * n_complex / nullif(n_alpha_words, 0) as hard from c)
-select doc_id, n_characters, n_tokens, n_alpha_words, n_sentences, n_syllables, n_complex, n_letters,
-  round(case when ok then 206.835::double - 1.015::double * ps - 84.6::double * rate else 0 end, 4) as flesch_reading_ease,
-  round(case when ok then 0.39::double * ps + 11.8::double * rate - 15.59::double else 0 end, 4) as flesch_kincaid_grade,
-  round(case when ok then 0.4::double * (ps + hard) else 0 end, 4) as gunning_fog_index,
-  round(case when ok then 1.043::double * sqrt(n_complex * 30.0::double / n_sentences) + 3.1291::double else 0 end, 4) as smog_index,
-  round(case when ok then 4.71::double * n_letters / n_alpha_words + 0.5::double * ps - 21.43::double else 0 end, 4) as automated_readability_index from r""",
-    "bigram_counts": """
-with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}') as w from documents),
-g as (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as ngram from w)
-select ngram, 2::bigint as n, count(*) as n_occurrences, count(distinct doc_id) as n_documents from g group by 1 having count(distinct doc_id) >= 2""",
-    "token_phrase_flags": r"""
-with b as (select doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ' as t from documents)
-select doc_id, coalesce(contains(t, ' emergency department '), false)::int as has_emergency_department, coalesce(contains(t, ' heavy drinking '), false)::int as has_heavy_drinking,
-  coalesce(contains(t, ' low mood '), false)::int as has_low_mood, coalesce(contains(t, ' hearing voices '), false)::int as has_hearing_voices from b""",
-    "confused_in_section": rf"""with {_SECTIONS.strip()} select note_id, regexp_matches(text, '(?i)\b(?:confusion|agitation)\b')::int as flag
-from sections where section = 'discharge_condition'""",
-    "missed_headings": rf"""
-with alias(name, section) as (values {_ALIASES}),
-l as (select doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10))) as line from documents),
-h as (select doc_id, lower({_SQUEEZE.format("regexp_extract(line, '^\\s*([A-Za-z][A-Za-z0-9/_&,\\-() ]{1,90}|[A-Z]{2,12})\\s*:\\s*(.*)$', 1)")}) as heading from l)
-select heading, count(*) as n_occurrences, count(distinct doc_id) as n_notes from h where heading <> '' and heading not in (select name from alias) group by 1""",
-    "term_pairs": f"""
-with r as (select distinct pair_id, mhh_quickumls_terms as t from matched_pairs), e as (select pair_id, unnest(list_distinct({_TERMS.format("t")})) as x,
-  row_number() over () as ignored, t from r)
-select a.x as term_a, b.x as term_b, count(*) as n_rows from e a join e b on a.pair_id = b.pair_id and a.t = b.t and a.x < b.x group by 1, 2""",
-    "shared_terms": f"""
-with r as (select distinct pair_id, mhh_quickumls_terms, mhc0_quickumls_terms from matched_pairs),
-t as (select pair_id, {_TERMS.format("mhh_quickumls_terms")} as a, {_TERMS.format("mhc0_quickumls_terms")} as b from r),
-s as (select *, list_sort(list_intersect(a, b)) as s, list_distinct(a || b) as u from t)
-select pair_id, len(s) as n_shared, array_to_string(s, ' | ') as shared,
-  case when len(a) = 0 or len(b) = 0 then 0 else len(s)::double / len(u) end as jaccard from s""",
-    "json_props": "select event_id, (props->>'$.k')::bigint as k from events",
-    "json_recovered": """select event_id, trim(regexp_extract(props, '"k"\\s*:\\s*([0-9]+)', 1))::bigint as k, 1 as recovered from events""",
-    "keyword_prefilter": f"""with {_SECTIONS.strip()}, h as (select *, ({" + ".join(f"({_hits('text', g)})" for g in tx.KEYWORDS)})::bigint as n_hits from sections)
-select note_id, section, n_hits, row_number() over (partition by note_id order by position) as section_number from h where n_hits > 0""",
-}

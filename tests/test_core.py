@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import text as tx
 from cohortloom.functions import values as vl
+from cohortloom.functions import vocabulary
 from cohortloom.operators import cohort, combine, history, matching, models, stats, summarise
 from cohortloom.sources import readers, writers
 from cohortloom.streaming import lookback
@@ -87,7 +88,7 @@ def test_values(spark):
     assert one(spark, vl.shortened(F.col("x"), 3, 9), "alpha beta gamma delta") == "alpha"
     assert one(spark, F.array_join(vl.expanded_terms(vl.split_terms(F.col("x"))), ","), "negated:chest pain | cough") == "negated:chest pain,cough,negated:chest,negated:pain"
     assert one(spark, vl.cosine(F.col("x"), F.col("x")), [0.0, 0.0], "array<double>") is None
-    assert one(spark, tx.has_phrase(F.col("x"), "low mood"), "Low  mood.") is True
+    assert one(spark, tx.has_phrase(F.col("x"), "low mood"), "A Low  mood .") is True
 
 
 def test_cut_bounds(spark):
@@ -264,3 +265,94 @@ def test_resumed_classification_skips_what_is_done(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
     lookback.classify_stream(stream, log, f"{tmp_path}/state", ["id"], label).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(log).collect()) == list(range(8))
+
+
+# what the reference's lists ask for beyond the queries' data
+
+
+def test_every_stigmatising_word_counts(spark):
+    text = "Uncooperative, unkempt, unmotivated, unwilling; unwillingly adamant. Poor  historian, drug-seeking, NARCOTIC - seeking, in denial."
+    counts = {g: one(spark, c, text) for g, c in tx.keyword_counts(F.col("x"), vocabulary.STIGMA).items()}
+    assert counts == {"adamant": 1, "compliance": 0, "other": 9}
+
+
+def test_hits_have_offsets_roots_and_snippets(spark):
+    text = "He claims to be angry, and claimed\n poor  historian."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, t string")
+    rows = tx.keyword_hits(df, ["k"], "t", around=5).orderBy("hit_index").collect()
+    assert [(r["keyword_group"], r["matched_term"], text[r["match_start"] : r["match_end"]]) for r in rows] == [
+        ("adamant", "claim", "claimed"), ("adamant", "claim", "claims"), ("other", "angry", "angry"), ("other", "poor historian", "poor  historian"),
+    ]
+    assert rows[1]["snippet"] == "He claims to b" and rows[3]["snippet"] == "med poor historian."
+    flags = tx.group_flags(tx.keyword_hits(df, ["k"], "t"), ["k"], list(vocabulary.STIGMA)).first()
+    assert (flags["has_adamant_keyword"], flags["has_compliance_keyword"]) == (True, False)
+
+
+def test_headings_with_placeholders_open_sections(spark):
+    note = "Chief Complaint ___:\nfall\n ALLERGIES :\n___\nUnit No: 4\n"
+    df = spark.createDataFrame([(1, note)], "k long, t string")
+    assert {r["section"]: r["text"] for r in tx.parse_sections(df, ["k"], "t").collect()} == {"chief_complaint": "fall", "allergies": "___ Unit No: 4".replace("___ ", "")}
+    told = tx.section_report(df, ["k"], "t").first()
+    assert told["detected_section_headings"] == "Chief Complaint ___ | ALLERGIES" and told["n_detected_sections"] == 2
+    assert '"normalized_heading":"chief complaint"' in told["all_detected_sections_json"]
+    missed = {r["heading"]: r["likely"] for r in tx.missed_headings(df, "k", "t").collect()}
+    assert missed == {"unit no": 0}
+
+
+def test_texts_without_end_marks_are_read_by_line(spark):
+    df = spark.createDataFrame([(1, "one two\n\tthree  four\r\nfive"), (2, "One. Two!\nThree"), (3, "one two"), (4, " "), (5, "a\n\nb")], "k long, t string")
+    found = {r["k"]: r for r in tx.complexity(df, ["k"], "t").collect()}
+    assert [found[k]["n_sentences"] for k in range(1, 6)] == [3, 3, 1, 0, 2]
+    assert (found[1]["n_nonempty_lines"], found[1]["n_whitespace_words"], found[4]["smog_index"]) == (3, 5, 0.0)
+
+
+def test_complaints_in_context_and_placeholders(spark):
+    assert one(spark, tx.context_complaint(F.col("x")), "CC: Pt can't  walk ;no CP.  ( fever )s/p fall") == "pt cannot walk; no chest pain. fever fall"
+    assert one(spark, tx.complaint_tokens(F.col("x")), "n/v 3 days b12") == "n/v | days | b12"
+    assert [one(spark, tx.is_placeholder(F.col("x")), t) for t in ("CC: ___", "s/p Unknown", "fall", None)] == [True, True, False, True]
+    assert one(spark, tx.normal_complaint(F.col("x")), "ha/sob") == "headache/shortness of breath"
+
+
+def test_mentions_are_negated_within_five_words(spark):
+    told = lambda negated: tx.mention_text(tx.concept_mentions(F.col("x")), negated)
+    text = "denies alcohol intoxication or heroin. panic attack; does not a b c feel suicidal and no one two three four five cocaine"
+    assert one(spark, told(True), text) == "alcohol intoxication=>intoxication | heroin=>substance_use | suicidal=>suicidal_ideation"
+    assert one(spark, told(False), text) == "cocaine=>substance_use | panic attack=>anxiety"
+    assert one(spark, told(False), None) is None or one(spark, told(False), None) == ""
+
+
+def test_subgroups_by_phrase_or_term(spark):
+    rows = [(1, "nausea and abd pain", []), (2, "cp", ["dyspnea"]), (3, "chest painful", []), (4, None, None), (5, "fevers", ["x"])]
+    df = spark.createDataFrame(rows, "k long, t string, n array<string>")
+    found = {r["k"]: r for r in combine.with_subgroups(df, "t", "n").collect()}
+    assert found[1]["subgroups"] == "abdominal_pain | nausea_vomiting" and found[1]["pure_group"] is None
+    assert found[1]["exclusive_group"] == "abdominal_pain_nausea_vomiting" and found[2]["exclusive_group"] == "chest_pain_shortness_of_breath"
+    assert [found[k]["n_subgroups"] for k in (3, 4, 5)] == [0, 0, 0] and found[5]["has_overlap_fever"] == 1
+
+
+def test_rows_are_numbered_in_order_over_all_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("a"))
+    assert all(r["n"] == r["a"] for r in combine.numbered(df, ["a"], "n").collect())
+    assert combine.numbered(df.where("a < 0"), ["a"], "n").count() == 0
+
+
+def test_answers_of_a_classifier(spark):
+    fields = vl.classifier_fields(F.col("x"))
+    answers = [
+        '{"psychiatric_context_label": "Positive", "psychiatric_mention_type": "odd", "evidence_span": "a  b"}',
+        'Sure: {"psychiatric_context_integrated": "negative", "integration_type": "management"} ok',
+        '{"psychiatric_context_label": "positive", "reason": "cut off he',
+        '{"psychiatric_context_label": "neither", "reason": "cut',
+        None,
+    ]
+    found = [one(spark, fields, a) for a in answers]
+    assert tuple(found[0])[:3] == ("positive", "current_context", "a b") and tuple(found[1])[:2] == ("negative", "management")
+    assert (found[2]["label"], found[2]["reason"], found[2]["recovered"]) == ("positive", "cut off he", True)
+    assert found[3] is None and found[4] is None
+
+
+def test_parents_need_two_texts_and_go_if_covered(spark):
+    said = ["left knee pain"] * 3 + ["right knee pain"] * 3 + ["fall"] * 2 + ["fall down"] * 2 + ["of the knee"] * 4
+    df = spark.createDataFrame(list(enumerate(said)) + [(99, None), (98, " ")], "k long, t string")
+    found = {r["phrase"]: (r["n_exact"], r["n_records"], r["n_texts"]) for r in tx.parent_phrases(df, "k", "t", least=4).collect()}
+    assert found == {"knee pain": (0, 6, 2), "fall": (2, 4, 2)}
