@@ -1,7 +1,8 @@
 """Cohorts of admissions by coded diagnoses (COH-01 to COH-18).
 
 Admissions have subject_id, hadm_id and admittime; diagnoses subject_id, hadm_id, seq_num,
-icd_version and icd_code; the dictionary icd_version, icd_code and long_title.
+icd_version and icd_code; the dictionary icd_version, icd_code and long_title. The dictionary is
+classified once, and the diagnoses are read once, into one row of facts for each admission.
 """
 
 from __future__ import annotations
@@ -15,52 +16,87 @@ KEY = ["icd_version", "icd_code"]
 ADMISSION = ["subject_id", "hadm_id"]
 
 
-def psychiatric_codes(dictionary: DataFrame) -> DataFrame:
-    """COH-01 over a dictionary of codes."""
-    return dictionary.where(rules.is_psychiatric(*[F.col(c) for c in (*KEY, "long_title")])).select(*KEY, "long_title").distinct()
+def code_dimension(dictionary: DataFrame) -> DataFrame:
+    """COH-01 to COH-03: icd_version, icd_code, psychiatric, grey and categories of each code, in one pass.
 
-
-def code_categories(dictionary: DataFrame) -> DataFrame:
-    """COH-02: icd_version, icd_code, category; a code may have several, `other` has those without any.
-
-    One pass over the dictionary: every category's test becomes an element of an array.
+    A code with several titles is what any of them makes it. categories is empty for codes that
+    aren't psychiatric and [other] for those of no other category; grey leaves psychiatric titles out.
     """
     version, code, title = (F.col(c) for c in (*KEY, "long_title"))
     tests = {name: rules.by_version(version, code, rule) for name, rule in rules.CATEGORY_RULES.items()}
     tests["suicide_self_harm"] = rules.title_has(title, rules.SELF_HARM_TITLES)
     found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]), lambda x: x.isNotNull())
-    by_code = psychiatric_codes(dictionary).groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_set(found))).alias("x"))
-    return by_code.select(*KEY, F.explode(F.when(F.size("x") > 0, F.col("x")).otherwise(F.array(F.lit("other")))).alias("category"))
+    told = dictionary.groupBy(KEY).agg(
+        F.bool_or(rules.is_psychiatric(version, code, title)).alias("psychiatric"), F.bool_or(rules.is_listed_grey(version, code)).alias("listed"),
+        F.bool_or(rules.title_has(title, rules.GREY_TITLES)).alias("titled"), F.array_distinct(F.flatten(F.collect_set(found))).alias("x"),
+    )
+    own = F.when(~F.col("psychiatric"), F.array().cast("array<string>")).when(F.size("x") == 0, F.array(F.lit("other"))).otherwise(F.col("x"))
+    return told.select(*KEY, "psychiatric", (F.col("listed") | (F.col("titled") & ~F.col("psychiatric"))).alias("grey"), own.alias("categories"))
+
+
+def code_categories(dictionary: DataFrame) -> DataFrame:
+    """COH-02: icd_version, icd_code, category; a code may have several, `other` has those without any."""
+    return code_dimension(dictionary).select(*KEY, F.explode("categories").alias("category"))
 
 
 def grey_codes(dictionary: DataFrame) -> DataFrame:
-    """COH-03: listed codes of organ damage by alcohol, and codes with titles of poisoning and the like that aren't psychiatric."""
-    columns = [F.col(c) for c in (*KEY, "long_title")]
-    listed = dictionary.where(rules.is_listed_grey(*columns[:2]))
-    titled = dictionary.where(rules.title_has(columns[2], rules.GREY_TITLES)).join(psychiatric_codes(dictionary).select(KEY), KEY, "left_anti")
-    return listed.select(*KEY, "long_title").union(titled.select(*KEY, "long_title")).distinct()
+    """COH-03: listed codes of organ damage by alcohol, and titles of poisoning and the like of codes that aren't psychiatric."""
+    own = dictionary.select(*KEY, "long_title").distinct().join(code_dimension(dictionary).where("grey"), KEY)
+    titled = rules.title_has(F.col("long_title"), rules.GREY_TITLES) & ~F.col("psychiatric")
+    return own.where(rules.is_listed_grey(*[F.col(c) for c in KEY]) | titled).select(*KEY, "long_title")
+
+
+def listed_codes(dictionary: DataFrame, rule: dict[int, rules.CodeRule]) -> DataFrame:
+    """COH-14: the dictionary's codes of a list."""
+    return dictionary.where(rules.by_version(F.col("icd_version"), F.col("icd_code"), rule)).select(*KEY, "long_title").distinct()
+
+
+def unlisted_titles(dictionary: DataFrame, rule: dict[int, rules.CodeRule], titles: tuple[str, ...]) -> DataFrame:
+    """FLT-06: codes whose title has one of the needles but that a list lacks; a null title has none."""
+    seen = rules.by_version(F.col("icd_version"), F.col("icd_code"), rule)
+    return dictionary.where(rules.title_has(F.col("long_title"), titles) & ~seen).select(*KEY, "long_title").distinct()
+
+
+def admission_facts(diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """subject_id, hadm_id and what the codes of an admission say, from one read of the diagnoses.
+
+    plain_first: some first diagnosis is neither psychiatric nor grey; psychiatric_first: some is
+    psychiatric; first_category: the first category, in the rules' order, of the first diagnoses;
+    same: sorted categories of the further diagnoses; every: of all. Codes the dictionary lacks are plain.
+    """
+    coded = diagnoses.select(*ADMISSION, "seq_num", *KEY).join(code_dimension(dictionary), KEY, "left")
+    first, names = F.col("seq_num") == 1, F.array(*map(F.lit, rules.CATEGORIES))
+    psychiatric, grey = (F.coalesce(c, F.lit(False)) for c in ("psychiatric", "grey"))
+    place = F.array_min(F.transform("categories", lambda c: F.array_position(names, c)))
+    sets = lambda test: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(test, F.col("categories"))))))
+    out = coded.groupBy(ADMISSION).agg(
+        F.bool_or(first & ~psychiatric & ~grey).alias("plain_first"), F.bool_or(first & psychiatric).alias("psychiatric_first"),
+        F.min(F.when(first, place)).alias("place"), sets(F.col("seq_num") > 1).alias("same"), sets(F.lit(True)).alias("every"),
+    )
+    return out.withColumn("first_category", F.try_element_at(names, F.col("place").cast("int"))).drop("place")
 
 
 def base_admissions(admissions: DataFrame, notes: DataFrame, diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
     """COH-04: admissions with a note and a first diagnosis that is neither psychiatric nor grey."""
-    excluded = psychiatric_codes(dictionary).select(KEY).union(grey_codes(dictionary).select(KEY)).distinct()
-    first = diagnoses.where("seq_num = 1").join(excluded, KEY, "left_anti").select(ADMISSION).distinct()
-    kept = admissions.select(*ADMISSION, "admittime").join(notes.select(ADMISSION).distinct(), ADMISSION, "left_semi")
-    return kept.join(first, ADMISSION, "left_semi").distinct()
+    return base_of(admissions, notes, admission_facts(diagnoses, dictionary))
+
 
+def base_of(admissions: DataFrame, notes: DataFrame, facts: DataFrame) -> DataFrame:
+    """COH-04 from the facts of the admissions."""
+    kept = admissions.select(*ADMISSION, "admittime").join(notes.select(ADMISSION), ADMISSION, "left_semi")
+    return kept.join(facts.where("plain_first").select(ADMISSION), ADMISSION, "left_semi").distinct()
 
-def history_categories(base: DataFrame, admissions: DataFrame, diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
+
+def history_categories(base: DataFrame, admissions: DataFrame, facts: DataFrame) -> DataFrame:
     """COH-05, COH-06 and COH-08: base with both flags, mhc and both lists of categories joined by a bar.
 
     "Some earlier admission had the category" is "its first time is earlier", so that the first time
     of each category, at most one entry for each in an array by subject, replaces the inequality join.
     """
-    coded = diagnoses.select(*ADMISSION, "seq_num", *KEY).join(code_categories(dictionary).select(*KEY, "category"), KEY)
-    same = coded.where("seq_num > 1").groupBy(ADMISSION).agg(F.array_sort(F.collect_set("category")).alias("same"))
-    times = coded.select(*ADMISSION, "category").distinct().join(admissions.select(*ADMISSION, "admittime"), ADMISSION)
-    first = times.groupBy("subject_id", "category").agg(F.min("admittime").alias("first"))
+    timed = facts.select(*ADMISSION, "every").where("size(every) > 0").join(admissions.select(*ADMISSION, "admittime"), ADMISSION)
+    first = timed.select("subject_id", "admittime", F.explode("every").alias("category")).groupBy("subject_id", "category").agg(F.min("admittime").alias("first"))
     first = first.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("category", "first"))).alias("firsts"))
-    joined = base.join(same, ADMISSION, "left").join(first, "subject_id", "left")
+    joined = base.join(facts.select(*ADMISSION, "same"), ADMISSION, "left").join(first, "subject_id", "left")
     prior = F.transform(F.filter("firsts", lambda x: x["first"] < F.col("admittime")), lambda x: x["category"])
     joined = joined.withColumn("prior", prior)
     has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
@@ -88,6 +124,11 @@ def exposed_only(grouped: DataFrame) -> DataFrame:
     return grouped.where("subject_group = 'only_MHC1' and mhc = 1")
 
 
+def same_admission_only(grouped: DataFrame) -> DataFrame:
+    """COH-10: exposed admissions by their own further diagnoses alone, without history."""
+    return exposed_only(grouped).where("has_secondary_psychiatric_same_admission = 1 and has_prior_psychiatric_history = 0")
+
+
 def with_focus(grouped: DataFrame, column: str, focus: list[str] = rules.FOCUS) -> DataFrame:
     """COH-10 and COH-11: rows whose list of categories in column has one of the focus."""
     return grouped.where(F.arrays_overlap(F.split(F.coalesce(column, F.lit("")), r" \| "), F.array(*map(F.lit, focus))))
@@ -108,26 +149,23 @@ def focus_patterns(grouped: DataFrame, column: str) -> DataFrame:
     return grouped.withColumn("pattern", flag_pattern(flags)).withColumn("n_categories", count)
 
 
-def primary_category(diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
+def primary_category(facts: DataFrame) -> DataFrame:
     """CND-04: subject_id, hadm_id and the first category, in the rules' order, of an admission's first diagnoses."""
-    order = F.array_position(F.array(*map(F.lit, rules.CATEGORIES)), F.col("category"))
-    coded = diagnoses.where("seq_num = 1").join(code_categories(dictionary).select(*KEY, "category"), KEY)
-    return coded.groupBy(ADMISSION).agg(F.min_by("category", order).alias("category"))
+    return facts.where("first_category is not null").select(*ADMISSION, F.col("first_category").alias("category"))
 
 
-def admission_states(admissions: DataFrame, grouped: DataFrame, diagnoses: DataFrame, dictionary: DataFrame, refined: bool = False) -> DataFrame:
+def admission_states(admissions: DataFrame, grouped: DataFrame, facts: DataFrame, refined: bool = False) -> DataFrame:
     """COH-13, CND-06: all admissions of mixed subjects with their state."""
     mixed = grouped.where("subject_group = 'MHC_0_to_1'").select("subject_id").distinct()
-    primary = diagnoses.where("seq_num = 1").join(psychiatric_codes(dictionary), KEY, "left_semi").select(ADMISSION).distinct()
     base = grouped.select(*ADMISSION, "mhc", "has_secondary_psychiatric_same_admission", "has_prior_psychiatric_history")
     rows = admissions.select(*ADMISSION, "admittime").join(mixed, "subject_id", "left_semi").join(base, ADMISSION, "left")
-    rows = rows.join(primary.withColumn("primary", F.lit(True)), ADMISSION, "left")
+    rows = rows.join(facts.where("psychiatric_first").select(*ADMISSION, "psychiatric_first"), ADMISSION, "left")
     same, prior = F.col("has_secondary_psychiatric_same_admission"), F.col("has_prior_psychiatric_history")
     if refined:
         state = F.when((same == 0) & (prior == 0), 0).when((same == 1) & (prior == 0), 11).when((same == 0) & (prior == 1), 12).when((same == 1) & (prior == 1), 13)
     else:
         state = F.when(F.col("mhc").isNotNull(), F.col("mhc"))
-    state = F.coalesce(state, F.when(F.col("primary"), 4), F.lit(9))
+    state = F.coalesce(state, F.when(F.col("psychiatric_first"), 4), F.lit(9))
     return rows.select(*ADMISSION, "admittime", state.cast("int").alias("admission_state"))
 
 
@@ -138,12 +176,31 @@ def trajectories(states: DataFrame) -> DataFrame:
     return out.select("subject_id", "n_admissions", F.array_join(F.transform("x", lambda s: s["admission_state"].cast("string")), "-").alias("trajectory"))
 
 
-def first_pairs(pairs: DataFrame, case_subject: str, case_time: str, case: str, control_subject: str) -> DataFrame:
-    """COH-17: each case subject's first pair, then of each control subject the earliest one."""
-    order = [F.col(case_time).asc_nulls_last(), F.col(case)]
-    once = pairs.withColumn("r", F.row_number().over(Window.partitionBy(case_subject).orderBy(*order))).where("r = 1")
-    again = F.row_number().over(Window.partitionBy(control_subject).orderBy(*order, case_subject))
-    return once.withColumn("r", again).where("r = 1").drop("r")
+def reversals(states: DataFrame) -> DataFrame:
+    """QA-05: admissions in state 0 after one in state 1 of the same subject; there are none if history is right."""
+    order = Window.partitionBy("subject_id").orderBy("admittime").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.coalesce(F.max((F.col("admission_state") == 1).cast("int")).over(order), F.lit(0))
+    return states.withColumn("_seen", seen).where("_seen = 1 and admission_state = 0").drop("_seen")
+
+
+def _least(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """The pair of each value of `by` that comes first in an order, nulls last; one aggregate, no sort of whole groups."""
+    key = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"_{c}"), F.col(c))])
+    return rows.groupBy(by).agg(F.min_by("pair_id", key).alias("pair_id")).select("pair_id").distinct()
+
+
+def first_pairs(rows: DataFrame, role: str, case: str, control: str) -> DataFrame:
+    """COH-17: the rows (pair_id, role, subject_id, hadm_id, admittime) of each case subject's first pair with its control.
+
+    Only pairs with exactly one case and one control admission count; of pairs that share a control
+    subject the one with the earliest control admission is kept.
+    """
+    order = ["admittime", "pair_id", "hadm_id"]
+    first = rows.join(_least(rows.where(F.col(role) == case), "subject_id", order), "pair_id", "left_semi")
+    one = lambda name: F.count_distinct(F.when(F.col(role) == name, F.col("hadm_id"))) == 1
+    whole = first.groupBy("pair_id").agg((one(case) & one(control)).alias("whole")).where("whole").select("pair_id")
+    kept = first.join(whole, "pair_id", "left_semi")
+    return kept.join(_least(kept.where(F.col(role) == control), "subject_id", order), "pair_id", "left_semi")
 
 
 def cap_loss(rows: DataFrame, pair: str, subject: str, order: list[str], caps: tuple[int, ...] = (3, 4, 5)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import text as tx
 from cohortloom.functions.vocabulary import COMBINED_SUBGROUPS, OVERLAPS, SUBGROUPS
-from cohortloom.session import materialize
+from cohortloom.operators import ranges
 
 
 class ContractError(ValueError):
@@ -112,15 +112,8 @@ def first_entities(df: DataFrame, entity: str, order: list[Column], n: int) -> D
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with a number from 0 in an order that tells its rows apart; no task sees more than its range of rows."""
-    placed = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    counts = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one for each range
-    begin, starts = 0, []
-    for part in sorted(counts):
-        starts.append((part, begin))
-        begin += counts[part]
-    first = df.sparkSession.createDataFrame(starts, "_p int, _first long")
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return placed.withColumn("_r", within).join(F.broadcast(first), "_p").withColumn(name, F.col("_first") + F.col("_r")).drop("_p", "_r", "_first")
+    rows = ranges.placed(df.withColumn("_g", F.lit(0)), ["_g"], order)
+    return ranges.counted(rows, ["_g"], order).withColumn(name, F.col("_before").cast("long")).drop("_before", "_p", "_g")
 
 
 def with_subgroups(df: DataFrame, complaint: str, terms: str) -> DataFrame:

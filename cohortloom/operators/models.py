@@ -67,10 +67,11 @@ def classify(df: DataFrame, key: str, text: str, client: Callable[[str], str], a
 
 
 def keyword_client(prompt: str) -> str:
-    """A deterministic client for tests: a label from keywords, as JSON."""
+    """A deterministic client for tests: a label from keywords, as JSON, which is cut off where mood is spoken of."""
     low = prompt.lower()
-    label = "positive" if "psych" in low or "mania" in low else "unclear" if "mood" in low else "negative"
-    return json.dumps({"label": label})
+    label = "positive" if "psych" in low or "mania" in low else "negative"
+    answer = json.dumps({"psychiatric_context_label": label, "psychiatric_mention_type": "other", "reason": "words"})
+    return answer[:-4] if "mood" in low and label == "negative" else answer
 
 
 def phrase_clusters(df: DataFrame, key: str, text: str, k: int, least: int = 3, most: float = 0.8, seed: int = 42) -> DataFrame:

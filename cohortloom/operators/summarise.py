@@ -7,6 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.operators import ranges
+
+
+def quantiles(values: DataFrame, keys: list[str], x: str, shares: tuple[float, ...]) -> DataFrame:
+    """keys and q, an array of the exact quantiles of x, interpolated between neighbours. Null values don't count.
+
+    Equal values are counted first; the different ones are ranked over ranges, so that no group is held by one task.
+    """
+    counts = values.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
+    ranked = ranges.counted(ranges.placed(counts, keys, [x]), keys, [x], "_c")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_all"))
+    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], "_all")
+    ranked = ranked.join(sizes, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    at = [(F.col("_all") - 1) * F.lit(s) for s in shares]
+    within = lambda place: (F.col("_before") <= place) & (place < F.col("_before") + F.col("_c"))
+    low = [F.max(F.when(within(F.floor(a)), F.col(x))) for a in at]
+    high = [F.max(F.when(within(F.ceil(a)), F.col(x))) for a in at]
+    part = [F.max(a - F.floor(a)) for a in at]
+    return ranked.groupBy(*keys).agg(F.array(*[lo + (hi - lo) * p for lo, hi, p in zip(low, high, part)]).alias("q"))
+
 
 def describe_numbers(df: DataFrame, group: str, measures: list[str]) -> DataFrame:
     """AGG-03, AGG-11: n, mean, sd, quartiles, range and share above 0 of each measure in each group.
@@ -14,12 +34,13 @@ def describe_numbers(df: DataFrame, group: str, measures: list[str]) -> DataFram
     All measures are unpivoted and summarised in one aggregation; quantiles are exact. Null values
     don't count; a single value has a null sd.
     """
-    rows = df.select(group, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot([group], measures, "measure", "x")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.where(F.col("x").isNotNull()).groupBy(group, "measure").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), q.alias("q"),
+    rows = df.select(group, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot([group], measures, "measure", "x").where("x is not null")
+    out = rows.groupBy(group, "measure").agg(
+        F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
         F.min("x").alias("min"), F.max("x").alias("max"), F.count_if(F.col("x") > 0).alias("n_positive"),
     )
+    q = quantiles(rows, [group, "measure"], "x", (0.25, 0.5, 0.75)).select(F.col(group).alias("_g"), F.col("measure").alias("_m"), "q")
+    out = out.join(q, F.col(group).eqNullSafe(F.col("_g")) & (F.col("measure") == F.col("_m")))
     return out.select(
         group, "measure", "n", "mean", "sd", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"),
         (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "min", "max", "n_positive", (100.0 * F.col("n_positive") / F.col("n")).alias("pct_positive"),
@@ -123,3 +144,33 @@ def standardised_difference(df: DataFrame, group: str, values: tuple[str, str],
     )
     spread = F.sqrt((F.col("v1") + F.col("v2")) / 2)
     return out.select("measure", "mean_1", "mean_2", F.when(spread > 0, (F.col("mean_1") - F.col("mean_2")) / spread).alias("smd"))
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """AGG-17: count, mean, sd, min, exact quartiles and max of each column, over all rows."""
+    out = describe_numbers(df.select(F.lit("all").alias("_every"), *columns), "_every", columns)
+    return out.select("measure", F.col("n").alias("count"), "mean", "sd", "min", F.col("q1").alias("p25"), F.col("median").alias("p50"), F.col("q3").alias("p75"), "max")
+
+
+def share_of_all(df: DataFrame, by: str, entity: str) -> DataFrame:
+    """JON-07: by, n and pct of all different entities, whose number is one row that is joined to every group."""
+    whole = df.agg(F.count_distinct(entity).alias("n_all"))
+    counts = df.groupBy(by).agg(F.count_distinct(entity).alias("n"))
+    return counts.crossJoin(F.broadcast(whole)).select(by, "n", guarded_percent(F.col("n"), F.col("n_all")).alias("pct"))
+
+
+def ordered_by_size(df: DataFrame, column: str, key: str, n: int) -> DataFrame:
+    """SRT-02, TOP-01: the n rows with the largest absolute values, nulls last, ties by key."""
+    return df.orderBy(F.abs(F.col(column)).desc_nulls_last(), F.col(key)).limit(n)
+
+
+def category_rank(value: Column, order: list[str]) -> Column:
+    """SRT-03: the place of a value in a custom order, from 0; others come last."""
+    place = F.array_position(F.array(*map(F.lit, order)), value)
+    return F.when(F.coalesce(place, F.lit(0)) > 0, place - 1).otherwise(len(order)).cast("long")
+
+
+def two_key_pivot(df: DataFrame, row: list[str], a: str, b: str, pairs: list[tuple[str, str]], value: str) -> DataFrame:
+    """RSH-04: row and <value>_<a>_<b> of every listed pair of two columns' values, null where there is no row."""
+    wide = [F.first(F.when((F.col(a) == x) & (F.col(b) == y), F.col(value)), ignorenulls=True).alias(f"{value}_{x}_{y}") for x, y in pairs]
+    return df.groupBy(*row).agg(*wide)

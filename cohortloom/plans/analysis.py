@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from cohortloom.functions import values as vl
-from cohortloom.operators import combine, history, matching, models, stats
+from cohortloom.functions import vocabulary
+from cohortloom.operators import combine, comorbidity, history, matching, models, stats
 from cohortloom.operators import summarise as sm
 from cohortloom.plans import roles
-from cohortloom.session import checkpoint_root, table
+from cohortloom.plans.comorbidity_sql import GROUPS_SQL
+from cohortloom.session import checkpoint_root, materialize, remove, table
+from cohortloom.sources import readers, writers
 from cohortloom.streaming import lookback
 
 MEASURES = ["elixhauser_score", "hospital_los_days", "n_labevents", "n_orders", "prior_admissions_365d"]
@@ -140,9 +143,10 @@ def chunk_label_collapse(spark, d):
 
 
 def death_window_flags(spark, d):
+    """DAT-05 with days of death and the flag of the admission made from its number."""
     death = F.when(F.col("hadm_id") % 3 == 0, F.col("dischtime") + F.make_dt_interval((F.col("hadm_id") % 400).cast("int") - 5))
-    rows = roles.admissions(spark, d).withColumn("deathtime", death)
-    flags = vl.death_flags(F.col("admittime"), F.col("dischtime"), F.col("deathtime"))
+    rows = roles.admissions(spark, d).withColumn("dod", death).withColumn("expired", (F.col("hadm_id") % 11 == 0).cast("int"))
+    flags = vl.death_flags(F.col("admittime"), F.col("dischtime"), F.col("dod"), F.col("expired"))
     return rows.select("hadm_id", *[f.cast("int").alias(n) for n, f in flags.items()])
 
 
@@ -151,42 +155,81 @@ def length_of_stay(spark, d):
 
 
 def comorbidity_scores(spark, d):
-    return stats.comorbidity_scores(roles.admissions(spark, d), roles.diagnoses(spark, d))
+    return comorbidity.comorbidity_scores(roles.admissions(spark, d), roles.diagnoses(spark, d))
 
 
-def _vectors(spark, d):
-    rows = table(spark, d, "embeddings")
+def _sides(spark, d):
+    """Admissions that were matched, and all others of the same table, as exposed rows and controls."""
+    rows = table(spark, d, "mhh_psychotic_matching_variables").groupBy("hadm_id").agg(
+        *[F.min(c).alias(c) for c in ("sex", "insurance_group", "age_at_admission", "elixhauser_score", "quickumls_terms", "embedding")]
+    )
     people = rows.select(
-        F.col("vec_id").alias("id"), (F.col("vec_id") % 2).cast("string").alias("sex"), F.lit("g").alias("insurance_group"),
-        (F.col("vec_id") % 60 + 20).alias("age"), F.floor((F.col("vec_id") % 60 + 20) / 10).cast("int").alias("age_bin"),
-        (F.col("vec_id") % 7).cast("double").alias("score"), F.array(F.col("label").cast("string")).alias("terms"), "embedding",
+        F.col("hadm_id").alias("id"), "sex", "insurance_group", F.col("age_at_admission").alias("age"), matching.age_bin(F.col("age_at_admission")).alias("age_bin"),
+        F.col("elixhauser_score").alias("score"), vl.split_terms(F.lower("quickumls_terms")).alias("terms"), "embedding",
     )
-    return people.where("id % 3 = 0"), people.where("id % 3 <> 0")
-
-
-_LOOSE = matching.MatchRule(nearest=20, least_cosine=0.1, fallback_cosine=0.2)
+    matched = table(spark, d, "matched_pairs").select(F.col("mhh_hadm_id").alias("id")).distinct()
+    return people.join(matched, "id", "left_semi"), people.join(matched, "id", "left_anti")
 
 
 def match_static_candidates(spark, d):
-    found = matching.static_candidates(*_vectors(spark, d), _LOOSE)
-    return found.select("exposed_id", "control_id", F.round("cosine", 5).alias("cosine"), F.col("fallback").cast("int").alias("fallback"), "score_difference")
+    found = matching.static_candidates(*_sides(spark, d))
+    return found.select("exposed_id", "control_id", F.round("cosine", 5).alias("cosine"), F.col("fallback").cast("int").alias("fallback"), F.round("score_difference", 6).alias("score_difference"))
 
 
 def match_greedy(spark, d):
-    return matching.match(*_vectors(spark, d), _LOOSE)
+    return matching.match(*_sides(spark, d)).select("exposed_id", "control_id", F.round("cosine", 5).alias("cosine"), "match_type")
+
+
+def _modelled(spark, d):
+    """Utilisation rows with scaled covariates (PRJ-05) and the subgroup of the admission's complaint."""
+    said = combine.stacked_roles(table(spark, d, "matched_pairs").distinct(), {"mhh_": "a", "mhc0_": "b"}, ["pair_id"])
+    lower = F.transform(vl.split_terms(F.col("quickumls_terms")), F.lower)
+    said = combine.with_subgroups(said.select("hadm_id", F.col("chief_complaint_normalized").alias("t"), vl.expanded_terms(lower).alias("n")), "t", "n")
+    groups = said.groupBy("hadm_id").agg(F.min("pure_group").alias("pure_group"), F.min("exclusive_group").alias("exclusive_group"))
+    rows = _utilisation(spark, d).join(groups, "hadm_id", "left")
+    return rows.withColumns({
+        "exposed": (F.col("cohort") != "MHC0").cast("int"), "age10": F.col("age_at_admission") / 10, "score5": F.col("elixhauser_score") / 5,
+        "log_prior": F.log1p("prior_admissions_365d"), "long": (F.col("hospital_los_days") > 3).cast("int"), "log_orders": F.log(F.when(F.col("n_orders") > 0, F.col("n_orders"))),
+    })
+
+
+_STRATA = {g: f"pure_group = '{g}'" for g in vocabulary.SUBGROUPS} | {g: f"exclusive_group = '{g}'" for g in vocabulary.COMBINED_SUBGROUPS}
+
+
+def _grid(spark, d):
+    models = stats.adjustment_grid(["n_labevents", "n_orders"], ["hospital_los_days"], "cluster_id")
+    return stats.fit_grid(_modelled(spark, d), models, _STRATA)
 
 
 def regression_grid(spark, d):
-    rows = _utilisation(spark, d).withColumn("exposed", (F.col("cohort") != "MHC0").cast("int")).withColumn("age10", F.col("age_at_admission") / 10)
-    rows = rows.withColumn("score5", F.col("elixhauser_score") / 5).withColumn("long", (F.col("hospital_los_days") > 3).cast("int"))
-    adjusted = ("exposed", "age10", "score5")
+    """STA-03 to STA-06: counts and stays by cohort in each adjustment, over all rows and in each complaint subgroup."""
+    return _grid(spark, d)
+
+
+def regression_side_by_side(spark, d):
+    pairs = [(f, a) for f in ("poisson_log", "log_ols", "gamma_log") for a in stats.ADJUSTMENTS]
+    return stats.side_by_side(_grid(spark, d), "exposed", pairs)
+
+
+def regression_odds(spark, d):
+    """STA-02, STA-03 with an offset, STA-05 with its row guard."""
     models = {
-        "labs_poisson": stats.Model("poisson", "n_labevents", adjusted, "cluster_id"),
         "long_stay_logistic": stats.Model("binomial", "long", ("exposed",), "cluster_id"),
-        "los_gamma": stats.Model("gamma", "hospital_los_days", ("exposed",), "cluster_id"),
-        "log_orders_gaussian": stats.Model("gaussian", "n_orders", adjusted, "cluster_id"),
+        "labs_by_order": stats.Model("poisson", "n_labevents", ("exposed",), "cluster_id", offset="log_orders"),
+        "orders_ols": stats.Model("gaussian", "n_orders", ("exposed", "age10", "score5"), "cluster_id", least_rows=20, both="exposed"),
     }
-    return stats.fit_grid(rows, models, {"no_prior": "prior_admissions_365d = 0"})
+    return stats.fit_grid(_modelled(spark, d), models)
+
+
+def single_predictor_effects(spark, d):
+    """STA-02 to STA-04 where they have a closed form: with the cohort alone, the means of both cohorts tell the estimates and the cluster sums their errors."""
+    models = {
+        "labs|poisson": stats.Model("poisson", "n_labevents", ("exposed",), "cluster_id"), "stay|gamma": stats.Model("gamma", "hospital_los_days", ("exposed",), "cluster_id"),
+        "stay|log_ols": stats.Model("gaussian", "hospital_los_days", ("exposed",), "cluster_id", log1p=True),
+        "long|binomial": stats.Model("binomial", "long", ("exposed",), "cluster_id"),
+    }
+    found = stats.fit_grid(_modelled(spark, d), models).where("term = 'exposed'")
+    return found.select("model", F.round("estimate", 6).alias("estimate"), F.round("error", 6).alias("error"), "n_rows", "n_clusters")
 
 
 def cluster_summaries(spark, d):
@@ -204,22 +247,59 @@ def phrase_clusters(spark, d):
 
 
 def classified_sections(spark, d):
-    """UDF-02, JSN-01 to JSN-04: a client's JSON answers read into labels."""
+    """UDF-02, JSN-01 to JSN-05: a client's JSON answers read into fields."""
     rows = table(spark, d, "psych_history_llm_input").select("classifier_row_id", "section_text").distinct()
     told = models.classify(rows, "classifier_row_id", "section_text", models.keyword_client)
-    label = vl.enum_or(vl.json_field(F.col("answer"), "label"), ["positive", "unclear", "negative"], "unclear")
-    return told.select("classifier_row_id", label.alias("label"))
+    fields = told.select("classifier_row_id", vl.classifier_fields(F.col("answer")).alias("f"))
+    return fields.select("classifier_row_id", "f.label", "f.mention_type", F.col("f.recovered").cast("int").alias("recovered"))
 
 
 def streamed_daily_counts(spark, d):
-    """A stream over the events' files, run to its end, in the windows of the streaming module."""
+    """A stream over the events' files, run to its end, in the windows of the streaming module; only windows that the watermark has closed come out."""
     path = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = lookback.windowed_counts(rows, "ts", "event_type", "1 day", "1 day")
-    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
-    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
-    return spark.read.parquet(path).select("event_type", F.to_date("begin").alias("day"), "n")
+    writer = counts.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    writer.format("parquet").option("path", f"{path}/out").start().awaitTermination()
+    out = materialize(spark.read.parquet(f"{path}/out").select("event_type", F.to_date("begin").alias("day"), "n"))
+    remove(spark, path)
+    return out
+
+
+def described_measures(spark, d):
+    return _rounded(sm.described(_utilisation(spark, d), MEASURES))
+
+
+def largest_differences(spark, d):
+    """SRT-02, TOP-01: the pairs whose scores differ most."""
+    rows = table(spark, d, "matched_pairs").select("pair_id", (F.col("mhh_elixhauser_score") - F.col("mhc0_elixhauser_score")).alias("difference")).distinct()
+    return sm.ordered_by_size(rows, "difference", "pair_id", 25)
+
+
+def ordered_categories(spark, d):
+    """SRT-03: counts of insurance groups with their place in a custom order."""
+    counts = _variables(spark, d).groupBy("insurance_group").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", sm.category_rank(F.col("insurance_group"), ["medicare", "medicaid", "private", "other", "missing"]))
+
+
+def round_trips(spark, d):
+    """SRC-01, SRC-04, SRC-06 to SRC-10, SNK-01 to SNK-06: matched pairs through each format and back."""
+    path = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}"
+    rows = table(spark, d, "matched_pairs").select("pair_id", "mhh_chief_complaint_raw", "mhh_sex", "cosine_similarity").distinct()
+    writers.write_twins(rows, f"{path}/twins")
+    writers.write_jsonl(rows, f"{path}/lines", {"query": "round_trips"})
+    writers.write_csv(rows, f"{path}/zipped", compression="gzip")
+    rows.createOrReplaceTempView("round_trip_pairs")
+    parts = {
+        "parquet": readers.resolve(spark, f"{path}", "twins"), "csv": readers.read_csv(spark, f"{path}/twins.csv", rows.schema),
+        "gzip": readers.read_csv(spark, f"{path}/zipped", rows.schema, partitions=4), "json_lines": readers.read_jsonl(spark, f"{path}/lines", rows.schema),
+        "view": readers.lower_names(spark.table("round_trip_pairs")),
+    }
+    both = readers.union_tagged(parts, "source").where("mhh_chief_complaint_raw <> '' or mhh_chief_complaint_raw is null")
+    out = materialize(both.select("source", "pair_id", F.length("mhh_chief_complaint_raw").cast("long").alias("n_characters"), "mhh_sex", F.round("cosine_similarity", 6).alias("cosine")))
+    remove(spark, path)
+    return out
 
 
 _QUERIES = [
@@ -227,7 +307,8 @@ _QUERIES = [
     cohort_numeric_summary, cohort_categorical_balance, overall_beside_groups, admissions_per_subject_hist, interval_buckets, age_bin_cut_all_bins,
     matched_pair_smd, stacked_pairs, topn_codes_per_group, event_counts_zero_filled, label_crosstab, pivot_rates, collapsed_insurance, insurance_category,
     share_of_group, adjusted_p_values, label_agreement_outer, resume_missing_rows, key_differences, preferred_source_merge, last_written_rows,
-    chunk_label_collapse, death_window_flags, length_of_stay, comorbidity_scores, match_static_candidates, match_greedy, regression_grid,
+    chunk_label_collapse, death_window_flags, length_of_stay, comorbidity_scores, match_static_candidates, match_greedy, regression_grid, regression_side_by_side,
+    regression_odds, single_predictor_effects, described_measures, largest_differences, ordered_categories, round_trips,
 ]
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -251,26 +332,67 @@ def _bins(source: str, value: str, edges: list, labels: list[str], right: bool)
 b(bin_order, bin) as (values {names}) select b.bin_order::bigint as bin_order, b.bin, coalesce(c.n, 0) as n from b left join c on c.bin = b.bin"""
 
 
-def _comorbid() -> str:
-    flags = []
-    for name, (_, rule) in stats.COMORBIDITY.items():
-        tests = [f"(icd_version = {v} and regexp_matches(icd_code, '^(?:{'|'.join(p.split())})'))" for v, p in rule.items()]
-        flags.append(f"max(({' or '.join(tests)})::int) as {name}")
-    score = " + ".join(f"{name} * {weight}" for name, (weight, _) in stats.COMORBIDITY.items())
-    return f"""f as (select hadm_id, {", ".join(flags)} from diagnoses group by 1)
-select a.hadm_id, coalesce({" + ".join(stats.COMORBIDITY)}, 0)::bigint as n_groups, coalesce({score}, 0)::bigint as score from admissions a left join f using (hadm_id)"""
-
+_SIDES = """r as (select hadm_id as id, min(sex) as sex, min(insurance_group) as ig, min(age_at_admission) as age, min(elixhauser_score) as score, min(quickumls_terms) as terms,
+    min(embedding) as e from mhh_psychotic_matching_variables group by 1),
+b as (select *, case when age between 18 and 29 then 0 when age between 30 and 79 then age // 10 - 2 when age between 80 and 120 then 6 end as bin,
+  list_filter(list_transform(string_split(coalesce(lower(terms), ''), '|'), lambda x: trim(x)), lambda x: x <> '') as t from r),
+w as (select *, list_distinct(list_concat(t, flatten(list_transform(t, lambda x: list_transform(string_split(regexp_replace(x, '^negated:', ''), ' '),
+    lambda y: case when starts_with(x, 'negated:') then 'negated:' || y else y end))))) as words, id in (select mhh_hadm_id from matched_pairs) as exposed from b),
+v as (select * from w where sex is not null and ig is not null and bin is not null and score is not null and e is not null and list_inner_product(e::double[], e::double[]) > 0),
+p as (select e.id as exposed_id, c.id as control_id, round(list_cosine_similarity(e.e::double[], c.e::double[]), 9) as cosine, abs(e.score - c.score) as score_difference,
+    abs(e.age - c.age)::double as age_difference, e.bin = c.bin as same_bin, c.bin, e.sex, e.ig, e.score as exposed_score,
+    len(list_intersect(e.words, c.words)) > 0 and len(list_intersect(e.words, c.words)) >= 0.2::double * len(list_distinct(list_concat(e.words, c.words))) as screened
+  from v e join v c on e.exposed and not c.exposed and e.sex = c.sex and e.ig = c.ig and abs(e.bin - c.bin) <= 1 and len(e.e) = len(c.e)),
+f as (select *, not max(screened) over (partition by exposed_id) as fallback from p),
+k as (select *, cosine > case when fallback then 0.93 else 0.90 end as enough from f where screened or fallback
+  qualify row_number() over (partition by exposed_id, bin order by cosine desc, control_id) <= 100)"""
+# Each step of the recursion takes the next exposed row of every block and the controls that are still free.
+_GREEDY = f"""with recursive {_SIDES},
+pool as (select exposed_id, count(*) as pool_size from p group by 1),
+lists as (select k.exposed_id, any_value(k.sex || '|' || k.ig) as block, any_value(pool_size) as pool_size, any_value(exposed_score) as s,
+    list({{'bad': case when score_difference <= 2 then 0 when score_difference <= 5 then 1 else 2 end, 'cosine': cosine, 'age': age_difference, 'other': not same_bin,
+      'near': -cosine, 'score': score_difference, 'control': control_id, 'enough': enough}}) as l from k join pool using (exposed_id) group by 1),
+steps as (select *, row_number() over (partition by block order by pool_size, s desc nulls last, exposed_id) as step from lists),
+g as (select block, 0::bigint as step, null::bigint as exposed_id, null::bigint as control_id, null::double as cosine, ''::varchar as match_type, []::bigint[] as used
+    from (select distinct block from steps)
+  union all
+  select block, step, exposed_id, pick.control, pick.cosine, case when pick.bad = 0 then 'strict' when pick.bad = 1 then 'relaxed' when len(near) > 0 then 'elixhauser_caliper'
+      when len(free) > 0 then 'below_similarity_threshold' else 'no_available_controls' end, case when pick.control is null then used else list_append(used, pick.control) end
+  from (select *, list_sort(list_transform(list_filter(fit, lambda x: x.cosine >= list_max(list_transform(fit, lambda y: y.cosine)) - 0.01::double),
+      lambda x: {{'age': x.age, 'other': x.other, 'near': x.near, 'score': x.score, 'control': x.control, 'cosine': x.cosine, 'bad': x.bad}}))[1] as pick
+    from (select *, case when len(list_filter(near, lambda x: x.bad = 0)) > 0 then list_filter(near, lambda x: x.bad = 0) else list_filter(near, lambda x: x.bad = 1) end as fit
+      from (select *, list_filter(free, lambda x: x.enough) as near
+        from (select s.block, s.step, s.exposed_id, g.used, list_filter(s.l, lambda x: not list_contains(g.used, x.control)) as free
+          from g join steps s on s.block = g.block and s.step = g.step + 1)))))
+select w.id as exposed_id, g.control_id, round(g.cosine, 5) as cosine, coalesce(g.match_type, case when v.id is null then 'incomplete_row'
+  else 'no_same_sex_insurance_nearby_age_bin_candidates' end) as match_type from w left join v on v.id = w.id left join g on g.exposed_id = w.id where w.exposed"""
+_ROWS = "s as (select case when cohort <> 'MHC0' then 1 else 0 end as x, cluster_id as g, n_labevents::double as labs, hospital_los_days as stay from u where cohort is not null and cluster_id is not null)"
+# With one yes-no predictor a model's fitted values are the means of both groups, so that a cluster's scores are sums of differences from these.
+_SINGLE = f"""with {_U}, {_ROWS},
+l as (select 'labs|poisson' as model, x, g, labs as y, 1 as kind from s where labs is not null union all select 'stay|gamma', x, g, stay, 2 from s where stay > 0
+  union all select 'stay|log_ols', x, g, ln(1 + stay), 3 from s where stay >= 0 union all select 'long|binomial', x, g, (stay > 3)::int, 4 from s where stay is not null),
+m as (select model, x, any_value(kind) as kind, count(*) as n, avg(y) as mean from l group by 1, 2),
+i as (select *, case kind when 1 then n * mean when 2 then n when 3 then n else n * mean * (1 - mean) end as info from m),
+c as (select l.model, l.x, l.g, sum(case i.kind when 2 then (y - mean) / mean else y - mean end) / any_value(info) as d from l join i on i.model = l.model and i.x = l.x group by 1, 2, 3),
+d as (select model, g, sum(case x when 1 then d else -d end) as d from c group by 1, 2),
+q as (select model, sum(d * d) as v, count(*) as n_clusters from d group by 1),
+t as (select model, any_value(kind) as kind, sum(n)::bigint as n_rows, max(mean) filter (where x = 1) as m1, max(mean) filter (where x = 0) as m0 from m group by 1)
+select model, round(case kind when 3 then m1 - m0 when 4 then ln(m1 / (1 - m1)) - ln(m0 / (1 - m0)) else ln(m1 / m0) end, 6) as estimate,
+  round(sqrt(v * n_clusters / (n_clusters - 1.0::double) * (n_rows - 1.0::double) / (n_rows - 2.0::double)), 6) as error, n_rows, n_clusters from t join q using (model)"""
 
 SQL = {
-    "streamed_daily_counts": "select event_type, ts::date as day, count(*) as n from events group by 1, 2",
+    "streamed_daily_counts": """select event_type, ts::date as day, count(*) as n from events
+where ts::date + interval 1 day <= (select max(ts) from events) - interval 2 days group by 1, 2""",
     "cluster_summaries": """with q as (select distinct * from chief_complaint_cluster_qc_output) select bert_cluster, count(*) as n_rows,
   count(distinct subject_id) as n_subjects, count(distinct cohort) as n_cohorts, (bert_cluster = -1)::int as is_noise from q group by 1""",
     "cluster_pair_agreement": """with q as (select distinct pair_id, cohort, bert_cluster from chief_complaint_cluster_qc_output),
 w as (select pair_id, count(distinct cohort) as roles, min(bert_cluster) as low, max(bert_cluster) as high from q group by 1)
 select count(*) as n_pairs, count(*) filter (where low = high and low <> -1) as n_same, count(*) filter (where low = -1) as n_with_noise
 from w where roles = 2 and low is not null""",
-    "classified_sections": """select distinct classifier_row_id, case when section_text is null then 'unclear' when regexp_matches(lower(section_text), 'psych|mania') then 'positive'
-  when contains(lower(section_text), 'mood') then 'unclear' else 'negative' end as label from psych_history_llm_input""",
+    "classified_sections": """select distinct classifier_row_id, case when section_text is null then null when regexp_matches(lower(section_text), 'psych|mania') then 'positive' else 'negative' end as label,
+  case when section_text is null then null when regexp_matches(lower(section_text), 'psych|mania') then 'current_context' else 'none' end as mention_type,
+  case when section_text is null then null else (contains(lower(section_text), 'mood') and not regexp_matches(lower(section_text), 'psych|mania'))::int end as recovered
+from psych_history_llm_input""",
     "cohort_numeric_summary": f"""with {_U}, l as ({_UNPIVOTED})
 select cohort, measure, count(*) as n, round(avg(x), 7) as mean, round(stddev_samp(x), 7) as sd, round(quantile_cont(x, 0.5), 7) as median,
   round(quantile_cont(x, 0.25), 7) as q1, round(quantile_cont(x, 0.75), 7) as q3, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 7) as iqr,
@@ -338,18 +460,24 @@ select hadm_id, arg_min(label, p) as label, min(classifier_row_id) filter (where
   count(*) filter (where p = 1) as n_positive, count(*) filter (where p = 2) as n_unclear, count(*) filter (where p = 3) as n_negative
 from (select *, min(p) over (partition by hadm_id) as m from l) group by 1""",
     "death_window_flags": _WITH
-    + """, x as (select *, case when hadm_id % 3 = 0 then dischtime + to_days((hadm_id % 400)::int - 5) end as death from admissions),
-f as (select hadm_id, admittime, dischtime, death, coalesce(death >= admittime and death <= dischtime, false) as inside from x)
-select hadm_id, inside::int as died_in_hospital, coalesce(death >= admittime and death <= admittime + interval 365 days, false)::int as died_within_of_admission,
-  (coalesce(death > dischtime and death <= dischtime + interval 365 days, false) and not inside)::int as died_after_discharge from f""",
+    + """, x as (select *, case when hadm_id % 3 = 0 then dischtime + to_days((hadm_id % 400)::int - 5) end as dod from admissions)
+select hadm_id, (hadm_id % 11 = 0)::int as died_in_hospital, coalesce(dod >= admittime and dod <= admittime + interval 365 days, false)::int as death_within_1y_after_admission,
+  (coalesce(dod > dischtime and dod <= dischtime + interval 365 days, false) and hadm_id % 11 <> 0)::int as post_discharge_death_within_1y from x""",
     "length_of_stay": f"""with {_U}, l as (select hadm_id, (epoch_us(dischtime) - epoch_us(admittime)) / 86400000000.0::double as x, n_labevents from u)
 select hadm_id, case when x >= 0 then round(x, 6) end as los_days, round(ln(1 + n_labevents), 6) as log_labs from l""",
-    "comorbidity_scores": _WITH + ", " + _comorbid(),
-    "match_static_candidates": """
-with v as (select vec_id as id, vec_id % 2 as sex, (vec_id % 60 + 20) // 10 as bin, (vec_id % 7)::double as score, label, embedding::double[] as e from embeddings),
-p as (select e.id as exposed_id, c.id as control_id, list_cosine_similarity(e.e, c.e) as cosine, abs(e.score - c.score) as score_difference, c.bin, e.label = c.label as screened
-  from v e join v c on e.id % 3 = 0 and c.id % 3 <> 0 and e.sex = c.sex and abs(e.bin - c.bin) <= 1),
-f as (select *, not max(screened) over (partition by exposed_id) as fallback from p),
-k as (select *, row_number() over (partition by exposed_id, bin order by cosine desc, control_id) as r from f where screened or fallback)
-select exposed_id, control_id, round(cosine, 5) as cosine, fallback::int as fallback, score_difference from k where r <= 20 and cosine > case when fallback then 0.2 else 0.1 end""",
+    "comorbidity_scores": _WITH + ", " + GROUPS_SQL,
+    "match_static_candidates": f"""with {_SIDES}
+select exposed_id, control_id, round(cosine, 5) as cosine, fallback::int as fallback, round(score_difference, 6) as score_difference from k where enough""",
+    "match_greedy": _GREEDY,
+    "single_predictor_effects": _SINGLE,
+    "described_measures": f"""with {_U}, l as ({_UNPIVOTED})
+select measure, count(*) as count, round(avg(x), 7) as mean, round(stddev_samp(x), 7) as sd, round(min(x), 7) as min, round(quantile_cont(x, 0.25), 7) as p25,
+  round(quantile_cont(x, 0.5), 7) as p50, round(quantile_cont(x, 0.75), 7) as p75, round(max(x), 7) as max from l where x is not null group by 1""",
+    "largest_differences": """with d as (select distinct pair_id, mhh_elixhauser_score - mhc0_elixhauser_score as difference from matched_pairs)
+select * from d order by abs(difference) desc nulls last, pair_id limit 25""",
+    "ordered_categories": f"""with {_V} select insurance_group, count(*) as n, coalesce(list_position(['medicare', 'medicaid', 'private', 'other', 'missing'], insurance_group) - 1, 5)::bigint as place
+from v group by 1""",
+    "round_trips": """with p as (select distinct pair_id, mhh_chief_complaint_raw as t, mhh_sex, cosine_similarity as c from matched_pairs)
+select s.source, pair_id, length(t) as n_characters, mhh_sex, round(c, 6) as cosine from p cross join (values ('parquet'), ('csv'), ('gzip'), ('json_lines'), ('view')) s(source)
+where t <> '' or t is null""",
 }

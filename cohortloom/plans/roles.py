@@ -10,15 +10,16 @@ from cohortloom.session import table
 
 def _coded(parts: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
+    finer = F.when(key % 12 == 0, (F.floor(key / 12) % 10).cast("string")).otherwise("")
     code10 = (
-        F.when(key % 3 == 0, F.concat(F.lit("F"), F.lpad((F.floor(key / 3) % 100).cast("string"), 2, "0")))
+        F.when(key % 3 == 0, F.concat(F.lit("F"), F.lpad((F.floor(key / 3) % 100).cast("string"), 2, "0"), finer))
         .when(key % 3 == 1, F.concat(F.lit("K70"), (key % 10).cast("string")))
         .otherwise(F.concat(F.lit("J"), F.lpad((key % 100).cast("string"), 2, "0")))
     )
     code9 = F.when(key % 7 == 0, F.concat(F.lit("V11"), (key % 5).cast("string"))).otherwise(
         F.concat((key % 60 + 280).cast("string"), (key % 3).cast("string"))
     )
-    endings = {0: " suicide attempt", 1: ", Self-Harm", 2: " poisoning", 3: " withdrawal"}
+    endings = {0: " suicide attempt", 1: ", Self-Harm", 2: " poisoning", 3: " withdrawal", 4: " Delusion"}
     ending = F.lit("")
     for rest, text in endings.items():
         ending = F.when(key % 40 == rest, F.lit(text)).otherwise(ending)
@@ -63,16 +64,46 @@ def patients(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    """A matched cohort: urgent admissions, neighbours in number being a pair."""
+    case = F.col("hadm_id") % 2 == 0
+    rows = admissions(spark, d).where("admission_type = '1-URGENT'")
+    return rows.select(
+        F.floor(F.col("hadm_id") / 2).alias("pair_id"), F.when(case, "case").otherwise("control").alias("matched_role"),
+        F.when(case, "MHH1_psychotic").otherwise("MHC0").alias("cohort"), "subject_id", "hadm_id",
+    )
+
+
+def lab_events(spark: SparkSession, d: str) -> DataFrame:
+    owners = admissions(spark, d).select("subject_id", "hadm_id")
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("hadm_id"), F.col("l_partkey").alias("itemid"), F.col("l_quantity").alias("valuenum"), F.col("l_shipdate").alias("charttime")
+    )
+    return lines.join(owners, "hadm_id")
+
+
+def lab_items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("itemid"), F.col("p_name").alias("label"), F.col("p_brand").alias("fluid"), F.col("p_type").alias("category"))
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    return admissions(spark, d).select("subject_id", "hadm_id", F.col("hadm_id").alias("poe_id"), F.col("admission_type").alias("order_type"))
+
+
+def order_details(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("poe_id"), F.col("l_returnflag").alias("field_name"), F.col("l_quantity").alias("field_value"))
+
+
 #: The same roles as a list of common table expressions.
 SQL = """
 codes as (select p_partkey, case when p_size % 2 = 0 then 10 else 9 end as icd_version,
   case when p_size % 2 = 0 then
-    case p_partkey % 3 when 0 then 'F' || lpad(((p_partkey // 3) % 100)::varchar, 2, '0')
+    case p_partkey % 3 when 0 then 'F' || lpad(((p_partkey // 3) % 100)::varchar, 2, '0') || case when p_partkey % 12 = 0 then ((p_partkey // 12) % 10)::varchar else '' end
       when 1 then 'K70' || (p_partkey % 10)::varchar else 'J' || lpad((p_partkey % 100)::varchar, 2, '0') end
   else case when p_partkey % 7 = 0 then 'V11' || (p_partkey % 5)::varchar
     else (p_partkey % 60 + 280)::varchar || (p_partkey % 3)::varchar end end as icd_code,
   p_name || case p_partkey % 40 when 0 then ' suicide attempt' when 1 then ', Self-Harm' when 2 then ' poisoning'
-    when 3 then ' withdrawal' else '' end as long_title from part),
+    when 3 then ' withdrawal' when 4 then ' Delusion' else '' end as long_title from part),
 dictionary as (select distinct icd_version, icd_code, long_title from codes),
 admissions as (select o_custkey as subject_id, o_orderkey as hadm_id, o_orderdate::timestamp as admittime,
   o_orderdate::timestamp + to_days((o_orderkey % 9)::int) as dischtime, o_orderpriority as admission_type, o_orderstatus, o_totalprice from orders),

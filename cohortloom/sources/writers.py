@@ -17,11 +17,11 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, sample: int | None = None, order: list[str] | None = None) -> None:
+def write_csv(df: DataFrame, path: str, sample: int | None = None, order: list[str] | None = None, compression: str = "none") -> None:
     """SNK-03: CSV with a header; with sample the first rows in an order, in one file."""
     rows = df.orderBy(*order) if order else df
     rows = rows.limit(sample).coalesce(1) if sample else rows
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').options(compression=compression, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_twins(df: DataFrame, path: str, sample: int | None = None, texts: list[str] | None = None) -> None:

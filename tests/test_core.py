@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from cohortloom.functions import text as tx
 from cohortloom.functions import values as vl
 from cohortloom.functions import vocabulary
-from cohortloom.operators import cohort, combine, history, matching, models, stats, summarise
+from cohortloom import rules, session
+from cohortloom.operators import cohort, combine, comorbidity, exports, history, matching, models, stats, summarise
 from cohortloom.sources import readers, writers
 from cohortloom.streaming import lookback
 
@@ -138,8 +139,9 @@ def test_history_is_strictly_earlier_and_counts_any_admission(spark):
     codes = [(10, "F200", "a"), (10, "J00", "cold"), (9, "311", "low"), (9, "311x", None), (10, "T50", "poisoning, self-harm"), (10, "K70", None), (9, "F200", None), (10, "T51", "Overdose")]
     dictionary = spark.createDataFrame(codes, "icd_version int, icd_code string, long_title string")
     base = cohort.base_admissions(admissions, admissions, diagnoses, dictionary)
+    facts = cohort.admission_facts(diagnoses, dictionary)
     assert sorted(r["hadm_id"] for r in base.collect()) == [11, 12]
-    rows = {r["hadm_id"]: r for r in cohort.subject_groups(cohort.history_categories(base, admissions, diagnoses, dictionary)).collect()}
+    rows = {r["hadm_id"]: r for r in cohort.subject_groups(cohort.history_categories(base, admissions, facts)).collect()}
     assert (rows[11]["mhc"], rows[12]["mhc"], rows[11]["subject_group"]) == (0, 1, "MHC_0_to_1")
     assert (rows[12]["prior_psych_categories"], rows[12]["same_admission_psych_categories"]) == ("psychotic", "internalizing")
     named = {(r["icd_version"], r["icd_code"]): r["category"] for r in cohort.code_categories(dictionary).collect()}
@@ -173,7 +175,7 @@ def test_matching_equals_one_sequential_pass(spark):
     pool = {x[0]: [y for y in c_rows if near(x, y)] for x in e_rows}
     used, want = set(), {}
     for x in sorted(e_rows, key=lambda x: (len(pool[x[0]]), -x[4], x[0])):
-        screened = [y for y in pool[x[0]] if x[5] == y[5]]
+        screened = [y for y in pool[x[0]] if set(x[5]) & set(y[5])]
         least = rule.least_cosine if screened else rule.fallback_cosine
         kept = []
         for bin_ in {y[3] // 10 for y in pool[x[0]]}:
@@ -207,6 +209,30 @@ def sandwich(x, y, g, family):
     return beta, np.sqrt(np.diag(bread @ scores.T @ scores @ bread) * groups / (groups - 1) * (n - 1) / (n - k))
 
 
+def test_gamma_offset_and_guards(spark):
+    rng = np.random.default_rng(5)
+    a, w, g = rng.integers(0, 2, 200), rng.uniform(1, 9, 200), rng.integers(0, 30, 200)
+    y = rng.gamma(2.0, np.exp(0.5 + 0.7 * a) / 2)
+    n = rng.poisson(w * np.exp(0.2 + 0.4 * a))
+    df = spark.createDataFrame([tuple(map(float, r[:4])) + (int(r[4]), math.log(r[1])) for r in zip(a, w, y, n, g)], "a double, w double, y double, n double, g long, o double")
+    # with one yes-no predictor the fitted means are those of both groups, for the offset by exposure
+    gamma = stats.fit(df, stats.Model("gamma", "y", ("a",), "g"))
+    assert math.isclose(gamma[1]["estimate"], math.log(y[a == 1].mean() / y[a == 0].mean()), rel_tol=1e-6) and gamma[1]["ratio"] > 1
+    rate = stats.fit(df, stats.Model("poisson", "n", ("a",), "g", offset="o"))
+    assert math.isclose(rate[1]["estimate"], math.log((n[a == 1].sum() / w[a == 1].sum()) / (n[a == 0].sum() / w[a == 0].sum())), rel_tol=1e-6)
+    scores = np.array([[((y - m) / m * x)[g == k].sum() for x in (np.ones(200), a)] for m in [np.where(a == 1, y[a == 1].mean(), y[a == 0].mean())] for k in np.unique(g)])
+    x = np.column_stack([np.ones(200), a])
+    bread, groups = np.linalg.inv(x.T @ x), len(np.unique(g))
+    assert math.isclose(gamma[1]["error"], math.sqrt((bread @ scores.T @ scores @ bread)[1, 1] * groups / (groups - 1) * 199 / 198), rel_tol=1e-6)
+    guarded = stats.fit_grid(df, {"m": stats.Model("gaussian", "y", ("a",), "g", least_rows=20, both="a")}, {"few": "w < 1.2", "one": "a = 1", "odd": "null"})
+    found = {r["stratum"]: r["status"] for r in guarded.collect()}
+    assert found == {"overall": "fit_converged", "few": "not_fit_too_few_rows", "one": "not_fit_one_group", "odd": "not_fit_no_complete_rows"}
+    grid = stats.fit_grid(df.withColumnRenamed("a", "exposed"), stats.adjustment_grid(["n"], ["y"], "g", {"plain": ("exposed",)}))
+    wide = stats.side_by_side(grid, "exposed", [("poisson_log", "plain"), ("gamma_log", "plain"), ("log_ols", "plain")])
+    rows = {r["outcome"]: r for r in wide.collect()}
+    assert math.isclose(rows["y"]["ratio_gamma_log_plain"], gamma[1]["ratio"], rel_tol=1e-9) and rows["n"]["ratio_gamma_log_plain"] is None
+
+
 @pytest.mark.parametrize("family", ["binomial", "poisson", "gaussian"])
 def test_models_equal_a_plain_sandwich(spark, family):
     rng = np.random.default_rng(4)
@@ -356,3 +382,106 @@ def test_parents_need_two_texts_and_go_if_covered(spark):
     df = spark.createDataFrame(list(enumerate(said)) + [(99, None), (98, " ")], "k long, t string")
     found = {r["phrase"]: (r["n_exact"], r["n_records"], r["n_texts"]) for r in tx.parent_phrases(df, "k", "t", least=4).collect()}
     assert found == {"knee pain": (0, 6, 2), "fall": (2, 4, 2)}
+
+
+def test_comorbidity_of_both_versions_and_graver_groups(spark):
+    codes = [(1, 10, "i50.1 "), (1, 9, "428"), (1, 10, "I10"), (1, 10, "I119"), (2, 10, "C50"), (2, 10, "C780"), (3, 9, "3051"), (3, 10, None), (4, 10, "E66")]
+    diagnoses = spark.createDataFrame(codes, "hadm_id long, icd_version int, icd_code string")
+    found = {r["hadm_id"]: tuple(r)[1:] for r in comorbidity.comorbidity_scores(spark.range(1, 6).toDF("hadm_id"), diagnoses).collect()}
+    assert found == {
+        1: (2, "congestive_heart_failure|hypertension_complicated", 14), 2: (1, "metastatic_cancer", 12), 3: (0, "", 0), 4: (1, "obesity", -4), 5: (0, "", 0),
+    }
+    assert comorbidity.expanded(("I05-I08", "2500-2503", "V56")) == ["I05", "I06", "I07", "I08", "2500", "2501", "2502", "2503", "V56"]
+
+
+def test_running_values_of_a_group_over_many_ranges(spark):
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else f"s{rng.randint(0, 20)}", i, rng.randint(0, 400)) for i in range(600)]
+    t = dt.datetime(2100, 1, 1)
+    data = [(s, i, t + dt.timedelta(days=d), t + dt.timedelta(days=d + 2), "URGENT" if i % 3 == 0 else "x") for s, i, d in rows]
+    df = spark.createDataFrame(data, "subject_id string, hadm_id long, admittime timestamp_ntz, dischtime timestamp_ntz, kind string")
+    found = {r["hadm_id"]: r for r in history.admission_history(df, F.col("kind") == "URGENT").collect()}
+    counts = {r["hadm_id"]: r["n_prior_30d"] for r in history.lookback_counts(df).collect()}
+    for subject in {s for s, *_ in rows}:
+        own = sorted((d, i) for s, i, d in rows if s == subject)
+        for n, (day, i) in enumerate(own):
+            assert (found[i]["admission_order"], found[i]["previous_hadm_id"]) == (n + 1, own[n - 1][1] if n else None)
+            assert found[i]["n_prior_urgent"] == sum(j % 3 == 0 for _, j in own[:n]) and found[i]["days_since_first"] == day - own[0][0]
+            assert counts[i] == sum(day - 30 <= d < day for d, _ in own)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 50, 301).astype(float)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 2.0), ("b", None), (None, 1.0), (None, 4.0)], "g string, x double")
+    found = {r["g"]: r["q"] for r in summarise.quantiles(df, ["g"], "x", (0.1, 0.25, 0.5)).collect()}
+    assert np.allclose(found["a"], np.quantile(x, [0.1, 0.25, 0.5])) and found["b"] == [2.0, 2.0, 2.0] and found[None] == [1.3, 1.75, 2.5]
+
+
+def test_pairs_need_both_sides_and_the_earliest_control(spark):
+    t = lambda d: dt.datetime(2100, 1, d)
+    rows = [
+        (1, "case", 10, 100, t(5)), (1, "control", 20, 200, t(9)), (2, "case", 10, 101, t(1)), (2, "control", 20, 201, t(8)),
+        (3, "case", 11, 102, t(2)), (3, "control", 20, 202, t(7)), (4, "case", 12, 103, None),
+    ]
+    df = spark.createDataFrame(rows, "pair_id long, role string, subject_id long, hadm_id long, admittime timestamp_ntz")
+    assert sorted(r["hadm_id"] for r in cohort.first_pairs(df, "role", "case", "control").collect()) == [102, 202]
+
+
+def test_matched_exports(spark):
+    t = dt.datetime(2100, 1, 1)
+    matched = spark.createDataFrame([(1, "case", "A", 7, 70)], "pair_id long, matched_role string, cohort string, subject_id long, hadm_id long")
+    admissions = spark.createDataFrame([(7, 69, t, t, "EMER"), (7, 70, t + dt.timedelta(days=9), t, "x"), (8, 80, t, t, "x")], "subject_id long, hadm_id long, admittime timestamp_ntz, dischtime timestamp_ntz, kind string")
+    people = spark.createDataFrame([(7, "F")], "subject_id long, sex string")
+    row = exports.matched_descriptors(matched, people, admissions, F.col("kind") == "EMER").first()
+    assert (row["sex"], row["n_prior"], row["n_prior_urgent"], row["has_prior_30d"], row["previous_hadm_id"]) == ("F", 1, 1, 1, 69)
+    told = {r["hadm_id"]: r["is_matched_cohort_admission"] for r in exports.matched_subject_history(matched, people, admissions, F.lit(False)).collect()}
+    assert told == {69: 0, 70: 1}
+    events = spark.createDataFrame([(7, 70, 1, "p"), (7, 70, 2, "q"), (8, 80, 1, "r")], "subject_id long, hadm_id long, itemid long, poe_id string")
+    items, details = spark.createDataFrame([(1, "Na")], "itemid long, label string"), spark.createDataFrame([("p", 1), ("p", 2)], "poe_id string, v long")
+    assert {(r["itemid"], r["label"]) for r in exports.matched_events(matched, events, items).collect()} == {(1, "Na"), (2, None)}
+    assert exports.matched_events(matched, events, details=details).count() == 2
+
+
+def test_small_sources_and_contracts(spark):
+    a = spark.createDataFrame([(1, "x")], "Key long, B string")
+    assert readers.lower_names(a).columns == ["key", "b"]
+    both = readers.union_tagged({"one": a, "two": a.drop("B")})
+    assert sorted((r["cohort"], r["B"]) for r in both.collect()) == [("one", "x"), ("two", None)]
+    assert readers.optional_columns(a, ["Key"], ["B", "C"]).columns == ["Key", "B"]
+    a.createOrReplaceTempView("lookup_a")
+    assert readers.lookup_rows(spark, ["lookup_a"], {"Key": 1}, ["B"]).first()["B"] == "x"
+    assert one(spark, vl.rate_per_year(F.col("x"), F.lit(0)), 3, "long") is None and one(spark, vl.rate_per_year(F.col("x"), F.lit(365.25)), 3, "long") == 3.0
+    assert one(spark, vl.lenient_day(F.col("x")), "2100-02-03 04:05:06") == "2100-02-03" and one(spark, vl.lenient_day(F.col("x")), "soon") is None
+    assert [one(spark, summarise.category_rank(F.col("x"), ["b", "a"]), v) for v in ("b", "a", "z", None)] == [0, 1, 2, 2]
+
+
+def test_reversals_and_code_lists(spark):
+    t = dt.datetime(2100, 1, 1)
+    states = spark.createDataFrame([(1, 1, t, 1), (1, 2, t + dt.timedelta(1), 0), (2, 3, t, 0), (2, 4, t + dt.timedelta(1), 1)], "subject_id long, hadm_id long, admittime timestamp_ntz, admission_state int")
+    assert [r["hadm_id"] for r in cohort.reversals(states).collect()] == [2]
+    codes = [(10, "F1095", "x"), (10, "F109", "Psychosis"), (10, "F531", None), (9, "2913", "a"), (9, "2980", "Delusions"), (9, "6484", "psycho"), (10, "F061", "b")]
+    d = spark.createDataFrame(codes, "icd_version int, icd_code string, long_title string")
+    assert {r["icd_code"] for r in cohort.listed_codes(d, rules.PSYCHOSIS_EXTENDED).collect()} == {"F1095", "F531", "2913", "2980", "F061"}
+    assert {r["icd_code"] for r in cohort.listed_codes(d, rules.PSYCHOSIS_RESTRICTED).collect()} == {"F531", "2980"}
+    assert {r["icd_code"] for r in cohort.unlisted_titles(d, rules.PSYCHOSIS_SEEN, rules.PSYCHOSIS_TITLES).collect()} == {"F109", "2980"}
+
+
+def test_cut_points_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_root(Session())
+    df = session.materialize(spark.range(3))
+    path = next(p for p in session._WRITTEN if p)
+    assert df.count() == 3 and readers.exists(spark, path)
+    session.release()
+    assert not readers.exists(spark, path)
