@@ -2,8 +2,9 @@
 
 Per entity a path-copied search tree is kept: each entry that becomes known gives a new root, and
 the old roots stay valid. An event takes the root of the last entry known before it and searches
-it by the end of validity. Entities with very many rows are cut along time into shards; what is
-still valid at a shard's begin is handed on as one entry for each attribute.
+it by the end of validity. Entries and events lie in ranges of entity and time, so that an entity with
+very many rows has several shards; what was entered in earlier shards is handed on as one entry
+for each attribute.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.operators import ranges
 from cohortloom.session import materialize
 
 #: Microseconds that stand for no end of validity, and for known before everything.
@@ -93,21 +95,24 @@ class KnownHistory:
         return _valid_after(self.roots[i - 1], time) if i else 0
 
 
-def _search(events: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    """Each event of a shard with its attributes."""
+def _search(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+    """Each event of a shard with its attributes. rows: entries and events; carried: entries of earlier shards."""
+    is_event = rows["is_event"].to_numpy(dtype=bool)
+    entries = pd.concat([carried[["entity", "time", "ends", "attribute"]], rows.loc[~is_event, ["entity", "time", "ends", "attribute"]]])
     names = sorted(set(entries["attribute"]))
     bit = {name: i for i, name in enumerate(names)}
     by_entity: dict = {}
-    for entity, known, end, name in zip(entries["entity"], entries["known"], entries["ends"], entries["attribute"]):
-        by_entity.setdefault(entity, []).append((known, end, bit[name]))
+    for entity, known, end, name in zip(entries["entity"], entries["time"], entries["ends"], entries["attribute"]):
+        by_entity.setdefault(entity, []).append((int(known), int(end), bit[name]))
     histories: dict = {}
     lists: dict[int, list[str]] = {0: []}
     out = []
+    events = rows[is_event]
     for entity, time in zip(events["entity"], events["time"]):
         history = histories.get(entity)
         if history is None:
             history = histories[entity] = KnownHistory(by_entity.get(entity, []))
-        mask = history.at(time)
+        mask = history.at(int(time))
         if mask not in lists:
             lists[mask] = [name for name in names if mask >> bit[name] & 1]
         out.append(lists[mask])
@@ -131,7 +136,7 @@ def as_known(
     strictly later. Names are compared without case and blanks; null and blank names, entries with
     a null entity or known_time and entries that end before they are known never count. Events keep
     their number, repeated ones included; those with a null entity or time have no attributes.
-    shard_rows: rows that one task takes; entities beyond it are cut along time.
+    shard_rows: entries and events that one task takes, about; no entity, day or moment has more in one task.
     """
     e = events.select(F.col(entity).alias("entity"), F.col(event).alias("event"), micros(F.col(event_time)).alias("time"))
     lost = e.where(F.col("entity").isNull() | F.col("time").isNull())
@@ -139,47 +144,33 @@ def as_known(
     r = records.select(
         F.col(entity).alias("entity"),
         clean_name(F.col(attribute)).alias("attribute"),
-        micros(F.col(known_time)).alias("known"),
+        micros(F.col(known_time)).alias("time"),
         F.coalesce(micros(F.col(end_time)), F.lit(_NEVER)).alias("ends"),
-    ).where("entity is not null and attribute is not null and known is not null and ends > known")
-    r = materialize(r.groupBy("entity", "attribute", "known").agg(F.max("ends").alias("ends")))
-
-    day = lambda c: F.floor(F.col(c) / F.lit(86_400_000_000)).alias("day")
-    days = e.select("entity", day("time")).union(r.select("entity", day("known"))).groupBy("entity", "day").count()
-    total = Window.partitionBy("entity")
-    busy = days.groupBy("entity").agg(F.sum("count").alias("all")).where(F.col("all") > shard_rows)
-    running = F.sum("count").over(total.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
-    shards = days.join(busy, "entity").withColumn("shard", F.floor(F.coalesce(running, F.lit(0)) / shard_rows))
-    shards = materialize(shards.select("entity", "day", "shard", "count"))
-    turns = shards.groupBy("entity", "shard").agg(F.ceil(F.sum("count") / shard_rows).cast("int").alias("turns"))
-    cuts = shards.join(turns, ["entity", "shard"]).select("entity", "day", "shard", "turns")
-
-    size = days.agg(F.sum("count")).first()[0] or 0
-    buckets = max(1, -(-int(size) // shard_rows), events.sparkSession.sparkContext.defaultParallelism)
-    bucket = F.pmod(F.xxhash64("entity"), F.lit(buckets)).cast("string")
-    place = F.when(F.col("shard").isNull(), bucket).otherwise(F.concat_ws("/", F.col("entity").cast("string"), "shard", "turn"))
-    turn = F.pmod(F.xxhash64("event"), F.col("turns"))
-    placed = e.withColumn("day", day("time")).join(cuts, ["entity", "day"], "left").withColumn("turn", turn)
-    placed = placed.select(place.alias("place"), "entity", "event", "time")
-
-    cut = r.withColumn("day", day("known")).join(cuts, ["entity", "day"], "left")
-    carried = _carried(cut.where("shard is not null"), turns)
-    every = F.explode(F.when(F.col("shard").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("turns") - 1)))
-    both = cut.select("entity", "attribute", "known", "ends", "shard", "turns").unionByName(carried)
-    kept = both.withColumn("turn", every).select(place.alias("place"), "entity", "attribute", "known", "ends")
+    ).where("entity is not null and attribute is not null and time is not null and ends > time")
+    r = r.groupBy("entity", "attribute", "time").agg(F.max("ends").alias("ends"))
+    # of one moment events come first: they don't see what becomes known then, so that any cut leaves them right
+    both = e.withColumn("is_event", F.lit(True)).unionByName(r.withColumn("is_event", F.lit(False)), allowMissingColumns=True)
+    both = both.withColumn("turn", F.struct((~F.col("is_event")).alias("last"), F.xxhash64("event", "attribute").alias("any")))
+    size = both.count()
+    rows = ranges.placed(both, ["entity"], ["time", "turn"], max(events.sparkSession.sparkContext.defaultParallelism, -(-size // shard_rows))).drop("turn")
 
     kind = events.schema[event].dataType
     schema = T.StructType([T.StructField("event", kind), T.StructField("attributes", T.ArrayType(T.StringType()))])
-    found = placed.groupBy("place").cogroup(kept.groupBy("place")).applyInPandas(_search, schema)
+    found = rows.groupBy("_p").cogroup(_carried(rows).groupBy("_p")).applyInPandas(_search, schema)
     none = lost.select("event", F.array().cast("array<string>").alias("attributes"))
     return found.unionByName(none).withColumnRenamed("event", event)
 
 
-def _carried(cut: DataFrame, turns: DataFrame) -> DataFrame:
-    """For each later shard of a cut entity, one entry for each attribute entered before: its latest end."""
-    latest = cut.groupBy("entity", "attribute", "shard").agg(F.max("ends").alias("ends"))
-    names = latest.select("entity", "attribute").distinct()
-    grid = names.join(turns, "entity").join(latest, ["entity", "attribute", "shard"], "left")
-    before = Window.partitionBy("entity", "attribute").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+def _carried(rows: DataFrame) -> DataFrame:
+    """For each later shard of an entity with several, one entry for each attribute entered before: its latest end.
+
+    As many rows at most as there are shards and attributes of an entity: only an entity's first and last shard hold others too.
+    """
+    shards = rows.groupBy("entity", "_p").agg(F.count("*").alias("n"))
+    shards = materialize(shards.withColumn("n", F.count("*").over(Window.partitionBy("entity"))).where("n > 1").select("entity", "_p"))
+    latest = rows.where("not is_event").join(F.broadcast(shards), ["entity", "_p"]).groupBy("entity", "attribute", "_p").agg(F.max("ends").alias("ends"))
+    grid = latest.select("entity", "attribute").distinct().join(shards, "entity").join(latest, ["entity", "attribute", "_p"], "left")
+    before = Window.partitionBy("entity", "attribute").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumn("ends", F.max("ends").over(before)).where(F.col("ends").isNotNull())
-    return grid.select("entity", "attribute", F.lit(_ALWAYS).alias("known"), "ends", "shard", "turns")
+    # new columns, so that both sides of the search can be told apart
+    return grid.select(*[F.col(c).alias(c) for c in ("_p", "entity", "attribute")], F.lit(_ALWAYS).alias("time"), F.col("ends").alias("ends"))

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from cohortloom.session import materialize
 
 
-def placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def placed(df: DataFrame, group: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
     """df with its range in `_p`, written once so that the ranges stay the same."""
-    return materialize(df.repartitionByRange(*[F.col(c) for c in (*group, *order)]).withColumn("_p", F.spark_partition_id()))
+    by = [F.col(c) for c in (*group, *order)]
+    spread = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    return materialize(spread.withColumn("_p", F.spark_partition_id()))
 
 
 def carried(rows: DataFrame, group: list[str], parts: dict[str, Column], carry: dict[str, Column], later: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators import ranges
 from cohortloom.operators.known import micros
 from cohortloom.session import materialize
 
@@ -27,23 +28,28 @@ def daily_totals(events: DataFrame, entity: str, event: str, time: str) -> DataF
     return each.distinct().groupBy("entity", "day").agg(F.count("*").alias("n"))
 
 
+def _summed(dated: DataFrame, keys: list[str], periods: tuple[int, ...]) -> DataFrame:
+    """Totals of each period by keys, from rows of n, begin (the day they fell on) and day (a date they influence)."""
+    age = F.col("day") - F.col("begin")
+    return dated.groupBy(*keys).agg(*[F.sum(F.when(age < p, F.col("n")).otherwise(0)).alias(f"n_{p}d") for p in periods])
+
+
 def rolling_calendar(
     events: DataFrame, entity: str, event: str, time: str, periods: tuple[int, ...] = (7, 30, 365), task_rows: int = 4_000_000, whole: bool = False
 ) -> DataFrame:
-    """entity, day (date), n_<p>d and mean_<p>d for each period, for every day from an entity's first to its last event.
+    """entity, day (date), n_<p>d and mean_<p>d for each period, for every day from an entity's first event until its totals are zero again.
 
-    whole: to the last event of any entity instead, so that the days on which a total goes down to
-    zero, and those of zeros after them, are there too. A period of p days ends with the day itself. Events are counted once each, whatever repeats;
+    No day is later than the last event of any entity; whole: each entity's days go on to that one, with
+    zeros. A period of p days ends with the day itself. Events are counted once each, whatever repeats;
     rows with a null entity, event or time don't count; no events give no rows. task_rows: exploded
     rows that a task sums, from which the number of tasks follows.
     """
     daily = materialize(daily_totals(events, entity, event, time))
-    span = daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    if whole:
-        span = span.withColumn("last", F.lit(daily.agg(F.max("day")).first()[0]).cast("int"))
     reach = max(periods) - 1
-    upto = F.least(F.col("day") + reach, F.col("last"))
-    seeds = daily.join(span, "entity").select("entity", F.col("day").alias("begin"), upto.alias("end"), "n")
+    end = F.lit(daily.agg(F.max("day")).first()[0]).cast("int")
+    span = daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    span = span.withColumn("last", end if whole else F.least(F.col("last") + reach, end))
+    seeds = daily.select("entity", F.col("day").alias("begin"), F.least(F.col("day") + reach, end).alias("end"), "n")
     seeds = seeds.unionByName(span.select("entity", F.col("first").alias("begin"), F.col("last").alias("end"), F.lit(0).cast("long").alias("n")))
     block = F.explode(F.sequence(F.floor(F.col("begin") / _BLOCK), F.floor(F.col("end") / _BLOCK)))
     seeds = materialize(seeds)
@@ -52,46 +58,58 @@ def rolling_calendar(
     placed = seeds.withColumn("block", block).repartition(tasks, "entity", "block")  # few bytes that grow: the number is set by rows
     low = F.greatest(F.col("begin").cast("long"), F.col("block") * _BLOCK)
     high = F.least(F.col("end").cast("long"), F.col("block") * _BLOCK + _BLOCK - 1)
-    dated = placed.withColumn("day", F.explode(F.sequence(low, high)))
-    age = F.col("day") - F.col("begin")
-    sums = [F.sum(F.when(age < p, F.col("n")).otherwise(0)).alias(f"n_{p}d") for p in periods]
-    out = dated.groupBy("entity", "block", "day").agg(*sums)
+    out = _summed(placed.withColumn("day", F.explode(F.sequence(low, high))), ["entity", "block", "day"], periods)
     means = [(F.col(f"n_{p}d") / F.lit(float(p))).alias(f"mean_{p}d") for p in periods]
     day = F.date_from_unix_date(F.col("day").cast("int")).alias("day")
     return out.select(F.col("entity").alias(entity), day, *[f"n_{p}d" for p in periods], *means)
 
 
+def rolling_on(daily: DataFrame, dates: DataFrame, periods: tuple[int, ...]) -> DataFrame:
+    """entity, day and n_<p>d of each asked (entity, day): daily totals exploded onto the asked dates they influence, zeros for dates that none does.
+
+    An entity's asked dates of a block are one array, of no more than the block's days, and a daily total meets
+    the one or two arrays in its reach. So a total gives rows only for dates that are asked, and the rows of an
+    entity are bounded by its days, however many events it has.
+    """
+    reach = max(periods) - 1
+    blocks = dates.distinct().withColumn("block", F.floor(F.col("day") / _BLOCK)).groupBy("entity", "block").agg(F.collect_set("day").alias("days"))
+    begin, end = F.col("begin"), F.col("begin") + reach
+    placed = daily.select("entity", F.col("day").alias("begin"), "n").withColumn("block", F.explode(F.sequence(F.floor(begin / _BLOCK), F.floor(end / _BLOCK))))
+    dated = placed.join(blocks, ["entity", "block"])
+    dated = dated.select("entity", "begin", "n", F.explode(F.filter("days", lambda d: (d >= begin) & (d <= end))).alias("day"))
+    sums = _summed(dated, ["entity", "day"], periods)
+    return dates.distinct().join(sums, ["entity", "day"], "left").fillna(0, [f"n_{p}d" for p in periods])
+
+
 def counts_before(
     events: DataFrame, asked: DataFrame, entity: str, event: str, time: str, asked_key: str, days: int = 365
 ) -> DataFrame:
     """asked's columns and n_before: different events of the entity from exactly `days` days before time, up to it exclusively.
 
-    The whole days between come from a range join of daily totals and asked days by entity and block; the
-    events of the first and last day are counted by their times. Rows of asked with a null entity or
-    time have a null n_before; repeated rows stay.
+    The rolling total of the day before, plus what the day itself has before the time, less what the first
+    day has before the same time. An event that repeats counts once, at its first time. Rows of asked
+    with a null entity or time have a null n_before; repeated rows stay.
     """
     each = events.where(F.col(entity).isNotNull() & F.col(event).isNotNull() & F.col(time).isNotNull())
     each = each.select(F.col(entity).alias("entity"), F.col(event).alias("event"), micros(F.col(time)).alias("at"))
     each = each.groupBy("entity", "event").agg(F.min("at").alias("at"))
+    day = F.floor(F.col("at") / _DAY)
     # what happened at one moment counts as one row, so that busy days stay small
-    moments = each.groupBy("entity", "at").agg(F.count("*").alias("n")).withColumn("day", F.floor(F.col("at") / _DAY))
+    moments = materialize(each.groupBy("entity", "at").agg(F.count("*").alias("n")).withColumn("day", day))
     daily = moments.groupBy("entity", "day").agg(F.sum("n").alias("n"))
     want = asked.select(F.col(entity).alias("entity"), micros(F.col(time)).alias("at")).where("entity is not null and at is not null").distinct()
-    want = want.withColumn("day", F.floor(F.col("at") / _DAY))
-
-    wanted_days = want.select("entity", "day").distinct().withColumn("block", F.floor(F.col("day") / _BLOCK))
-    block = F.explode(F.sequence(F.floor((F.col("day") + 1) / _BLOCK), F.floor((F.col("day") + days - 1) / _BLOCK)))
-    influence = daily.select("entity", F.col("day").alias("from"), "n").withColumn("day", F.col("from"))
-    influence = influence.withColumn("block", block).drop("day")
-    between = wanted_days.join(influence, ["entity", "block"]).where(f"from < day and from > day - {days}")
-    between = between.groupBy("entity", "day").agg(F.sum("n").alias("whole"))
-
-    edge = moments.select("entity", F.col("day").alias("on"), F.col("at").alias("moment"), "n")
-    last = want.join(edge.withColumnRenamed("on", "day"), ["entity", "day"]).where("moment < at").select("entity", "at", "n")
-    back = edge.withColumn("day", F.col("on") + days).drop("on")
-    first = want.join(back, ["entity", "day"]).where(f"moment >= at - {days * _DAY}").select("entity", "at", "n")
-    edges = last.unionByName(first).groupBy("entity", "at").agg(F.sum("n").alias("edge"))
-    counts = want.join(between, ["entity", "day"], "left").join(edges, ["entity", "at"], "left")
-    counts = counts.select("entity", "at", (F.coalesce("whole", F.lit(0)) + F.coalesce("edge", F.lit(0))).alias("n_before"))
+    want = materialize(want.withColumn("day", day))
+    rolling = rolling_on(daily, want.select("entity", (F.col("day") - 1).alias("day")), (days,))
+    total = rolling.select("entity", (F.col("day") + 1).alias("day"), F.col(f"n_{days}d").alias("total"))
+
+    edges = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("at").alias("point")), F.struct(F.lit(-1).alias("sign"), (F.col("at") - days * _DAY).alias("point"))))
+    points = want.select("entity", "at", edges.alias("e")).select("entity", F.col("at").alias("asked"), "e.sign", F.col("e.point").alias("at")).withColumn("day", day)
+    own = moments.join(points.select("entity", "day").distinct(), ["entity", "day"], "left_semi")
+    # points come before the events of their moment, which they don't count
+    line = points.withColumn("n", F.lit(0).cast("long")).unionByName(own, allowMissingColumns=True).withColumn("later", F.col("sign").isNull())
+    keys, order = ["entity", "day"], ["at", "later"]
+    before = ranges.counted(ranges.placed(line, keys, order), keys, order, "n").where("not later")
+    edge = before.groupBy("entity", F.col("asked").alias("at")).agg(F.sum(F.col("sign") * F.col("_before")).alias("edge"))
+    counts = want.join(total, ["entity", "day"], "left").join(edge, ["entity", "at"], "left").select("entity", "at", (F.col("total") + F.col("edge")).alias("n_before"))
     keyed = asked.select(asked_key, F.col(entity).alias("entity"), micros(F.col(time)).alias("at"), F.struct(*asked.columns).alias("row"))
     return keyed.join(counts, ["entity", "at"], "left").select("row.*", "n_before")

@@ -80,7 +80,7 @@ select o.hadm_id from on_record o join stored s using (hadm_id) where o.names <>
 with a as (select distinct subject_id, hadm_id, admittime::date as d from base_admissions_mhc_subject_groups
   where subject_id is not null and hadm_id is not null and admittime is not null),
 n as (select subject_id, d, count(*) as n from a group by 1, 2),
-span as (select subject_id, min(d) as first, max(d) as last from n group by 1),
+span as (select subject_id, min(d) as first, least(max(d) + 364, (select max(d) from n)) as last from n group by 1),
 days as (select subject_id, unnest(generate_series(first, last, interval 1 day))::date as day from span)
 select days.subject_id, days.day,
   sum(case when n.d > day - 7 then n.n else 0 end)::bigint as n_7d, sum(case when n.d > day - 30 then n.n else 0 end)::bigint as n_30d,

@@ -57,6 +57,12 @@ def test_known_bounds_nulls_and_repeats(spark):
     assert as_known(spark, [], records) == []
 
 
+def test_known_at_one_busy_moment_in_many_shards(spark):
+    records = [(1, f"a{i % 7}", hours(5), hours(9 + i % 3), 0, "") for i in range(60)] + [(1, "late", hours(6), None, 0, "")]
+    events = [(1, i, hours(5 + i % 6), "", "") for i in range(120)]
+    assert as_known(spark, events, records, shard_rows=10) == brute(events, records)
+
+
 def test_old_roots_stay_valid():
     history = known.KnownHistory([(10, 100, 0), (20, 50, 1), (30, 1000, 0), (40, 45, 2)])
     assert [history.at(t) for t in (10, 11, 25, 41, 46, 60, 500, 1000)] == [0, 1, 3, 7, 3, 1, 1, 0]
@@ -75,7 +81,7 @@ def test_rolling_calendar_equals_brute_force(spark):
     for e in (1, 2):
         days = [t.date() for x, _, t, _ in rows if x == e]
         at = min(days)
-        while at <= max(days):
+        while at <= min(max(days) + dt.timedelta(days=364), max(t for *_, t, _ in rows).date()):
             n = lambda p: sum(at - dt.timedelta(days=p) < x <= at for x in days)
             want[e, at] = (n(7), n(365), round(n(30) / 30, 6))
             at += dt.timedelta(days=1)
@@ -118,6 +124,24 @@ def test_counts_before_equals_brute_force(spark):
     assert found == {k: sum(x == y and t - month <= u < t for y, _, u in events) for x, k, t in asked}
 
 
+def test_busy_days_are_counted_by_prefixes(spark):
+    rng = random.Random(6)
+    events = [(1, i, T0 + dt.timedelta(days=rng.choice([0, 30]), seconds=rng.randint(0, 86_399))) for i in range(400)]
+    asked = [(1, i, T0 + dt.timedelta(days=30, seconds=rng.randint(0, 86_399))) for i in range(200)]
+    e = spark.createDataFrame(events, "e long, id long, t timestamp_ntz")
+    a = spark.createDataFrame(asked, "e long, key long, t timestamp_ntz")
+    found = {r["key"]: r["n_before"] for r in trailing.counts_before(e, a, "e", "id", "t", "key", days=30).collect()}
+    month = dt.timedelta(days=30)
+    assert found == {k: sum(t - month <= u < t for _, _, u in events) for _, k, t in asked}
+
+
+def test_totals_come_out_on_asked_dates_only(spark):
+    daily = spark.createDataFrame([(1, 0, 2), (1, 5, 1), (2, 600, 3)], "entity long, day long, n long")
+    dates = spark.createDataFrame([(1, 4), (1, 5), (1, 7), (1, 7), (2, 511), (2, 606), (2, 607), (3, 1)], "entity long, day long")
+    found = {(r["entity"], r["day"]): (r["n_3d"], r["n_7d"]) for r in trailing.rolling_on(daily, dates, (3, 7)).collect()}
+    assert found == {(1, 4): (0, 2), (1, 5): (1, 3), (1, 7): (1, 1), (2, 511): (0, 0), (2, 606): (0, 3), (2, 607): (0, 0), (3, 1): (0, 0)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "e long, id long, t timestamp_ntz")
     assert trailing.rolling_calendar(none, "e", "id", "t").count() == 0
