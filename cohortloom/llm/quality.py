@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from cohortloom.session import spread
 
-#: Frequent function words of some European languages.
+#: Frequent function words of some European languages, for the share of common words. Sentences don't need them.
 COMMON_WORDS = frozenset(
     """
     a about after all an and any are as at be because been before but by can could do for from had has have he her his
@@ -45,6 +45,9 @@ _CELLS = [re.compile(x) for x in (r"\t", r"\|", r"(?<!\d)[,;](?=\S)|[,;](?=[^\s\
 _END = re.compile(r"[.!?…。！？](?:[\"'”’)\]]*)(?=\s|$)|[。！？]")
 #: Letters of scripts other than Latin, whose function words aren't listed.
 _FOREIGN = re.compile(r"[^\W\d_A-Za-z\u00aa-\u024f\u1e00-\u1eff]")
+#: Vowels of the Latin script with any mark, and what parts the entries of a list within a line.
+_VOWEL = re.compile("[aeiouyæœøı\u00e0-\u00e6\u00e8-\u00ef\u00f2-\u00f6\u00f8-\u00fd\u00ff-\u0105\u0112-\u011b\u0128-\u0131\u014c-\u0153\u0168-\u0173\u1ea0-\u1ef9]")
+_PARTED = re.compile(r"[,;|>=/\t]")
 _LINE_END = re.compile(r"[.!?…。！？:;][\"'”’)\]]*$")
 
 
@@ -52,22 +55,32 @@ _LINE_END = re.compile(r"[.!?…。！？:;][\"'”’)\]]*$")
 class ProseRule:
     """What counts as prose.
 
-    A sentence has least_words words, of which at least common_share are frequent function words and
-    at most number_share numbers. A stretch without an end mark passes as a sentence from open_words
-    words and open_common on, within one line or a wrapped paragraph (of lines of wrapped_line
+    A sentence is a stretch up to an end mark, outside lists and tables, of least_words words and more, in any language: letters for
+    letter_share of what is visible; at most number_share of the words numbers; of the longer words spoken_share with a
+    vowel, no digit and longest_word letters at most; at most parted_share as many separators as words; and of
+    the words different_share different ones (of different_words at most). A stretch without an end mark passes from
+    open_words words and open_common of frequent function words on, or whatever the language from open_unknown words on with
+    open_short of three letters and less; it lies within one line or a wrapped paragraph (of lines of wrapped_line
     characters on average; short_line, without spaces, in scripts other than Latin). Text is prose if
     its sentences outside lists and tables hold prose_share of its visible characters.
     At least least_rows neighbouring lines make a list or table: marked items of which at most half have
-    two sentences; rows with equally many cells in row_share of them; or, from least_period on in
-    indentation (with half the correlation of line lengths) and least_indent in indentation alone,
+    two sentences; rows with equally many cells in row_share of them, or their first number behind equally many words; or,
+    from least_period on in indentation (with half the correlation of line lengths) and least_indent in indentation alone,
     lines of which ended_share end in punctuation or that are short.
     """
 
     least_words: int = 4
-    common_share: float = 0.12
+    letter_share: float = 0.75
     number_share: float = 0.4
+    spoken_share: float = 0.7
+    longest_word: int = 40
+    parted_share: float = 0.4
+    different_share: float = 0.4
+    different_words: int = 50
     open_words: int = 8
     open_common: float = 0.18
+    open_unknown: int = 12
+    open_short: float = 0.2
     wrapped_line: float = 45.0
     short_line: float = 20.0
     prose_share: float = 0.4
@@ -149,6 +162,17 @@ def _rows(lines: list[str], rule: ProseRule) -> Iterator[int]:
                     yield from range(begin, end)
 
 
+def _dosed(lines: list[str], rule: ProseRule) -> Iterator[int]:
+    """The lines of lists of values: short neighbours with their first number behind equally many words."""
+    at = []
+    for line in lines:
+        words = _TOKEN.findall(line)
+        at.append(next((i for i, w in enumerate(words) if w[0].isdigit()), -1) if len(line) < rule.wrapped_line and len(words) > 1 else -1)
+    for begin, end in _runs([x > 0 for x in at]):
+        if end - begin >= rule.least_rows and max(Counter(at[begin:end]).values()) >= rule.row_share * (end - begin):
+            yield from range(begin, end)
+
+
 def _aligned_gaps(lines: list[str], rule: ProseRule) -> bool:
     """Whether gaps of blanks end, or begin, below each other."""
     for side in (0, 1):
@@ -160,7 +184,7 @@ def _aligned_gaps(lines: list[str], rule: ProseRule) -> bool:
 
 def _laid(lines: list[str], period: float, correlation: float, ended: float, rule: ProseRule) -> set[int]:
     """Which of the visible lines are set as a list or table."""
-    laid = {*_items(lines, rule), *_rows(lines, rule)}
+    laid = {*_items(lines, rule), *_rows(lines, rule), *_dosed(lines, rule)}
     if period >= rule.least_indent and period + correlation / 2 >= rule.least_period:
         if ended >= rule.ended_share or sum(map(len, lines)) < rule.wrapped_line * len(lines):
             indents = [len(x) - len(x.lstrip()) for x in lines]
@@ -204,7 +228,7 @@ def describe(text: str | None, rule: ProseRule = ProseRule()) -> tuple:
         for part in closed:
             words, own, frequent = _words(part)
             count, letters, common = count + len(words), letters + own, common + frequent
-            size = 0 if apart else _sentence(part, words, own, frequent, rule.least_words, rule.common_share, rule)
+            size = 0 if apart else _sentence(part, words, own, frequent, True, rule)
             sentences += size > 0
             prose += size
         if not rest:
@@ -216,7 +240,7 @@ def describe(text: str | None, rule: ProseRule = ProseRule()) -> tuple:
             words, own, frequent = _words(rest)
         listed = len(block) > 1 and sum(len(x) - x.count(" ") for x in block) < rule.short_line * len(block)
         if not apart and not _MARK.match(block[0]) and not (listed and _foreign(rest)):
-            size = _sentence(rest, words, own, frequent, rule.open_words, rule.open_common, rule)
+            size = _sentence(rest, words, own, frequent, False, rule)
             sentences += size > 0
             prose += size
     share = prose / visible
@@ -249,14 +273,29 @@ def _foreign(part: str) -> bool:
     return bool(count) and 2 * count >= len(part) - part.count(" ")
 
 
-def _sentence(part: str, words: list[str], letters: int, frequent: int, least_words: int, common_share: float, rule: ProseRule) -> int:
+def _flows(part: str, words: list[str], rule: ProseRule) -> bool:
+    """Whether a stretch of Latin letters reads as words in a row, in whatever language: words that can be spoken, few of
+    them numbers or parted by separators, and not the same few again and again."""
+    spoken = [w for w in words if len(w) > 2 and not w.isdigit()]
+    if sum(len(w) <= rule.longest_word and w.isalpha() | ("-" in w) | ("'" in w) | ("’" in w) and bool(_VOWEL.search(w)) for w in spoken) < rule.spoken_share * len(spoken):
+        return False
+    if sum(map(str.isdigit, words)) > rule.number_share * len(words) or len(_PARTED.findall(part)) > rule.parted_share * len(words):
+        return False
+    return len(words) < 2 * rule.least_words or len(set(words)) >= rule.different_share * min(len(words), rule.different_words)
+
+
+def _sentence(part: str, words: list[str], letters: int, frequent: int, closed: bool, rule: ProseRule) -> int:
     """The visible characters of a stretch if it reads as a sentence, else 0."""
     visible = len(part) - part.count(" ")
     if visible >= 8 and _foreign(part):
         return visible
-    if len(words) < least_words or letters < 0.75 * visible or frequent < common_share * len(words):
+    if len(words) < rule.least_words or letters < rule.letter_share * visible or not _flows(part, words, rule):
         return 0
-    return visible if sum(map(str.isdigit, words)) <= rule.number_share * len(words) else 0
+    if closed:
+        return visible
+    short = sum(len(w) <= 3 for w in words)
+    known = len(words) >= rule.open_words and frequent >= rule.open_common * len(words)
+    return visible if known or (len(words) >= rule.open_unknown and short >= rule.open_short * len(words)) else 0
 
 
 FIELDS = [

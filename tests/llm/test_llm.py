@@ -153,6 +153,32 @@ def test_layout_decides_with_sentences(text, prose):
     assert quality.describe(text)[-1] is prose
 
 
+WORDY = ["Knee pain", "It was sore", "He felt well", "No rash seen", "She slept badly", "The arm was dry"]
+
+
+@pytest.mark.parametrize(
+    "text,prose",
+    [
+        ("\n".join(f"{WORDY[i % 6]} today;{WORDY[(i + 1) % 6]} at night;{WORDY[(i + 2) % 6]} since then." for i in range(12)), False),
+        ("\n".join(f"{WORDY[i % 6]} today,{WORDY[(i + 1) % 6]} at night,{WORDY[(i + 2) % 6]} since then." for i in range(12)), False),
+        ("\n".join(f"{WORDY[i % 6]:<20}{WORDY[(i + 1) % 6]:<20}{WORDY[(i + 2) % 6]}." for i in range(12)), False),
+        ("\n".join(f"Iron tablets {i + 1} mg in the morning." for i in range(6)), False),
+        ("Pacjentka zgłosiła się do przychodni z powodu bólu kolana. Badanie nie wykazało obrzęku. Zalecono odpoczynek i kontrolę za tydzień.", True),
+        ("Potilas tuli vastaanotolle polvikivun vuoksi. Tutkimuksessa ei todettu turvotusta. Kontrolli sovittiin viikon päähän.", True),
+        ("Hasta diz ağrısı nedeniyle polikliniğe başvurdu. Muayenede şişlik saptanmadı. Bir hafta sonra kontrol önerildi.", True),
+        ("Patienten kom till mottagningen på grund av knäsmärta. Undersökningen visade ingen svullnad. Återbesök om en vecka planerades.", True),
+        ("Patient admitted overnight. Symptoms resolved quickly following treatment. Discharged home stable without further complaints.", True),
+        ("Lumbar puncture performed yesterday evening. Cultures remained negative throughout. Antibiotics stopped.", True),
+        ("Praocaine 2.5 mg.\nGanitide 40 mg.\nOsiuromab 50 mg.\nMonuromab 25 mg.", False),
+        ("heart, spleen, groin, liver, sodium, albumin, flank, urea, scalp, sinus, trachea, chloride.", False),
+        ("Ab3kf93kdla9 s93kdkfie83 dk39fka93kd 39dkfkalw93 kdi39fkal3 d93kfk.", False),
+        ("heart spleen groin liver sodium albumin flank urea scalp sinus trachea chloride heart spleen", False),
+    ],
+)
+def test_prose_in_any_language_and_tables_of_words(text, prose):
+    assert quality.describe(text)[-1] is prose
+
+
 def test_statistics_of_odd_texts(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)], "k long, t string, word_count int")
     rows = {r["k"]: r for r in quality.text_statistics(df, "k", "t").collect()}
