@@ -1,13 +1,12 @@
 """Reading grade of the running prose in each text.
 
 Sentences are taken from the text without headings, list items, value lines and rulers. Words,
-letters, syllables (by hyphenation-style rules) and sentences give six grade estimates, of which
-the median counts.
+letters, syllables (by hyphenation patterns) and sentences give six grade estimates, of which
+the median counts. Grades are not clamped: very plain texts lie below 0.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cohortloom.llm.syllables import syllables
 from cohortloom.session import spread
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -26,44 +26,31 @@ _END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*(?=\s|$)")
 _ITEM = re.compile(r"^\s*(?:[-*•‣▪◦·–—+>]{1,3}|\(?(?:\d{1,3}|[A-Za-z])[.)])\s+\S")
 _HEADING = re.compile(r"^[^.!?]{1,60}:\s*$")
 _FIELD = re.compile(r"\S:\s{1,}\S.*:\s{1,}\S|_{3,}\s*$")
+_BLANK = re.compile(r"(?:[A-Z][A-Za-z ]{0,24}:\s*)?_{3,}\s*")
 _ENDED = re.compile(r"[.!?…][\"'”’)\]]*$")
-#: Endings and beginnings that change the number of vowel groups a reader hears.
-_SILENT = re.compile(r"(?:[^aeiouyl]e|[aeiouy]le|[^td]ed|[^aeiouycgsxz]es)$")
-_SPLIT = re.compile(r"ia(?!l\b|n\b)|i(?:o(?!us|n)|um|us)|eo|ua|uo(?!us)|[aeo]ing|yi|[aeiou]{3}|^(?:re|pre|co)[aeiou]|ism$")
-_VOWELS = re.compile(r"[aeiouyàáâäèéêëìíîïòóôöùúûüœæ]+")
 
 
 @dataclass(frozen=True)
 class GradeRule:
     """Sentences of least_words words and more count, with letters for letter_share of what is visible
-    and at most number_share numbers. A text is demanding from grade `demanding` on."""
+    and at most number_share numbers. Lines of up to longest_field characters with several fields are no prose. A text is demanding from grade `demanding` on."""
 
     least_words: int = 4
     letter_share: float = 0.7
     number_share: float = 0.35
     wrapped_line: int = 45
+    longest_field: int = 160
     demanding: float = 14.0
 
 
-@functools.lru_cache(maxsize=200_000)
-def syllables(word: str) -> int:
-    """Syllables of a word: its vowel groups, less silent endings, plus hiatus."""
-    w = word.lower()
-    if "-" in w:
-        return sum(syllables(part) for part in w.split("-") if part) or 1
-    count = len(_VOWELS.findall(w))
-    if count > 1 and _SILENT.search(w):
-        count -= 1
-    count += len(_SPLIT.findall(w))
-    return max(1, count)
-
-
 def sentences(text: str, rule: GradeRule = GradeRule()) -> Iterator[list[str]]:
     """The words of each sentence of the running prose."""
     run: list[str] = []
     for line in [*text.splitlines(), ""]:
         bare = line.strip()
-        apart = not bare or _ITEM.match(line) or _HEADING.match(bare) or _FIELD.search(bare) or "\t" in bare or "|" in bare
+        if len(bare) > rule.longest_field and len(_END.findall(bare)) > 1:  # a whole note in one line, behind fields left blank
+            bare = _BLANK.sub("", bare)
+        apart = not bare or _ITEM.match(line) or _HEADING.match(bare) or (len(bare) <= rule.longest_field and _FIELD.search(bare)) or "\t" in bare or "|" in bare
         fresh = run and bare[:1].isupper() and not bare.isupper() and not _ENDED.search(run[-1])
         short = run and len(run[-1]) < rule.wrapped_line and not _ENDED.search(run[-1])
         if run and (apart or fresh or short):
@@ -112,7 +99,7 @@ def grade(text: str | None, rule: GradeRule = GradeRule()) -> tuple[int, int, fl
         5.88 * letters / words - 29.6 * count / words - 15.8,  # Coleman and Liau
         (length + 100 * long / words + 15) / 6.0,  # Björnsson's LIX on the scale of school grades
     ]
-    return count, words, float(min(30.0, max(0.0, median(estimates))))
+    return count, words, float(median(estimates))
 
 
 def reading_grade(df: DataFrame, key: str, text: str, rule: GradeRule = GradeRule()) -> DataFrame:
