@@ -10,11 +10,13 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections import defaultdict
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 from cohortloom.session import materialize, spread
 
 _WORD = re.compile(r"[^\W_]+")
-_LINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­]\s*\n\s*(?=[^\W\d_])")
+_LINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*(?:\r\n|\n|\r)\s*(?=[^\W\d_])")
 _NUMBER_POINT = re.compile(r"(?<=\d)[.,](?=\d)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -44,7 +46,9 @@ class LeakRule:
     a stock sentence, whose words don't count, if it stands alone in more than stock_contexts different
     contexts (stock_near * 3 words to both sides; copies have one), or in two if several passages
     have it between other sentences, and alone in at least stock_lone of all its contexts.
-    block_words: words of passages held by a task at once; more are searched in further blocks.
+    block_words: words of passages up to which their fingerprints are sent to every task; for more, the
+    fingerprints of both sides are joined. template: trigrams that stand in more than template_share of the
+    passages, and more than template_count of them, are told over all passages either way.
     """
 
     k: int = 3
@@ -72,7 +76,7 @@ def words_of(text: str | None) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    if "-\n" in text or "\n" in text and not text.isascii():
+    if ("\n" in text or "\r" in text) and ("-" in text or not text.isascii()):
         text = _LINE_HYPHEN.sub("", text)
     return _WORD.findall(_NUMBER_POINT.sub("", text.lower()))
 
@@ -105,49 +109,78 @@ def _digest(words: Iterable[str]) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-class _Words(dict):
+class _Numbers(dict):
     """Numbers of the passages' words; every other word is 0."""
 
     def __missing__(self, word: str) -> int:
         return 0
 
 
+class _Codes(dict):
+    """A hash of each word, the same everywhere; kept for as many words as memory should hold."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") | 1
+        return code
+
+
+_CODES = _Codes()
+
+
+def _trigrams(words: list[str]) -> list[int]:
+    return [_digest(words[j : j + 3]) for j in range(len(words) - 2)]
+
+
+def _weights(words: list[str], template: set[int] | frozenset[int], rule: LeakRule) -> tuple[list[float], list[int]]:
+    """The weight of each word of a passage, and how many words of weight 1 stand before each place."""
+    weights = [1.0] * len(words)
+    for j, gram in enumerate(_trigrams(words)):
+        if gram in template:
+            weights[j : j + 3] = [rule.template_weight] * 3
+    weights = [min(w, rule.template_weight) if word.isdigit() else w for word, w in zip(words, weights)]
+    return weights, np.concatenate([[0], np.cumsum([w >= 1 for w in weights])]).astype(int).tolist()
+
+
+def _fingerprints(words: list[str], rule: LeakRule) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the k-grams of a text that winnowing keeps."""
+    hashes = _mix(np.array([_CODES[w] for w in words], dtype=np.uint64), rule.k) if len(words) >= rule.k else np.zeros(0, dtype=np.uint64)
+    at = np.flatnonzero(winnow(hashes, rule.window))
+    return hashes[at], at
+
+
+def _passage(text: str) -> tuple[list[str], list[int]]:
+    """The words of a passage and a number for the sentence of each."""
+    words, sentences = [], []
+    for sentence in map(words_of, _SENTENCE.split(text)):
+        words += sentence
+        sentences += [_digest(sentence)] * len(sentence)
+    return words, sentences
+
+
 class _Index:
-    """Fingerprints of a block of passages; made once in each task."""
+    """Fingerprints of some passages; made once in each worker."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[int]]], rule: LeakRule) -> None:
+    def __init__(self, items: list[tuple[int, list[str], list[int]]], template: set[int] | frozenset[int], rule: LeakRule) -> None:
         self.rule = rule
-        self.vocabulary: dict[str, int] = _Words()
+        self.vocabulary: dict[str, int] = _Numbers()
         self.items = []
         self.orders: list[list[int]] = []  # the sentences of each passage
         self.lengths: list[list[int]] = []  # their words
         places = defaultdict(list)
-        rng = np.random.default_rng(7)
         number = self.vocabulary
         for _, words, _ in items:
             for word in words:
                 number.setdefault(word, len(number) + 1)
-        self.codes = rng.integers(1, 1 << 63, size=len(number) + 1, dtype=np.uint64)
-        holders: dict[tuple, set] = defaultdict(set)
-        for item, words, _ in items:
-            for j in range(len(words) - 2):
-                holders[tuple(words[j : j + 3])].add(item)
-        often = max(rule.template_count, rule.template_share * len(items))
         for item, words, sentences in items:
-            weights = [1.0] * len(words)
-            for j in range(len(words) - 2):
-                if len(holders[tuple(words[j : j + 3])]) > often:
-                    weights[j : j + 3] = [rule.template_weight] * 3
-            weights = [min(w, rule.template_weight) if word.isdigit() else w for word, w in zip(words, weights)]
-            content = np.concatenate([[0], np.cumsum([w >= 1 for w in weights])]).tolist()
-            ids = np.array([number[w] for w in words], dtype=np.int64)
-            hashes = _mix(self.codes[ids], rule.k)
-            for at in np.flatnonzero(winnow(hashes, rule.window)).tolist():
-                places[int(hashes[at])].append((len(self.items), at, content[at + rule.k] - content[at]))
+            weights, content = _weights(words, template, rule)
+            for code, at in zip(*map(np.ndarray.tolist, _fingerprints(words, rule))):
+                places[code].append((len(self.items), at, content[at + rule.k] - content[at]))
             starts = [j == 0 or sentences[j] != sentences[j - 1] for j in range(len(words))]
             self.orders.append([x for x, start in zip(sentences, starts) if start])
             self.lengths.append(np.diff([*np.flatnonzero(starts), len(words)]).tolist())
-            self.items.append((item, ids.tolist(), weights, content, sentences, (np.cumsum(starts) - 1).tolist()))
+            self.items.append((item, [number[w] for w in words], weights, content, sentences, (np.cumsum(starts) - 1).tolist()))
         self.known = np.array(sorted(places), dtype=np.uint64)
         listed = [places[int(x)] for x in self.known]
         self.begins = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int64)
@@ -161,21 +194,21 @@ class _Index:
         and the passage has others beside it, its place among them, its context in the text and
         whether it stands alone there.
         """
-        rule, number = self.rule, self.vocabulary.__getitem__
-        rows, read, starts, flat = [], [], [0], []
-        for text in texts:
-            read.append(words_of(text))
-            ids = list(map(number, read[-1]))
-            rows.append(ids)
-            flat += ids
-            flat += [0] * rule.k
-            starts.append(len(flat))
+        rule = self.rule
         if not len(self.known):
             return []
-        hashes = _mix(self.codes[np.array(flat, dtype=np.int64)], rule.k)
+        read = [words_of(text) for text in texts]
+        kept, places, starts = [], [], [0]
+        for words in read:
+            hashes, at = _fingerprints(words, rule)
+            kept.append(hashes)
+            places.append(at + starts[-1])
+            starts.append(starts[-1] + len(words) + rule.k)
+        hashes, place = np.concatenate(kept), np.concatenate(places)
         hits = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        found = np.flatnonzero((self.known[hits] == hashes) & winnow(hashes, rule.window))
-        hits = hits[found]
+        same = self.known[hits] == hashes
+        hits, found = hits[same], place[same]
+        rows: dict[int, list[int]] = {}  # the words' numbers, for texts that are aligned
         counts = self.begins[hits + 1] - self.begins[hits]
         every = np.repeat(np.arange(len(found)), counts)
         within = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -194,6 +227,8 @@ class _Index:
             at_row, item = divmod(int(keys[j]), len(self.items))
             own = order[first[j] : ends[j]]
             seeds = zip((found[every[own]] - begin[at_row]).tolist(), posting[own, 1].tolist())
+            if at_row not in rows:
+                rows[at_row] = list(map(self.vocabulary.__getitem__, read[at_row]))
             found_here = self._alignments(rows[at_row], item, list(seeds))
             touched: dict[int, int] = defaultdict(int)
             for _, parts in found_here:
@@ -287,45 +322,59 @@ def find_leaks(
 ) -> DataFrame:
     """doc and item of every document that holds some twenty running words of an item's passage.
 
-    The passages go to every task in blocks of at most block_words words; each block reads the
-    documents once, and only what was aligned with a passage leaves the task. Null and empty texts or
+    Up to the rule's block_words the passages go to every task, which meets their fingerprints while it
+    reads its documents once; for more, the fingerprints of both sides are joined and only documents and
+    passages that meet are brought together. The result is the same. Null and empty texts or
     passages have no leaks, repeated documents or items give a row once, and other columns are not
     read.
     """
-    sized = items.where(F.col(passage).isNotNull()).select(F.col(item).alias("i"), F.col(passage).alias("p")).distinct()
-    letters = sized.agg(F.sum(F.length("p")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(letters) // (rule.block_words * 6)))
+    held = items.where(F.col(passage).isNotNull()).select(F.col(item).alias("i"), F.col(passage).alias("p")).distinct()
+    size = held.agg(F.sum(F.length("p")).alias("n"), F.count("*").alias("items")).first()
     kind = items.schema[item].dataType
-    aligned = None
-    for block in range(blocks):
-        held = sized.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == block).orderBy("i", "p").collect()
-        if held:
-            found = materialize(_aligned(docs, [(r["i"], r["p"]) for r in held], doc, text, item, kind, rule))
-            aligned = found if aligned is None else aligned.union(found)
-    if aligned is None:
+    texts = docs.select(doc, text)
+    if not size["n"]:
         return docs.sparkSession.createDataFrame([], T.StructType([docs.schema[doc], T.StructField(item, kind)]))
-    return _without_stock(aligned, doc, item, rule).distinct()
+    if size["n"] <= rule.block_words * 6:
+        aligned = _aligned(texts, [(r["i"], r["p"]) for r in held.orderBy("i", "p").collect()], doc, text, item, kind, rule)
+    else:
+        aligned = _aligned_by_join(texts, held, size["items"], doc, text, item, kind, rule)
+    return _without_stock(materialize(aligned), doc, item, rule).distinct()
 
 
 _PART = [("sentence", T.LongType(), pa.int64()), ("words", T.IntegerType(), pa.int32()), ("own", T.IntegerType(), pa.int32()), ("total", T.IntegerType(), pa.int32())]
 _PART += [("place", T.LongType(), pa.int64()), ("context", T.LongType(), pa.int64()), ("alone", T.BooleanType(), pa.bool_())]
+_INDEX: dict[str, _Index] = {}
+
+
+def _often(rule: LeakRule, items: int) -> float:
+    """The number of passages above which a trigram is the template's."""
+    return max(rule.template_count, rule.template_share * items)
 
 
-def _aligned(docs, held, doc, text, item, kind, rule) -> DataFrame:
-    entries = []
+def _schema(doc_field: T.StructField, item: str, kind: T.DataType) -> T.StructType:
+    counts = T.StructType([T.StructField(name, spark_kind) for name, spark_kind, _ in _PART])
+    return T.StructType([doc_field, T.StructField(item, kind), T.StructField("enough", T.BooleanType()), T.StructField("parts", T.ArrayType(counts))])
+
+
+def _aligned(texts, held, doc, text, item, kind, rule) -> DataFrame:
+    """The alignments with passages that every task holds."""
+    entries, holders = [], Counter()
     for i, p in held:
-        words, sentences = [], []
-        for sentence in map(words_of, _SENTENCE.split(p)):
-            words += sentence
-            sentences += [_digest(sentence)] * len(sentence)  # the same in every block
+        words, sentences = _passage(p)
         if len(words) >= rule.k:
             entries.append((i, words, sentences))
-    shared = docs.sparkSession.sparkContext.broadcast(entries)
+            holders.update(set(_trigrams(words)))
+    template = {gram for gram, n in holders.items() if n > _often(rule, len(held))}
+    shared = texts.sparkSession.sparkContext.broadcast((entries, template))
     part = pa.struct([(name, arrow) for name, _, arrow in _PART])
     arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}.get(kind, pa.string())
+    key = uuid.uuid4().hex
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(shared.value, rule)
+        if key not in _INDEX:  # once for each worker, whatever the number of its tasks
+            _INDEX.clear()
+            _INDEX[key] = _Index(*shared.value, rule)
+        index = _INDEX[key]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
@@ -336,9 +385,67 @@ def _aligned(docs, held, doc, text, item, kind, rule) -> DataFrame:
                 enough = pa.array([bool(x) for _, _, x, _ in found], pa.bool_())
                 yield pa.RecordBatch.from_arrays([at, ids, enough, pa.array(parts, pa.list_(part))], names=[doc, item, "enough", "parts"])
 
-    counts = T.StructType([T.StructField(name, spark_kind) for name, spark_kind, _ in _PART])
-    schema = T.StructType([docs.schema[doc], T.StructField(item, kind), T.StructField("enough", T.BooleanType()), T.StructField("parts", T.ArrayType(counts))])
-    return spread(docs.select(doc, text)).mapInArrow(search, schema)
+    return spread(texts).mapInArrow(search, _schema(texts.schema[doc], item, kind))
+
+
+def _aligned_by_join(texts, held, items, doc, text, item, kind, rule) -> DataFrame:
+    """The alignments with any number of passages, from a join of fingerprints.
+
+    Fingerprints without words of weight 1 can't make a pair, so the template's, which many documents and
+    passages have, are not joined; of a text's equal fingerprints the number is.
+    """
+    held = materialize(held.withColumn("item_key", F.xxhash64("i", "p")))
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"gram": [g for p in batch["p"] for g in set(_trigrams(_passage(p)[0]))]}, dtype="int64")
+
+    counted = held.select("p").mapInPandas(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > _often(rule, items))
+    # each is in more than template_share of the passages, so there are at most their mean length by that share
+    template = frozenset(r["gram"] for r in counted.collect())
+
+    def item_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, p in zip(batch["item_key"], batch["p"]):
+                words = _passage(p)[0]
+                _, content = _weights(words, template, rule)
+                own: Counter = Counter()
+                for code, at in zip(*map(np.ndarray.tolist, _fingerprints(words, rule))):
+                    own[code] += content[at + rule.k] - content[at]
+                out += [(np.uint64(code).astype(np.int64), key, n) for code, n in own.items() if n]
+            yield pd.DataFrame(out, columns=["print", "item_key", "content"]).astype("int64")
+
+    def doc_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, value in zip(batch["doc_key"], batch[text]):
+                codes, n = np.unique(_fingerprints(words_of(value), rule)[0], return_counts=True)
+                out.append(pd.DataFrame({"print": codes.astype(np.int64), "doc_key": key, "n": n}))
+            yield pd.concat(out) if out else pd.DataFrame({"print": [], "doc_key": [], "n": []}, dtype="int64")
+
+    keyed = spread(texts.where(F.col(text).isNotNull()).withColumn("doc_key", F.xxhash64(doc, text)))
+    left = keyed.select("doc_key", text).mapInPandas(doc_prints, "print long, doc_key long, n long")
+    right = held.select("item_key", "p").mapInPandas(item_prints, "print long, item_key long, content long")
+    met = left.join(right, "print").groupBy("doc_key", "item_key").agg(F.sum(F.col("n") * F.col("content")).alias("seeds"))
+    met = met.where(F.col("seeds") >= rule.least_seeds).select("doc_key", "item_key")
+    pairs = met.join(keyed, "doc_key").join(held, "item_key").select(doc, text, F.col("i").alias(item), "p")
+    schema = _schema(texts.schema[doc], item, kind)
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indexes: dict[tuple, _Index] = {}
+        for batch in batches:
+            out = []
+            for d, value, i, p in zip(batch[doc], batch[text], batch[item], batch["p"]):
+                if (i, p) not in indexes:
+                    if len(indexes) > 2000:
+                        indexes.clear()
+                    indexes[i, p] = _Index([(i, *_passage(p))], template, rule)
+                for _, own, enough, parts in indexes[i, p].leaks([value]):
+                    out.append((d, own, bool(enough), [dict(zip((name for name, _, _ in _PART), x)) for x in parts]))
+            yield pd.DataFrame(out, columns=[doc, item, "enough", "parts"])
+
+    return pairs.mapInPandas(align, schema)
 
 
 def _without_stock(aligned: DataFrame, doc: str, item: str, rule: LeakRule) -> DataFrame:
@@ -349,9 +456,10 @@ def _without_stock(aligned: DataFrame, doc: str, item: str, rule: LeakRule) -> D
     contexts = contexts.groupBy("sentence").agg(F.count("*").alias("contexts"), F.sum(F.col("alone").cast("long")).alias("lone"))
     places = each.select("sentence", "place").distinct().groupBy("sentence").agg(F.count("*").alias("places"))
     often = contexts.join(places, "sentence").where(F.col("lone") >= rule.stock_lone * F.col("contexts"))
-    often = often.where((F.col("lone") > rule.stock_contexts) | (F.col("places") > 1) & (F.col("lone") > 1))
-    stock = [r["sentence"] for r in often.select("sentence").collect()]  # no more than the passages' sentences
-    kept = F.filter("parts", lambda x: ~x["sentence"].isin(stock)) if stock else F.col("parts")
-    total = lambda name: F.aggregate("kept", F.lit(0), lambda a, x: a + x[name])
-    enough = (total("words") >= rule.least_words) & (total("own") >= F.greatest(F.lit(float(rule.least_content)), rule.least_share * total("total")))
-    return aligned.where("enough").withColumn("kept", kept).where(enough).select(doc, item)
+    stock = often.where((F.col("lone") > rule.stock_contexts) | (F.col("places") > 1) & (F.col("lone") > 1)).select("sentence", F.lit(True).alias("stock"))
+    numbered = aligned.where("enough").withColumn("_at", F.monotonically_increasing_id())  # before the parts are told apart
+    parts = numbered.select("_at", doc, item, F.explode("parts").alias("x"))
+    parts = parts.select("_at", doc, item, "x.sentence", "x.words", "x.own", "x.total").join(stock, "sentence", "left").where("stock is null")
+    left = parts.groupBy("_at", doc, item).agg(*[F.sum(c).alias(c) for c in ("words", "own", "total")])
+    enough = (F.col("words") >= rule.least_words) & (F.col("own") >= F.greatest(F.lit(float(rule.least_content)), rule.least_share * F.col("total")))
+    return left.where(enough).select(doc, item)

@@ -103,6 +103,27 @@ def test_stock_sentences_are_told_in_small_tables_and_from_short_alignments(spar
     assert leaks(spark, docs, [(1, f"{PASSAGE} {stock} {own}"), (2, f"{stock} {other}")]) == []
 
 
+@pytest.mark.parametrize("share", [0.01, 0.09, 0.5])
+@pytest.mark.parametrize("block_words", [2_000_000, 1])
+def test_whole_copies_are_found_however_many_there_are(spark, share, block_words):
+    other = "A lame heron stood all summer on the roof of the mill and watched how the boys mended their blue kites near the weir."
+    n = int(200 * share)
+    docs = [f"Visit {i} on day {i * 7}. {PASSAGE} {other} Plan {i}." for i in range(n)] + [f"Visit {i}: the wound was dry." for i in range(200 - n)]
+    assert leaks(spark, docs, [(1, f"{PASSAGE} {other}"), (2, "The harbour master counted every red sail before the storm came in and wrote the sum on a slate by the door of the tower.")], block_words=block_words) == [(i, 1) for i in range(n)]
+
+
+def test_words_parted_at_line_ends(spark):
+    assert leakage.words_of("obser-\r\nvation obser- \nvation obser-\rvation obser-\nvation a-b 5-\n6") == ["observation"] * 4 + ["a", "b", "5", "6"]
+
+
+def test_template_words_are_told_over_all_passages(spark):
+    style = "The patient was seen on the ward by the team and was said to have"
+    items = [(i, f"{style} {w} since the first week of the year in the old town.") for i, w in enumerate(("gout", "mumps", "croup", "scurvy", "rickets", "pellagra"))]
+    docs = [f"{style} asthma since the first week of the year in the old town.", items[2][1]]
+    rule = {"least_content": 1, "least_seeds": 1}
+    assert leaks(spark, docs, items, **rule) == leaks(spark, docs, items, block_words=1, **rule) == [(1, 2)]
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_long_shared_span():
     rng = np.random.default_rng(0)
     for _ in range(50):
