@@ -10,8 +10,9 @@ from cohortloom.llm.setjoin import best_matches
 from cohortloom.session import materialize
 
 
-def wordings(values: DataFrame, text: str, reference: DataFrame, key: str, preferred: str, others: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    """text and words of every different value, right in spelling and without abbreviations; the list's names; its synonyms.
+def wordings(values: DataFrame, text: str, reference: DataFrame, key: str, preferred: str, others: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """text and words of every different value, right in spelling, without abbreviations and in the list's preferred words; the list's
+    entries (ref and the words of the preferred name, in the same way); its words.
 
     Null and blank values have no row.
     """
@@ -20,8 +21,13 @@ def wordings(values: DataFrame, text: str, reference: DataFrame, key: str, prefe
     each = values.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).distinct()
     each = materialize(each.withColumn("words", terms.lookup(terms.words(F.col("text")), terms.ABBREVIATIONS)).where("size(words) > 0"))
     counts = each.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    right = materialize(terms.spelling(counts, known, each.count()))
-    return terms.correct(each, "text", "words", right), names, terms.synonyms(names)
+    right = materialize(terms.spelling(counts, known))
+    meanings = materialize(terms.synonyms(names))
+    said = terms.preferred(terms.correct(each, "text", "words", right), "text", "words", meanings)
+    firsts = names.select(F.array_join("first", " ").alias("name"), "first").distinct()
+    entries = names.select("ref", F.array_join("first", " ").alias("name")).distinct().join(terms.preferred(firsts, "name", "first", meanings), "name")
+    entries = materialize(entries.select("ref", F.array_distinct("first").alias("items")).distinct())
+    return said, entries, entries.select(F.explode("items").alias("word")).distinct()
 
 
 def map_to_list(
@@ -40,10 +46,8 @@ def map_to_list(
     similar entry counts, ties go to the smaller key. Entries without words match nothing; repeated
     rows and names count once; blank values and an empty list leave values unmatched.
     """
-    right, names, meanings = wordings(values, text, reference, key, preferred, others)
-    entries = materialize(names.select("ref", F.array_distinct(terms.preferred_words(F.col("first"), meanings)).alias("items")).distinct())
-    vocabulary = entries.select(F.explode("items").alias("word")).distinct()
-    said = right.select("text", F.explode(F.array_distinct(terms.preferred_words(F.col("words"), meanings))).alias("word"))
+    right, entries, vocabulary = wordings(values, text, reference, key, preferred, others)
+    said = right.select("text", F.explode(F.array_distinct("words")).alias("word"))
     sets = said.join(vocabulary, "word", "left_semi").groupBy("text").agg(F.collect_set("word").alias("items"))
     found = best_matches(sets.withColumnRenamed("text", "left_id"), entries.withColumnRenamed("ref", "right_id"), threshold)
     every = values.select(F.col(text).alias("left_id")).where(F.col(text).isNotNull()).distinct()

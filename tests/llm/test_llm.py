@@ -384,6 +384,50 @@ def test_records_of_one_story_share_a_cluster(spark, tables):
     assert clusters.cluster_stories(df.where("k > 900"), "k", "t", tables[1]).count() == 0
 
 
+def test_words_meet_over_what_is_left_of_them(spark):
+    words = {"during": 400, "surfing": 24, "surfnig": 1, "surffing": 1, "dring": 2, "knee": 50, "kene": 3, "knees": 2, "xq": 1, "dislocation": 5, "dilsocatoin": 1}
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    found = {r["word"]: r["right"] for r in terms.spelling(counts, spark.createDataFrame([("knee",), ("dislocation",)], "word string")).collect()}
+    assert found == {"surfnig": "surfing", "surffing": "surfing", "dring": "during", "kene": "knee", "knees": "knee", "dilsocatoin": "dislocation"}
+    assert terms.spelling(counts.where("false"), counts.where("false").select("word")).count() == 0
+
+
+def test_synonyms_are_joined_by_phrase(spark):
+    rows = [(1, "pain low back of the out of joint hip".split()), (2, ["knee"]), (3, [])]
+    df = spark.createDataFrame(rows, "k long, w array<string>")
+    meanings = spark.createDataFrame([("low back", ["lumbar"]), ("back", ["spine"]), ("out joint", ["dislocation"]), ("hip", ["hip", "joint"])], "phrase string, means array<string>")
+    found = {r["k"]: r["w"] for r in terms.preferred(df, "k", "w", meanings).collect()}
+    assert found == {1: "pain lumbar of the dislocation hip joint".split(), 2: ["knee"], 3: []}
+
+
+def test_cells_and_seeds_do_not_grow_with_the_records(spark):
+    rule = clusters.ClusterRule(k=16)
+    for n in (300, 3000):
+        parts = spark.range(n).selectExpr("cast(id as string) as point", "array(concat('head:s', id % 40), concat('head:t', id div 40), concat('onset:o', id % 7)) as parts", "1L as weight")
+        heads = clusters.head_vectors(parts, rule)
+        cells = clusters.head_cells(heads, rule).toPandas()
+        assert len(cells) == heads.count() and cells["cell"].nunique() <= 16
+    assert clusters.head_cells(heads.where("false"), rule).count() == 0
+
+
+def test_clusters_are_the_stories(spark):
+    rng = random.Random(8)
+    points, story = [], {}
+    for i in range(120):
+        whole = [f"company:c{rng.randint(0, 9)}", f"head:s{i % 12}", f"head:t{i % 5}", f"occasion:a{rng.randint(0, 20)}", f"onset:o{rng.randint(0, 20)}"]
+        for j in range(4):
+            parts = whole if j == 0 else [x for x in whole if not x.startswith(("company", "occasion", "onset")[j - 1])]
+            points.append(("|".join(parts), parts, 9 if j == 0 else 1))
+            story.setdefault("|".join(parts), set()).add("|".join(whole))
+    df = spark.createDataFrame(sorted({p[0]: p for p in points}.values()), "point string, parts array<string>, weight long")
+    rule = clusters.ClusterRule()
+    rows = clusters.features(df, rule).join(df.select("point", "parts"), "point").toPandas()
+    own, cosine = clusters._story_clusters(rows, rule)
+    name = rows["point"].to_numpy()
+    plain = [i for i in range(len(rows)) if len(story[name[i]]) == 1]
+    assert all(name[own[i]] in story[name[i]] for i in plain) and cosine.min() >= rule.least
+
+
 def test_pairs_of_large_clusters_come_in_blocks(spark):
     df = spark.range(50).selectExpr("id as k", "'c' as cluster", "3000L as size")
     assert clusters.same_cluster_pairs(df, "k").count() == 50 * 49 // 2
