@@ -2,7 +2,8 @@
 
 A neighbour graph of a bounded sample is cut into parts of equal size, a softmax classifier learns
 to tell a vector's part, every vector is stored in its most probable part, and each query visits
-the most probable parts, where exact cosines decide.
+the most probable parts, where exact cosines decide. Parts that are too large are cut in the same way, from a
+sample of their own, so that parts keep their size however many vectors there are.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ from cohortloom.session import materialize
 class IndexRule:
     """Sizes of the index.
 
-    part_size: vectors in a part, from which the number of parts follows, up to most_parts.
-    sample: vectors that the graph and the classifier are fitted on, at most; every vector is indexed.
+    part_size: vectors in a part, from which the number of parts follows; few vectors are cut into least_parts parts of
+    least_size and more. most_parts: parts into which one level cuts; parts of more than twice part_size are cut again.
+    sample: vectors that a level's graph and classifier are fitted on, at most; every vector is indexed.
     degree: neighbours in the graph. least_probes, most_probes, mass: a query visits its most
     probable parts until they hold `mass` of the probability, within these bounds.
     block: vectors that one task compares at most; larger parts are compared in blocks, wholly.
     """
 
     part_size: int = 2000
+    least_parts: int = 4
+    least_size: int = 40
     most_parts: int = 512
     sample: int = 8192
     degree: int = 12
@@ -39,6 +43,10 @@ class IndexRule:
     epochs: int = 80
     seed: int = 17
 
+    def parts(self, count: int) -> int:
+        """Parts into which so many vectors are cut at once."""
+        return int(min(self.most_parts, max(1, -(-count // self.part_size), min(self.least_parts, count // self.least_size))))
+
 
 def neighbour_graph(unit: np.ndarray, degree: int) -> np.ndarray:
     """The most similar rows of each row, itself left out."""
@@ -166,9 +174,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, rule: IndexRule =
     """
     members = materialize(unit_classes(df, key, vector))
     heads = members.where("k = class").select("class", "v")
-    count = heads.count()
-    parts = int(min(rule.most_parts, max(1, -(-count // rule.part_size))))
-    found = _by_scan(heads, k, rule) if parts == 1 else _by_parts(heads, k, parts, rule)
+    found = _by_parts(heads, k, heads.count(), rule)
     order = Window.partitionBy("class").orderBy(F.desc("similarity"), "neighbour")
     close = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
     first = Window.partitionBy("class").orderBy("k")
@@ -229,51 +235,113 @@ def _anew(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _by_scan(heads: DataFrame, k: int, rule: IndexRule) -> DataFrame:
-    """All classes against all, for so few that they are a single part."""
-    one = heads.withColumn("part", F.lit(0))
-    return one.groupBy("part").cogroup(_anew(one).groupBy("part")).applyInPandas(lambda q, s: _rerank(q, s, k), _schema(heads))
+def _fitted(unit: np.ndarray, count: int, rule: IndexRule) -> np.ndarray:
+    """The router of so many vectors, fitted on a sample of them."""
+    parts = min(rule.parts(count), max(1, len(unit)))
+    part = balanced_parts(neighbour_graph(unit.astype(np.float32), rule.degree), parts, rule.seed)
+    return fit_router(unit, part, parts, rule.epochs, rule.seed)
+
 
+def _visits(vectors: pd.Series, w: np.ndarray, rule: IndexRule) -> list[list[int]]:
+    """The parts that each query visits, its own first."""
+    p = _softmax(_unit(vectors).astype(np.float32) @ w[:-1] + w[-1])
+    order = np.argsort(-p, axis=1)[:, : rule.most_probes]
+    held = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
+    visits = np.minimum(order.shape[1], np.maximum(rule.least_probes, (held < rule.mass).sum(axis=1) + 1))
+    return [o[:n].tolist() for o, n in zip(order, visits)]
 
-def _by_parts(heads: DataFrame, k: int, parts: int, rule: IndexRule) -> DataFrame:
+
+def _by_parts(heads: DataFrame, k: int, count: int, rule: IndexRule) -> DataFrame:
+    """The k most similar of the visited parts, for every class."""
     spark = heads.sparkSession
+    kind, array = heads.schema["class"].dataType.simpleString(), heads.schema["v"].dataType.simpleString()
     chosen = heads.orderBy(F.xxhash64("class", F.lit(rule.seed)), "class").limit(rule.sample).toPandas()
-    unit = _unit(chosen["v"])
-    part = balanced_parts(neighbour_graph(unit.astype(np.float32), rule.degree), parts, rule.seed)
-    router = spark.sparkContext.broadcast(fit_router(unit, part, parts, rule.epochs, rule.seed))
+    if not len(chosen):
+        return spark.createDataFrame([], _schema(heads))
+    router = spark.sparkContext.broadcast(_fitted(_unit(chosen["v"]), count, rule))
 
     def route(batches):
-        w = router.value
         for batch in batches:
-            if not len(batch):
-                continue
-            u = _unit(batch["v"]).astype(np.float32)
-            p = _softmax(u @ w[:-1] + w[-1])
-            order = np.argsort(-p, axis=1)[:, : rule.most_probes]
-            held = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-            visits = np.minimum(order.shape[1], np.maximum(rule.least_probes, (held < rule.mass).sum(axis=1) + 1))
-            yield batch.assign(parts=[o[:n].tolist() for o, n in zip(order, visits)])
-
-    kind = heads.schema["class"].dataType.simpleString()
-    routed = materialize(heads.mapInPandas(route, f"class {kind}, v {heads.schema['v'].dataType.simpleString()}, parts array<int>"))
-    stored = routed.select("class", "v", F.col("parts")[0].alias("part"))
-    queries = routed.select("class", "v", F.explode("parts").alias("part"))
-    held = stored.groupBy("part").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("blocks"))
-    asked = queries.groupBy("part").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("turns"))
-    sizes = F.broadcast(held.join(asked, "part"))  # one row for each part, of which there are most_parts at most
-    stored = stored.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+            if len(batch):
+                yield batch.assign(parts=_visits(batch["v"], router.value, rule))
+
+    routed = materialize(heads.mapInPandas(route, f"class {kind}, v {array}, parts array<int>"))
+    stored = routed.select("class", "v", F.array(F.col("parts")[0]).alias("path"))
+    queries = routed.select("class", "v", F.explode("parts").alias("part")).select("class", "v", F.array("part").alias("path"))
+    return _compared(*_cut_again(stored, queries, rule), k, rule)
+
+
+def _cut_again(stored: DataFrame, queries: DataFrame, rule: IndexRule) -> tuple[DataFrame, DataFrame]:
+    """Both sides with longer paths where a part holds more than twice part_size, until none does."""
+    kind, array = stored.schema["class"].dataType.simpleString(), stored.schema["v"].dataType.simpleString()
+    while True:
+        sizes = materialize(stored.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 2 * rule.part_size))
+        large = sizes.agg(F.count("*").alias("parts"), F.max("n").alias("n")).first()
+        if not large["parts"]:
+            return stored, queries
+        inside = stored.join(sizes, "path")
+        first = Window.partitionBy("path").orderBy(F.xxhash64("class", F.lit(rule.seed)), "class")
+        samples = inside.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rule.sample)
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            w = _fitted(_unit(rows["v"]), int(rows["n"].iloc[0]), rule)
+            return pd.DataFrame({"path": [rows["path"].iloc[0]], "width": [w.shape[1]], "router": [w.ravel().tolist()]})
+
+        routers = materialize(samples.groupBy("path").applyInPandas(fit, "path array<int>, width int, router array<float>"))
+
+        def cut(df: DataFrame, visit: bool) -> DataFrame:
+            """The rows of large parts with their sub-parts; a part meets its router in turns of block rows."""
+            turns = df.join(sizes, "path", "left_semi").groupBy("path").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("turns"))
+            rows = df.join(turns, "path").withColumn("turn", F.pmod(F.xxhash64("class"), F.col("turns")).cast("int"))
+            meets = routers.join(turns, "path").select(*[F.col(c).alias(c) for c in ("path", "width", "router")], F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+
+            def route(own: pd.DataFrame, routed: pd.DataFrame) -> pd.DataFrame:
+                if not len(own) or not len(routed):
+                    return pd.DataFrame({"class": [], "v": [], "path": []})
+                w = np.asarray(routed["router"].iloc[0], dtype=np.float32).reshape(-1, int(routed["width"].iloc[0]))
+                visits = _visits(own["v"], w, rule)
+                paths = [[[*path, p] for p in (v if visit else v[:1])] for path, v in zip(own["path"], visits)]
+                return own[["class", "v"]].assign(path=paths).explode("path", ignore_index=True)
+
+            again = rows.groupBy("path", "turn").cogroup(meets.groupBy("path", "turn")).applyInPandas(route, f"class {kind}, v {array}, path array<int>")
+            return materialize(df.join(sizes, "path", "left_anti").select("class", "v", "path").unionByName(again))
+
+        before = large["n"]
+        stored, queries = cut(stored, False), cut(queries, True)
+        now = stored.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if now >= before:  # vectors that no router tells apart: they are compared in blocks
+            return stored, queries
+
+
+def _compared(stored: DataFrame, queries: DataFrame, k: int, rule: IndexRule) -> DataFrame:
+    """Each query's k most similar of every part that it visits, by exact cosine, in blocks of both sides."""
+    held = stored.groupBy("path").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("blocks"))
+    asked = queries.groupBy("path").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("turns"))
+    sizes = materialize(held.join(asked, "path"))  # a row for each part
+    stored = stored.join(sizes, "path").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    queries = queries.join(sizes, "part").withColumn("turn", F.pmod(F.xxhash64("class"), F.col("turns")).cast("int"))
+    queries = queries.join(sizes, "path").withColumn("turn", F.pmod(F.xxhash64("class"), F.col("turns")).cast("int"))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    on = ["part", "block", "turn"]
+    on = ["path", "block", "turn"]
     return (
         queries.select(*on, "class", "v")
         .groupBy(on)
         .cogroup(_anew(stored.select(*on, "class", "v")).groupBy(on))
-        .applyInPandas(lambda q, s: _rerank(q, s, k), _schema(heads))
+        .applyInPandas(lambda q, s: _rerank(q, s, k), _schema(stored))
     )
 
 
+def skipped(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """key and reason of the rows that take no part in the search: null_key, null_vector, not_finite, zeros or other_length."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    zeros = ~F.exists(vector, lambda x: x != 0)
+    reason = F.when(F.col(key).isNull(), "null_key").when(F.col(vector).isNull(), "null_vector").when(bad, "not_finite").when(zeros, "zeros")
+    told = df.select(F.col(key).alias("k"), F.size(vector).alias("dim"), reason.alias("reason"))
+    usual = told.where("reason is null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    other = F.when(F.col("reason").isNull() & (F.col("dim") != F.lit(usual["dim"] if usual else 0)), "other_length")
+    return told.select(F.col("k").alias(key), F.coalesce("reason", other).alias("reason")).where("reason is not null").distinct()
+
+
 def nearest_pairs(df: DataFrame, key: str, vector: str, k: int = 5, rule: IndexRule = IndexRule()) -> DataFrame:
     """<key>_a and <key>_b, smaller first, of every two keys of which one is among the other's k most similar."""
     found = nearest(df, key, vector, k, rule)

@@ -292,7 +292,7 @@ def nearest(rows, k):
     return out
 
 
-def test_neighbours_equal_brute_force_in_one_part(spark):
+def test_neighbours_equal_brute_force_on_few_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(60)]
     rows += [(100 + i, [2 * x for x in rows[i][1]]) for i in range(8)] + [(200 + i, rows[0][1]) for i in range(9)]
@@ -301,6 +301,9 @@ def test_neighbours_equal_brute_force_in_one_part(spark):
     found = vectors.nearest(df, "k", "v", 5)
     assert {(r["k"], r["neighbour"]) for r in found.collect()} == nearest([(i, np.float32(v).astype(float)) for i, v in rows], 5)
     assert vectors.nearest(df.where("k is null"), "k", "v").count() == 0
+    assert {(r["k"], r["reason"]) for r in vectors.skipped(df, "k", "v").collect()} == {
+        (300, "null_vector"), (301, "zeros"), (302, "other_length"), (303, "not_finite"), (None, "null_key"),
+    }
 
 
 def test_learned_parts_reach_their_recall(spark):
@@ -315,6 +318,19 @@ def test_learned_parts_reach_their_recall(spark):
     assert len(found & want) / len(want) >= 0.9
 
 
+def test_parts_of_parts_reach_their_recall_and_keep_their_size(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 16))
+    rows = [(i, (centres[i % 200] + 0.3 * rng.normal(size=16)).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    rule = vectors.IndexRule(part_size=60, most_parts=6, sample=1200, block=90)
+    found = {(r["k"], r["neighbour"]) for r in vectors.nearest(df, "k", "v", 5, rule).select("k", "neighbour").collect()}
+    want = nearest([(i, np.float32(v).astype(float)) for i, v in rows], 5)
+    assert len(found) == len(want) and len(found & want) / len(want) >= 0.9
+    same = spark.createDataFrame([(i, [1.0 + 1e-6 * (i % 7), float(i % 3 == 0)]) for i in range(300)], "k long, v array<float>")
+    assert vectors.nearest(same, "k", "v", 2, vectors.IndexRule(part_size=10, most_parts=3, sample=60, block=40)).count() == 600
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     unit = rng.normal(size=(500, 8))
