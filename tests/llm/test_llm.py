@@ -278,6 +278,8 @@ def test_pieces_of_odd_texts(spark):
         found.setdefault(r["k"], []).append(r)
     assert sorted(found) == [2, 3, 4, 5, 6, 7, 8, 9, 10]
     assert len(found[6]) == found[6][0]["n_pieces"] == 556
+    counts = splitter.piece_counts(df, "k", "t", splitter.SplitRule(100, 10, "characters")).collect()
+    assert {r["k"]: r["n_pieces"] for r in counts} == {i: len(found.get(i, [])) for i in range(len(ODD))}
 
 
 # p6
