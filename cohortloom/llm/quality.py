@@ -40,24 +40,51 @@ COMMON_WORDS = frozenset(
 _TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _MARK = re.compile(r"^\s*(?:[-*•‣▪◦·–—+]{1,3}|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)])\s+\S")
 _DELIMITER = re.compile(r"\t|\||;|,|:|>| {2,}")
-#: What parts cells; a comma or semicolon only without a space behind it, as in prose one follows.
-_CELLS = [re.compile(x) for x in (r"\t", r"\|", r"(?<!\d)[,;](?=\S)|[,;](?=[^\s\d])", r";", r"(?<=\S) {2,}(?=\S)")]
+#: What parts cells: a comma or semicolon only without a space behind it, as in prose one follows; gaps of blanks.
+_CLOSE = re.compile(r"(?<!\d)[,;](?=\S)|[,;](?=[^\s\d])")
+_GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
+_DIGIT = re.compile(r"\d")
 _END = re.compile(r"[.!?…。！？](?:[\"'”’)\]]*)(?=\s|$)|[。！？]")
 #: Letters of scripts other than Latin, whose function words aren't listed.
 _FOREIGN = re.compile(r"[^\W\d_A-Za-z\u00aa-\u024f\u1e00-\u1eff]")
 #: Vowels of the Latin script with any mark, and what parts the entries of a list within a line.
 _VOWEL = re.compile("[aeiouyæœøı\u00e0-\u00e6\u00e8-\u00ef\u00f2-\u00f6\u00f8-\u00fd\u00ff-\u0105\u0112-\u011b\u0128-\u0131\u014c-\u0153\u0168-\u0173\u1ea0-\u1ef9]")
-_PARTED = re.compile(r"[,;|>=/\t]")
+_PARTING = ",;|>=/\t"
 _LINE_END = re.compile(r"[.!?…。！？:;][\"'”’)\]]*$")
 
 
+_SHORT, _NUMBER, _SPOKEN, _OTHER = range(4)
+#: Letters from which on a run without a break isn't a word of any language written with spaces.
+_LONGEST_WORD = 40
+
+
+class _Kinds(dict):
+    """What kind of word each is; kept for as many words as memory should hold."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        if word.isdigit():
+            kind = _NUMBER
+        elif len(word) <= 2:
+            kind = _SHORT
+        else:
+            whole = word.isalpha() or "-" in word or "'" in word or "’" in word
+            kind = _SPOKEN if whole and len(word) <= _LONGEST_WORD and _VOWEL.search(word) else _OTHER
+        self[word] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 @dataclass(frozen=True)
 class ProseRule:
     """What counts as prose.
 
     A sentence is a stretch up to an end mark, outside lists and tables, of least_words words and more, in any language: letters for
     letter_share of what is visible; at most number_share of the words numbers; of the longer words spoken_share with a
-    vowel, no digit and longest_word letters at most; at most parted_share as many separators as words; and of
+    vowel, no digit and not overlong; at most parted_share as many separators as words; and of
     the words different_share different ones (of different_words at most). A stretch without an end mark passes from
     open_words words and open_common of frequent function words on, or whatever the language from open_unknown words on with
     open_short of three letters and less; it lies within one line or a wrapped paragraph (of lines of wrapped_line
@@ -73,7 +100,6 @@ class ProseRule:
     letter_share: float = 0.75
     number_share: float = 0.4
     spoken_share: float = 0.7
-    longest_word: int = 40
     parted_share: float = 0.4
     different_share: float = 0.4
     different_words: int = 50
@@ -153,12 +179,17 @@ def _items(lines: list[str], rule: ProseRule) -> Iterator[int]:
 
 def _rows(lines: list[str], rule: ProseRule) -> Iterator[int]:
     """The lines of tables: neighbours with equally many cells, of three on unless tabs or bars part them."""
-    for delimiter, least in zip(_CELLS, (1, 1, 2, 2, 1)):
-        counts = [len(delimiter.findall(x)) for x in lines]
+    counted = (
+        (1, [x.count("\t") for x in lines]), (1, [x.count("|") for x in lines]), (2, [len(_CLOSE.findall(x)) if "," in x or ";" in x else 0 for x in lines]),
+        (2, [x.count(";") for x in lines]), (1, gaps := [len(_GAP.findall(x)) if "  " in x else 0 for x in lines]),
+    )
+    for least, counts in counted:
+        if max(counts, default=0) < least:
+            continue
         for begin, end in _runs([x >= least for x in counts]):
             own = Counter(counts[begin:end])
             if end - begin >= rule.least_rows and max(own.values()) >= rule.row_share * (end - begin):
-                if delimiter is not _CELLS[-1] or _aligned_gaps(lines[begin:end], rule):
+                if counts is not gaps or _aligned_gaps(lines[begin:end], rule):
                     yield from range(begin, end)
 
 
@@ -166,8 +197,8 @@ def _dosed(lines: list[str], rule: ProseRule) -> Iterator[int]:
     """The lines of lists of values: short neighbours with their first number behind equally many words."""
     at = []
     for line in lines:
-        words = _TOKEN.findall(line)
-        at.append(next((i for i, w in enumerate(words) if w[0].isdigit()), -1) if len(line) < rule.wrapped_line and len(words) > 1 else -1)
+        words = _TOKEN.findall(line) if len(line) < rule.wrapped_line and _DIGIT.search(line) else ()
+        at.append(next((i for i, w in enumerate(words) if w[0].isdigit()), -1) if len(words) > 1 else -1)
     for begin, end in _runs([x > 0 for x in at]):
         if end - begin >= rule.least_rows and max(Counter(at[begin:end]).values()) >= rule.row_share * (end - begin):
             yield from range(begin, end)
@@ -176,7 +207,7 @@ def _dosed(lines: list[str], rule: ProseRule) -> Iterator[int]:
 def _aligned_gaps(lines: list[str], rule: ProseRule) -> bool:
     """Whether gaps of blanks end, or begin, below each other."""
     for side in (0, 1):
-        at = Counter(m.span()[side] for line in lines for m in _CELLS[-1].finditer(line))
+        at = Counter(m.span()[side] for line in lines for m in _GAP.finditer(line))
         if at and max(at.values()) >= rule.row_share * len(lines):
             return True
     return False
@@ -276,10 +307,11 @@ def _foreign(part: str) -> bool:
 def _flows(part: str, words: list[str], rule: ProseRule) -> bool:
     """Whether a stretch of Latin letters reads as words in a row, in whatever language: words that can be spoken, few of
     them numbers or parted by separators, and not the same few again and again."""
-    spoken = [w for w in words if len(w) > 2 and not w.isdigit()]
-    if sum(len(w) <= rule.longest_word and w.isalpha() | ("-" in w) | ("'" in w) | ("’" in w) and bool(_VOWEL.search(w)) for w in spoken) < rule.spoken_share * len(spoken):
+    kinds = list(map(_KINDS.__getitem__, words))
+    spoken = kinds.count(_SPOKEN)
+    if spoken < rule.spoken_share * (spoken + kinds.count(_OTHER)) or kinds.count(_NUMBER) > rule.number_share * len(words):
         return False
-    if sum(map(str.isdigit, words)) > rule.number_share * len(words) or len(_PARTED.findall(part)) > rule.parted_share * len(words):
+    if sum(map(part.count, _PARTING)) > rule.parted_share * len(words):
         return False
     return len(words) < 2 * rule.least_words or len(set(words)) >= rule.different_share * min(len(words), rule.different_words)
 
