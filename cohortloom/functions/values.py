@@ -13,6 +13,12 @@ def split_terms(text: Column, separator: str = r"\|") -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def joined_terms(text: Column, separator: str = r"\|") -> Column:
+    """AGG-09: an aggregate: the different terms of all delimited strings of a group, sorted, joined by bars."""
+    every = F.flatten(F.collect_list(F.array_distinct(split_terms(text, separator))))
+    return F.array_join(F.array_sort(F.array_distinct(every)), " | ")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """ARR-05: shared part of two arrays as sets, 0 if either is empty."""
     union = F.size(F.array_union(a, b))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom import rules
+from cohortloom.operators import ranges
 
 KEY = ["icd_version", "icd_code"]
 ADMISSION = ["subject_id", "hadm_id"]
@@ -205,7 +206,7 @@ def first_pairs(rows: DataFrame, role: str, case: str, control: str) -> DataFram
 
 def cap_loss(rows: DataFrame, pair: str, subject: str, order: list[str], caps: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
     """COH-18: for each cap on a subject's rows, how many rows and pairs remain, alone and if pairs stay whole."""
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(subject).orderBy(*order)))
+    numbered = ranges.counted(ranges.placed(rows, [subject], order), [subject], order).withColumn("n", F.col("_before") + 1)
     worst = Window.partitionBy(pair)
     numbered = numbered.withColumn("worst", F.max("n").over(worst))
     each = numbered.select(pair, "n", "worst", F.explode(F.array(*map(F.lit, caps))).alias("cap"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import text as tx
@@ -97,6 +97,18 @@ def cluster_summary(labels: DataFrame, cluster: str, cohort: str, subject: str)
     return out.withColumn("is_noise", (F.col(cluster) == -1).cast("int"))
 
 
+def cluster_table(labels: DataFrame, cluster: str, cohort: str, cohorts: list[str], text: str, top: int = 10) -> DataFrame:
+    """MLC-04: of each cluster n_rows, n_<cohort>, the first cohort's share, whether it is noise and its commonest texts with their numbers."""
+    counts = labels.where(F.coalesce(F.trim(text), F.lit("")) != "").groupBy(cluster, text).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(cluster).orderBy(F.desc("n"), text)
+    first = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
+    told = F.transform(F.array_sort(F.collect_list(F.struct("r", text, "n"))), lambda x: F.concat(x[text], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
+    frequent = first.groupBy(F.col(cluster).alias("_c")).agg(F.array_join(told, " | ").alias("frequent"))
+    sizes = labels.groupBy(cluster).agg(F.count("*").alias("n_rows"), *[F.count_if(F.col(cohort) == c).alias(f"n_{c}") for c in cohorts])
+    sizes = sizes.withColumn(f"pct_{cohorts[0]}", 100.0 * F.col(f"n_{cohorts[0]}") / F.col("n_rows")).withColumn("is_noise", (F.col(cluster) == -1).cast("int"))
+    return sizes.join(frequent, F.col(cluster).eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("frequent", F.coalesce("frequent", F.lit("")))
+
+
 def pair_agreement(labels: DataFrame, pair: str, role: str, cluster: str) -> DataFrame:
     """MLC-04: n_pairs, and how many have both members in the same cluster that isn't noise."""
     wide = labels.groupBy(pair).agg(F.count_distinct(role).alias("roles"), F.min(cluster).alias("low"), F.max(cluster).alias("high"))

@@ -302,13 +302,52 @@ def round_trips(spark, d):
     return out
 
 
+def group_by_all(spark, d):
+    """AGG-07, SRC-07: a registered frame grouped by all that isn't aggregated, and by ordinals."""
+    _variables(spark, d).createOrReplaceTempView("group_by_all_variables")
+    every = spark.sql("select sex, insurance_group, count(*) as n, avg(elixhauser_score) as mean_score from group_by_all_variables group by all")
+    ordinal = spark.sql("select sex, insurance_group, max(age_at_admission) as oldest from group_by_all_variables group by 1, 2")
+    return _rounded(every.join(ordinal, every["sex"].eqNullSafe(ordinal["sex"]) & every["insurance_group"].eqNullSafe(ordinal["insurance_group"])).select(every["*"], ordinal["oldest"]))
+
+
+def terms_by_group(spark, d):
+    """AGG-09: the concepts of each age bin of cases, each once, in order."""
+    rows = table(spark, d, "matched_pairs").select("mhh_age_bin", "mhh_quickumls_terms").distinct()
+    return rows.groupBy("mhh_age_bin").agg(vl.joined_terms(F.col("mhh_quickumls_terms")).alias("terms"))
+
+
+def pilot_admissions(spark, d):
+    """TOP-03: all sections of the first ten admissions."""
+    rows = table(spark, d, "psych_history_llm_input").select("classifier_row_id", "hadm_id", "subject_id").distinct()
+    return combine.first_entities(rows, "hadm_id", [F.col("subject_id"), F.col("hadm_id")], 10)
+
+
+def checked_merge(spark, d):
+    """JON-08, QA-02, MTH-01, MTH-04: utilisation rows with their matching variables, one to one after a check, with rates."""
+    left = _utilisation(spark, d).select("hadm_id", "cohort", "n_labevents", "n_orders", "hospital_los_days").dropDuplicates(["hadm_id"])
+    right = _variables(spark, d).groupBy("hadm_id").agg(F.max("elixhauser_score").alias("score"))
+    rows = combine.merge_checked(left, right, ["hadm_id"], "left", "one_to_one")
+    rows = combine.require_columns(rows, ["score", "n_orders"])
+    return rows.groupBy("cohort").agg(
+        F.round(sm.guarded_percent(F.count("score"), F.count("*")), 6).alias("pct_with_score"),
+        F.round(vl.rate_per_year(F.sum("n_orders"), F.sum("hospital_los_days")), 6).alias("orders_per_year"),
+    )
+
+
+def cluster_tables(spark, d):
+    """MLC-04: rows of each cohort, their share and the commonest complaints of each cluster."""
+    rows = table(spark, d, "chief_complaint_cluster_qc_output").distinct()
+    return models.cluster_table(rows, "bert_cluster", "cohort", ["MHH1_psychotic", "MHC0"], "chief_complaint_normalized", 3)
+
+
 _QUERIES = [
     streamed_daily_counts, cluster_summaries, cluster_pair_agreement, phrase_clusters, classified_sections,
     cohort_numeric_summary, cohort_categorical_balance, overall_beside_groups, admissions_per_subject_hist, interval_buckets, age_bin_cut_all_bins,
     matched_pair_smd, stacked_pairs, topn_codes_per_group, event_counts_zero_filled, label_crosstab, pivot_rates, collapsed_insurance, insurance_category,
     share_of_group, adjusted_p_values, label_agreement_outer, resume_missing_rows, key_differences, preferred_source_merge, last_written_rows,
     chunk_label_collapse, death_window_flags, length_of_stay, comorbidity_scores, match_static_candidates, match_greedy, regression_grid, regression_side_by_side,
-    regression_odds, single_predictor_effects, described_measures, largest_differences, ordered_categories, round_trips,
+    regression_odds, single_predictor_effects, described_measures, group_by_all, terms_by_group, pilot_admissions,
+    checked_merge, cluster_tables, largest_differences, ordered_categories, round_trips,
 ]
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -473,6 +512,22 @@ select exposed_id, control_id, round(cosine, 5) as cosine, fallback::int as fall
     "described_measures": f"""with {_U}, l as ({_UNPIVOTED})
 select measure, count(*) as count, round(avg(x), 7) as mean, round(stddev_samp(x), 7) as sd, round(min(x), 7) as min, round(quantile_cont(x, 0.25), 7) as p25,
   round(quantile_cont(x, 0.5), 7) as p50, round(quantile_cont(x, 0.75), 7) as p75, round(max(x), 7) as max from l where x is not null group by 1""",
+    "group_by_all": f"""with {_V} select sex, insurance_group, count(*) as n, round(avg(elixhauser_score), 7) as mean_score, max(age_at_admission) as oldest from v group by 1, 2""",
+    "terms_by_group": """with r as (select distinct mhh_age_bin, mhh_quickumls_terms as t from matched_pairs),
+e as (select mhh_age_bin, trim(unnest(string_split(t, '|'))) as x from r where t is not null), k as (select mhh_age_bin, string_agg(distinct x, ' | ' order by x) as terms from e where x <> '' group by 1)
+select b.mhh_age_bin, coalesce(k.terms, '') as terms from (select distinct mhh_age_bin from r) b left join k on k.mhh_age_bin is not distinct from b.mhh_age_bin""",
+    "pilot_admissions": """with r as (select distinct classifier_row_id, hadm_id, subject_id from psych_history_llm_input),
+f as (select hadm_id, min((subject_id, hadm_id)) as o from r group by 1 order by 2, 1 limit 10) select r.* from r join f using (hadm_id)""",
+    "checked_merge": f"""with {_U}, {_V}, l as (select hadm_id, any_value(cohort) as cohort, any_value(n_orders) as n_orders, any_value(hospital_los_days) as los from u group by 1),
+s as (select hadm_id, max(elixhauser_score) as score from v group by 1)
+select cohort, round(100.0::double * count(score) / count(*), 6) as pct_with_score, round(sum(n_orders) / (sum(los) / 365.25::double), 6) as orders_per_year from l left join s using (hadm_id) group by 1""",
+    "cluster_tables": """with q as (select distinct * from chief_complaint_cluster_qc_output),
+c as (select bert_cluster, coalesce(chief_complaint_normalized, '') as t, count(*) as n from q group by 1, 2),
+r as (select *, row_number() over (partition by bert_cluster order by n desc, t) as r from c where t <> ''),
+t as (select bert_cluster, string_agg(t || ' (' || n || ')', ' | ' order by r) as frequent from r where r <= 3 group by 1)
+select q.bert_cluster, count(*) as n_rows, count(*) filter (where cohort = 'MHH1_psychotic') as n_MHH1_psychotic, count(*) filter (where cohort = 'MHC0') as n_MHC0,
+  100.0::double * count(*) filter (where cohort = 'MHH1_psychotic') / count(*) as pct_MHH1_psychotic, (q.bert_cluster = -1)::int as is_noise, coalesce(any_value(t.frequent), '') as frequent
+from q left join t on t.bert_cluster is not distinct from q.bert_cluster group by q.bert_cluster""",
     "largest_differences": """with d as (select distinct pair_id, mhh_elixhauser_score - mhc0_elixhauser_score as difference from matched_pairs)
 select * from d order by abs(difference) desc nulls last, pair_id limit 25""",
     "ordered_categories": f"""with {_V} select insurance_group, count(*) as n, coalesce(list_position(['medicare', 'medicaid', 'private', 'other', 'missing'], insurance_group) - 1, 5)::bigint as place

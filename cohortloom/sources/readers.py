@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import os
 from dataclasses import dataclass, fields
 
@@ -34,6 +35,32 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list
     return df.repartition(partitions) if partitions else df
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """SRC-03: the column names of a CSV file, from its first line alone."""
+    first = spark.read.text(path).limit(1).collect()
+    return next(csv.reader([first[0]["value"]])) if first else []
+
+
+def read_csv_columns(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """SRC-03: those of the wanted columns that a CSV file has, as text; the header is looked at first, so that only they are parsed."""
+    header = csv_header(spark, path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return read_csv(spark, path, schema, wanted)
+
+
+def preview(df: DataFrame, n: int, where: str | None = None) -> DataFrame:
+    """SRC-14: the first n rows, or of those that meet a condition."""
+    return (df.where(where) if where else df).limit(n)
+
+
+def with_vectors(rows: DataFrame, vectors: DataFrame, row_id: str, vector: str) -> DataFrame:
+    """SRC-08: rows with the vector of their row id (from 0 in each file of vectors). Ids outside the file's bounds end the job."""
+    found = rows.join(vectors.select(row_id, vector), row_id, "left")
+    known = F.coalesce(F.col(row_id).isNull() | F.col(vector).isNotNull(), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit(f"{row_id} out of bounds: "), F.col(row_id).cast("string")))
+    return found.withColumn(vector, F.when(known, F.col(vector)).otherwise(wrong.cast(found.schema[vector].dataType)))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """SRC-09: JSON lines; a line that can't be read ends the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

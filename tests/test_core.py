@@ -485,3 +485,15 @@ def test_cut_points_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
     assert df.count() == 3 and readers.exists(spark, path)
     session.release()
     assert not readers.exists(spark, path)
+
+
+def test_headers_previews_and_vectors_by_row_id(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a, b", 2.0), (2, "c", None)], "k int, t string, v double")
+    writers.write_csv(df, f"{tmp_path}/x", sample=2, order=["k"])
+    assert readers.csv_header(spark, f"{tmp_path}/x") == ["k", "t", "v"]
+    assert [tuple(r) for r in readers.read_csv_columns(spark, f"{tmp_path}/x", ["t", "zz"]).collect()] == [("a, b",), ("c",)]
+    assert readers.preview(df, 1).count() == 1 and readers.preview(df, 5, "k = 2").first()["t"] == "c"
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "k int, e array<double>")
+    assert [r["e"] for r in readers.with_vectors(df.select("k"), vectors, "k", "e").orderBy("k").collect()] == [[1.0], [2.0]]
+    with pytest.raises(Exception, match="out of bounds"):
+        readers.with_vectors(df.select((F.col("k") + 1).alias("k")), vectors, "k", "e").collect()
