@@ -27,7 +27,7 @@ def _variables(spark, d):
     return table(spark, d, "mhh_psychotic_matching_variables").drop("embedding").distinct()
 
 
-def _rounded(df, digits=7):
+def _rounded(df, digits=10):
     """Sums in another order differ in the last digits; more than what the data have is kept."""
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
@@ -433,10 +433,10 @@ from w where roles = 2 and low is not null""",
   case when section_text is null then null else (contains(lower(section_text), 'mood') and not regexp_matches(lower(section_text), 'psych|mania'))::int end as recovered
 from psych_history_llm_input""",
     "cohort_numeric_summary": f"""with {_U}, l as ({_UNPIVOTED})
-select cohort, measure, count(*) as n, round(avg(x), 7) as mean, round(stddev_samp(x), 7) as sd, round(quantile_cont(x, 0.5), 7) as median,
-  round(quantile_cont(x, 0.25), 7) as q1, round(quantile_cont(x, 0.75), 7) as q3, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 7) as iqr,
-  round(min(x), 7) as min, round(max(x), 7) as max, count(*) filter (where x > 0) as n_positive,
-  round(100.0::double * count(*) filter (where x > 0) / count(*), 7) as pct_positive from l where x is not null group by 1, 2""",
+select cohort, measure, count(*) as n, round(avg(x), 10) as mean, round(stddev_samp(x), 10) as sd, round(quantile_cont(x, 0.5), 10) as median,
+  round(quantile_cont(x, 0.25), 10) as q1, round(quantile_cont(x, 0.75), 10) as q3, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 10) as iqr,
+  round(min(x), 10) as min, round(max(x), 10) as max, count(*) filter (where x > 0) as n_positive,
+  round(100.0::double * count(*) filter (where x > 0) / count(*), 10) as pct_positive from l where x is not null group by 1, 2""",
     "cohort_categorical_balance": f"""with {_V}, l as (select cohort, 'sex' as variable, sex as level from v union all select cohort, 'insurance_group', insurance_group from v
   union all select cohort, 'chief_complaint_normalized', chief_complaint_normalized from v),
 c as (select cohort, variable, case when trim(coalesce(level, '')) = '' then 'missing' else level end as level, count(*) as n from l group by 1, 2, 3)
@@ -454,7 +454,7 @@ k as (select * from h where x is not null), """
   union all select role, 'elixhauser_score', elixhauser_score from s),
 m as (select measure, avg(x) filter (where role = 'case') as mean_1, avg(x) filter (where role = 'control') as mean_2,
   sqrt((var_samp(x) filter (where role = 'case') + var_samp(x) filter (where role = 'control')) / 2) as sd from l group by 1)
-select measure, round(mean_1, 7) as mean_1, round(mean_2, 7) as mean_2, case when sd > 0 then round((mean_1 - mean_2) / sd, 7) end as smd from m""",
+select measure, round(mean_1, 10) as mean_1, round(mean_2, 10) as mean_2, case when sd > 0 then round((mean_1 - mean_2) / sd, 10) end as smd from m""",
     "stacked_pairs": f"with {_P}, {_STACK} select pair_id, role, subject_id, hadm_id, age_bin from s",
     "topn_codes_per_group": _WITH
     + """, c as (select icd_version, icd_code, count(distinct hadm_id) as n_admissions from diagnoses group by 1, 2),
@@ -510,9 +510,9 @@ select exposed_id, control_id, round(cosine, 5) as cosine, fallback::int as fall
     "match_greedy": _GREEDY,
     "single_predictor_effects": _SINGLE,
     "described_measures": f"""with {_U}, l as ({_UNPIVOTED})
-select measure, count(*) as count, round(avg(x), 7) as mean, round(stddev_samp(x), 7) as sd, round(min(x), 7) as min, round(quantile_cont(x, 0.25), 7) as p25,
-  round(quantile_cont(x, 0.5), 7) as p50, round(quantile_cont(x, 0.75), 7) as p75, round(max(x), 7) as max from l where x is not null group by 1""",
-    "group_by_all": f"""with {_V} select sex, insurance_group, count(*) as n, round(avg(elixhauser_score), 7) as mean_score, max(age_at_admission) as oldest from v group by 1, 2""",
+select measure, count(*) as count, round(avg(x), 10) as mean, round(stddev_samp(x), 10) as sd, round(min(x), 10) as min, round(quantile_cont(x, 0.25), 10) as p25,
+  round(quantile_cont(x, 0.5), 10) as p50, round(quantile_cont(x, 0.75), 10) as p75, round(max(x), 10) as max from l where x is not null group by 1""",
+    "group_by_all": f"""with {_V} select sex, insurance_group, count(*) as n, round(avg(elixhauser_score), 10) as mean_score, max(age_at_admission) as oldest from v group by 1, 2""",
     "terms_by_group": """with r as (select distinct mhh_age_bin, mhh_quickumls_terms as t from matched_pairs),
 e as (select mhh_age_bin, trim(unnest(string_split(t, '|'))) as x from r where t is not null), k as (select mhh_age_bin, string_agg(distinct x, ' | ' order by x) as terms from e where x <> '' group by 1)
 select b.mhh_age_bin, coalesce(k.terms, '') as terms from (select distinct mhh_age_bin from r) b left join k on k.mhh_age_bin is not distinct from b.mhh_age_bin""",
