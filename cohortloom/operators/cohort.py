@@ -58,23 +58,38 @@ def unlisted_titles(dictionary: DataFrame, rule: dict[int, rules.CodeRule], titl
     return dictionary.where(rules.title_has(F.col("long_title"), titles) & ~seen).select(*KEY, "long_title").distinct()
 
 
+def _bit(name: str) -> int:
+    return 1 << rules.CATEGORIES.index(name)
+
+
+def _mask(names: Column) -> Column:
+    """Categories as bits of a number, so that they add up in a hash aggregate."""
+    return sum((F.when(F.array_contains(names, n), _bit(n)).otherwise(0) for n in rules.CATEGORIES), F.lit(0))
+
+
+def category_names(mask: Column) -> Column:
+    """The sorted names of a number's categories."""
+    each = F.array(*[F.when(mask.bitwiseAND(_bit(n)) != 0, F.lit(n)) for n in sorted(rules.CATEGORIES)])
+    return F.filter(each, lambda x: x.isNotNull())
+
+
 def admission_facts(diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
     """subject_id, hadm_id and what the codes of an admission say, from one read of the diagnoses.
 
     plain_first: some first diagnosis is neither psychiatric nor grey; psychiatric_first: some is
     psychiatric; first_category: the first category, in the rules' order, of the first diagnoses;
-    same: sorted categories of the further diagnoses; every: of all. Codes the dictionary lacks are plain.
+    same: categories of the further diagnoses, and every: of all, as numbers that category_names reads. Codes the dictionary lacks are plain.
     """
-    coded = diagnoses.select(*ADMISSION, "seq_num", *KEY).join(code_dimension(dictionary), KEY, "left")
-    first, names = F.col("seq_num") == 1, F.array(*map(F.lit, rules.CATEGORIES))
+    codes = code_dimension(dictionary).select(*KEY, "psychiatric", "grey", _mask(F.col("categories")).alias("mask"))
+    coded = diagnoses.select(*ADMISSION, "seq_num", *KEY).join(codes, KEY, "left")
+    first, mask = F.col("seq_num") == 1, F.coalesce("mask", F.lit(0))
     psychiatric, grey = (F.coalesce(c, F.lit(False)) for c in ("psychiatric", "grey"))
-    place = F.array_min(F.transform("categories", lambda c: F.array_position(names, c)))
-    sets = lambda test: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(test, F.col("categories"))))))
     out = coded.groupBy(ADMISSION).agg(
         F.bool_or(first & ~psychiatric & ~grey).alias("plain_first"), F.bool_or(first & psychiatric).alias("psychiatric_first"),
-        F.min(F.when(first, place)).alias("place"), sets(F.col("seq_num") > 1).alias("same"), sets(F.lit(True)).alias("every"),
+        F.bit_or(F.when(first, mask).otherwise(0)).alias("first"), F.bit_or(F.when(F.col("seq_num") > 1, mask).otherwise(0)).alias("same"), F.bit_or(mask).alias("every"),
     )
-    return out.withColumn("first_category", F.try_element_at(names, F.col("place").cast("int"))).drop("place")
+    category = F.coalesce(*[F.when(F.col("first").bitwiseAND(_bit(n)) != 0, F.lit(n)) for n in rules.CATEGORIES])
+    return out.withColumn("first_category", category).drop("first")
 
 
 def base_admissions(admissions: DataFrame, notes: DataFrame, diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -92,14 +107,14 @@ def history_categories(base: DataFrame, admissions: DataFrame, facts: DataFrame)
     """COH-05, COH-06 and COH-08: base with both flags, mhc and both lists of categories joined by a bar.
 
     "Some earlier admission had the category" is "its first time is earlier", so that the first time
-    of each category, at most one entry for each in an array by subject, replaces the inequality join.
+    of each category, one column for each by subject, replaces the inequality join.
     """
-    timed = facts.select(*ADMISSION, "every").where("size(every) > 0").join(admissions.select(*ADMISSION, "admittime"), ADMISSION)
-    first = timed.select("subject_id", "admittime", F.explode("every").alias("category")).groupBy("subject_id", "category").agg(F.min("admittime").alias("first"))
-    first = first.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("category", "first"))).alias("firsts"))
+    timed = facts.select(*ADMISSION, "every").where("every <> 0").join(admissions.select(*ADMISSION, "admittime"), ADMISSION)
+    times = {n: F.min(F.when(F.col("every").bitwiseAND(_bit(n)) != 0, F.col("admittime"))).alias(f"_{n}") for n in sorted(rules.CATEGORIES)}
+    first = timed.groupBy("subject_id").agg(*times.values())
     joined = base.join(facts.select(*ADMISSION, "same"), ADMISSION, "left").join(first, "subject_id", "left")
-    prior = F.transform(F.filter("firsts", lambda x: x["first"] < F.col("admittime")), lambda x: x["category"])
-    joined = joined.withColumn("prior", prior)
+    prior = F.filter(F.array(*[F.when(F.col(f"_{n}") < F.col("admittime"), F.lit(n)) for n in times]), lambda x: x.isNotNull())
+    joined = joined.withColumn("prior", prior).withColumn("same", category_names(F.coalesce("same", F.lit(0))))
     has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     text = lambda c: F.when(has(c), F.array_join(c, " | "))
     return joined.select(

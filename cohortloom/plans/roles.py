@@ -10,7 +10,7 @@ from cohortloom.session import table
 
 def _coded(parts: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
-    finer = F.when(key % 12 == 0, (F.floor(key / 12) % 10).cast("string")).otherwise("")
+    finer = F.when(key % 12 == 0, (F.floor(key / 12) % 7).cast("string")).otherwise("")
     code10 = (
         F.when(key % 3 == 0, F.concat(F.lit("F"), F.lpad((F.floor(key / 3) % 100).cast("string"), 2, "0"), finer))
         .when(key % 3 == 1, F.concat(F.lit("K70"), (key % 10).cast("string")))
@@ -98,7 +98,7 @@ def order_details(spark: SparkSession, d: str) -> DataFrame:
 SQL = """
 codes as (select p_partkey, case when p_size % 2 = 0 then 10 else 9 end as icd_version,
   case when p_size % 2 = 0 then
-    case p_partkey % 3 when 0 then 'F' || lpad(((p_partkey // 3) % 100)::varchar, 2, '0') || case when p_partkey % 12 = 0 then ((p_partkey // 12) % 10)::varchar else '' end
+    case p_partkey % 3 when 0 then 'F' || lpad(((p_partkey // 3) % 100)::varchar, 2, '0') || case when p_partkey % 12 = 0 then ((p_partkey // 12) % 7)::varchar else '' end
       when 1 then 'K70' || (p_partkey % 10)::varchar else 'J' || lpad((p_partkey % 100)::varchar, 2, '0') end
   else case when p_partkey % 7 = 0 then 'V11' || (p_partkey % 5)::varchar
     else (p_partkey % 60 + 280)::varchar || (p_partkey % 3)::varchar end end as icd_code,
