@@ -72,6 +72,10 @@ def section_length_profile(spark, d):
     return _sections(spark, d).groupBy("section").agg(F.count("*").alias("n_notes"), F.sum(F.length("text")).alias("n_characters"), F.sum(tx.pattern_count(F.col("text"), r"(?U)\S+")).alias("n_words"))
 
 
+def length_profile(spark, d):
+    return tx.length_profile(spread(table(spark, d, "documents").select("source", "text")), "source", "text")
+
+
 def classifier_input(spark, d):
     """RSH-01, FLT-08, FLT-11: chosen sections from wide to long, blank ones dropped, with their lengths and hits (0 without any)."""
     chosen = ["present_illness", "brief_hospital_course", "discharge_condition", "discharge_instructions"]
@@ -206,7 +210,7 @@ def keyword_prefilter(spark, d):
 
 
 _QUERIES = [
-    keyword_density, stigma_counts, keyword_group_explode, keyword_hits, keyword_flags, note_sections, section_report, section_length_profile, classifier_input,
+    keyword_density, stigma_counts, keyword_group_explode, keyword_hits, keyword_flags, note_sections, section_report, section_length_profile, length_profile, classifier_input,
     chief_complaints, text_normalise, complaint_context, concept_mentions, usable_complaints, complaint_subgroups, chunk_windows, readability_metrics,
     bigram_counts, token_phrase_flags, confused_in_section, missed_headings, parent_phrases, term_pairs, shared_terms, json_props, json_recovered, lenient_days,
     keyword_prefilter,

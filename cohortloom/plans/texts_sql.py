@@ -259,6 +259,10 @@ select n.note_id, coalesce('[' || string_agg(to_json({{'heading': heading, 'norm
   count(*) filter (where heading <> 'unsectioned') as n_detected_sections from notes n left join kept using (note_id) group by n.note_id""",
     "section_length_profile": f"""with {_SECTIONS} select section, count(*) as n_notes, sum(length(text))::bigint as n_characters,
   sum({_words("text")})::bigint as n_words from sections group by 1""",
+    "length_profile": f"""with t as (select source, {_strip("coalesce(text, '')")} as t from documents),
+c as (select source, count(*) as n_rows, count(*) filter (where t <> '') as n_nonempty, sum(length(t))::bigint as n_characters, sum({_words("t")})::bigint as n_words from t group by 1)
+select *, round(n_characters::double / n_rows, 6) as mean_characters_all, case when n_nonempty > 0 then round(n_characters::double / n_nonempty, 6) else 0 end as mean_characters_nonempty,
+  round(n_words::double / n_rows, 6) as mean_words_all, case when n_nonempty > 0 then round(n_words::double / n_nonempty, 6) else 0 end as mean_words_nonempty from c""",
     "classifier_input": f"""with {_STIGMA}, {_SECTIONS},
 kept as (select note_id, section, text from sections where section in ('present_illness', 'brief_hospital_course', 'discharge_condition', 'discharge_instructions')),
 h as (select note_id, section, sum(len(regexp_extract_all(text, '(?i)\\b(?:' || p || ')\\b')))::bigint as n from kept cross join stigma group by 1, 2)

@@ -497,3 +497,10 @@ def test_headers_previews_and_vectors_by_row_id(spark, tmp_path):
     assert [r["e"] for r in readers.with_vectors(df.select("k"), vectors, "k", "e").orderBy("k").collect()] == [[1.0], [2.0]]
     with pytest.raises(Exception, match="out of bounds"):
         readers.with_vectors(df.select((F.col("k") + 1).alias("k")), vectors, "k", "e").collect()
+
+
+def test_length_profiles_of_all_and_of_non_empty_texts(spark):
+    df = spark.createDataFrame([("a", "one two"), ("a", "  "), ("a", None), ("b", None)], "g string, t string")
+    found = {r["g"]: r for r in tx.length_profile(df, "g", "t").collect()}
+    assert (found["a"]["n_rows"], found["a"]["n_nonempty"], found["a"]["mean_words_nonempty"], found["b"]["mean_words_nonempty"]) == (3, 1, 2.0, 0.0)
+    assert found["a"]["mean_characters_all"] == round(7 / 3, 6)
