@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -18,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -194,14 +196,28 @@ def encoder(path: str = VOCABULARY) -> Encoder:
     return Encoder(path)
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def _sent(df: DataFrame, path: str) -> str:
+    """The name under which executors find a vocabulary file, which only the driver needs to have."""
+    context = df.sparkSession.sparkContext
+    if (context.applicationId, path) not in _SENT:
+        context.addFile(path)
+        _SENT.add((context.applicationId, path))
+    return os.path.basename(path)
+
+
 def encode_column(df: DataFrame, key: str, text: str, path: str = VOCABULARY, ids: str = "ids") -> DataFrame:
     """key and the list of ids of every row's whole text, spread over all cores if the input is small.
 
     Null and empty texts give an empty list; repeated rows stay; other columns are not read.
     """
 
+    name = _sent(df, path)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -218,8 +234,10 @@ def encode_column(df: DataFrame, key: str, text: str, path: str = VOCABULARY, id
 def decode_column(df: DataFrame, key: str, ids: str, path: str = VOCABULARY, text: str = "text") -> DataFrame:
     """key and the text of every row's ids; null ids give null, no ids an empty text."""
 
+    name = _sent(df, path)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             texts = [None if x is None else own.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, text])
