@@ -2,8 +2,8 @@
 
 A record becomes a sparse vector: what it is about (its head) and what else it states, each word by the part it
 plays, hashed and weighted by rarity. K-means over the different heads, with seeds from parallel
-oversampled rounds, places the records in cells; in each cell k-means over whole vectors goes on with seeds, again
-oversampled in rounds, until every record is near a centroid.
+oversampled rounds, places the records in cells, which are shared out to the tasks; in each cell k-means over the whole
+vectors of each head goes on with seeds, again oversampled in rounds, until every record is near a centroid.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ class ClusterRule:
 
     least: cosine of a member to its centroid. head: weight of the head beside 1 for each other part, both less for
     frequent words. A record that lacks one of three parts has a cosine of 0.87 to its story, one that differs in one of 0.75.
-    slip: cosine from which a single record may differ by slips alone, each part of a few edits.
+    slip: cosine from which records may differ by slips alone, each part of a few edits: a single record from any larger
+    cluster, several records from one that is `rarer` times as large.
     cell_points: different contents that a task clusters, about; a cell with more is cut between heads.
+    Neither k nor cell_points changes a cluster, as what has different heads is never compared.
     """
 
     k: int = 64
@@ -49,6 +51,7 @@ class ClusterRule:
     least: float = 0.8
     head: float = 1.0
     slip: float = 0.6
+    rarer: float = 4.0
     cell_points: int = 4096
     seed: int = 11
 
@@ -207,18 +210,34 @@ def _moved(measured: DataFrame, centroids: np.ndarray) -> np.ndarray:
 def _story_clusters(rows: pd.DataFrame, rule: ClusterRule) -> tuple[np.ndarray, np.ndarray]:
     """Cluster (the place of a row that stands for it) and cosine of each row of a cell, by k-means over whole vectors.
 
+    Each head is clustered by itself, so that it doesn't matter which heads share the cell.
+    """
+    columns = {c: rows[c].to_numpy() for c in ("point", "head", "weight", "features", "values", "parts")}
+    heads = columns["head"]
+    order = np.lexsort((columns["point"], heads))
+    cluster, cosine = np.arange(len(rows)), np.ones(len(rows))
+    for at in np.split(order, np.flatnonzero(np.diff(heads[order])) + 1):
+        if len(at) > 1:
+            own, near = _head_clusters({c: v[at] for c, v in columns.items()}, rule)
+            cluster[at], cosine[at] = at[own], near
+    return cluster, cosine
+
+
+def _head_clusters(rows: dict[str, np.ndarray], rule: ClusterRule) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster and cosine of each row of a head.
+
     Seeds are drawn in rounds from the rows that no seed is near to, in proportion to weight, until none is left;
     of seeds near each other the one that says more, then the heavier one, stays.
     """
-    ids, columns = np.unique(np.concatenate(rows["features"].to_list()), return_inverse=True)
-    sizes = rows["features"].map(len).to_numpy()
-    x = np.zeros((len(rows), len(ids)), dtype=np.float32)
-    x[np.repeat(np.arange(len(rows)), sizes), columns] = np.concatenate(rows["values"].to_list())
+    ids, columns = np.unique(np.concatenate(rows["features"]), return_inverse=True)
+    sizes = np.array([len(f) for f in rows["features"]])
+    x = np.zeros((len(sizes), len(ids)), dtype=np.float32)
+    x[np.repeat(np.arange(len(x)), sizes), columns] = np.concatenate(rows["values"])
     x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
-    weight = rows["weight"].to_numpy(dtype=float)
-    rank = np.lexsort((rows["point"].to_numpy(), -weight, -sizes))
-    place = np.empty(len(rows), dtype=int)
-    place[rank] = np.arange(len(rows))
+    weight = rows["weight"].astype(float)
+    rank = np.lexsort((rows["point"], -weight, -sizes))
+    place = np.empty(len(x), dtype=int)
+    place[rank] = np.arange(len(x))
     kept = _spread_seeds(x, weight * sizes, place, rule)
     centroids, mass = x[kept], np.ones(len(kept))
     for _ in range(rule.steps):
@@ -233,15 +252,38 @@ def _story_clusters(rows: pd.DataFrame, rule: ClusterRule) -> tuple[np.ndarray,
     cluster = np.array(kept)[own]
     alone = cosine < rule.least
     cluster[alone], cosine[alone] = np.flatnonzero(alone), 1.0
+    return _without_slips(x, rows["parts"].tolist(), weight, place, cluster, cosine, rule)
+
+
+def _without_slips(
+    x: np.ndarray, parts: list[list[str]], weight: np.ndarray, place: np.ndarray, cluster: np.ndarray, cosine: np.ndarray, rule: ClusterRule
+) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster and cosine, with clusters that differ by slips that make another word put to the one they are slips of.
+
+    Every row of every larger cluster is a candidate; the nearest row that explains all that differs counts, then the larger cluster.
+    """
     total = np.bincount(cluster, weights=weight, minlength=len(x))
-    for i in np.flatnonzero(total[cluster] <= 1).tolist():  # a single record: perhaps a slip that makes another word
-        near = x[kept] @ x[i]
-        for at in np.argsort(-near)[:8].tolist():
-            k = kept[at]
-            if near[at] >= rule.slip and total[cluster[k]] > 1 and _slipped(rows["parts"].iloc[i], rows["parts"].iloc[k]):
-                cluster[i], cosine[i] = cluster[k], near[at]
-                break
-    return cluster, cosine
+    size = total[cluster]
+    rank = np.argsort(place)
+    names, first = np.unique(cluster[rank], return_index=True)
+    best = rank[first]  # the row of each cluster that says most
+    to: dict[int, tuple[int, int]] = {}
+    for start in range(0, len(names), 1024):
+        close = (x[best[start : start + 1024]] @ x.T).round(4)
+        for name, i, near in zip(names[start : start + 1024].tolist(), best[start : start + 1024].tolist(), close):
+            larger = size > 1 if total[name] <= 1 else size >= rule.rarer * total[name]
+            rows = np.flatnonzero(larger & (near >= rule.slip) & (cluster != name))
+            for j in rows[np.lexsort((place[rows], -size[rows], -near[rows]))].tolist():
+                if _slipped(parts[i], parts[j]):
+                    to[name] = int(cluster[j]), j
+                    break
+    moved, cosine = cluster.copy(), cosine.copy()
+    for name in to:
+        last, own = name, np.flatnonzero(cluster == name)
+        while last in to:  # a slip may be one of another slip; each step leads to a larger cluster
+            last = to[last][0]
+        moved[own], cosine[own] = last, x[own] @ x[to[name][1]]
+    return moved, cosine
 
 
 def _leaders(x: np.ndarray, candidates: list[int], place: np.ndarray, least: float) -> list[int]:
@@ -289,8 +331,6 @@ def _slipped(parts: list[str], others: list[str]) -> bool:
     return bool(own)
 
 
-
-
 def _assigned(x: np.ndarray, centroids: np.ndarray, mass: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Centroid and cosine of each row: the heaviest of the centroids that are near, then the nearest; where none is near, the nearest.
 
@@ -310,8 +350,9 @@ def cluster_stories(values: DataFrame, key: str, text: str, reference: DataFrame
 
     Records tell the same if their head, onset, occasion and company, as far as stated, do, in
     whatever spelling and the wording the reference list knows. Records near no centroid
-    form clusters of the records with the same content. Null and blank texts have no row; repeated
-    rows count once. What one head has in different contents is clustered by one task; copies are only weights there.
+    form clusters of the records with the same content, which join a larger one that they differ from by slips.
+    Null and blank texts have no row; repeated rows count once. What one head has in different contents is
+    clustered by one task; copies are only weights there.
     """
     members, points = story_points(values, key, text, reference)
     cells = head_cells(materialize(head_vectors(points, rule)), rule)

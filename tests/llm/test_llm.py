@@ -2,8 +2,10 @@
 
 import base64
 import random
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cohortloom.llm import canonical, clusters, leakage, quality, readability, setjoin, splitter, syllables, terms, tokenizer, vectors
@@ -446,6 +448,50 @@ def test_clusters_are_the_stories(spark):
     assert all(name[own[i]] in story[name[i]] for i in plain) and cosine.min() >= rule.least
 
 
+def contents(stories, head_value=1.0):
+    """A cell's rows of (parts, weight): a feature for the joint head and for each other part."""
+    rows = []
+    for parts, weight in stories:
+        head, rest = "|".join(p for p in parts if p.startswith("head:")), [p for p in parts if not p.startswith("head:")]
+        rows.append(("+".join(parts), zlib.crc32(head.encode()), weight, np.array([zlib.crc32(p.encode()) for p in [head, *rest]]), np.array([head_value] + [1.0] * len(rest)), parts))
+    return pd.DataFrame(rows, columns=["point", "head", "weight", "features", "values", "parts"])
+
+
+OCCASIONS = "archery baking camping dancing fishing gymnastics hammering juggling kayaking lacrosse meditation plumbing".split()
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_a_slip_meets_every_story_of_its_head(copies):
+    said = lambda word: ["company:fever", "head:knee", "head:pain", f"occasion:{word}", "onset:dusk"]
+    slips = {w[1] + w[0] + w[2:]: w for w in OCCASIONS}
+    rows = contents([(said(w), 20 * copies) for w in OCCASIONS] + [(said(s), copies) for s in slips])
+    rows = rows.sample(frac=1, random_state=3).reset_index(drop=True)
+    own, cosine = clusters._story_clusters(rows, clusters.ClusterRule())
+    found = {p[3][9:]: rows["parts"][i][3][9:] for p, i in zip(rows["parts"], own)}
+    assert found == {w: w for w in OCCASIONS} | slips and len(cosine) == len(rows)
+
+
+def test_what_is_no_slip_or_not_rarer_stays():
+    said = lambda word: ["company:fever", "head:knee", "head:pain", f"occasion:{word}", "onset:dusk"]
+    rows = contents([(said("hiking"), 30), (said("biking"), 20), (said("roofing"), 1), (said("hikign"), 2), (said("hikig"), 1)])
+    own, _ = clusters._story_clusters(rows, clusters.ClusterRule())
+    assert own.tolist() == [0, 1, 2, 0, 0]
+    assert clusters._story_clusters(rows[2:3].reset_index(drop=True), clusters.ClusterRule())[0].tolist() == [0]
+
+
+def test_clusters_do_not_depend_on_the_cells():
+    rest = ["company:fever", "occasion:golf", "onset:dusk"]
+    stories = [([rest[0], f"head:s{i}", "head:t", *rest[1:]], 5) for i in range(6)] + [([rest[0], f"head:s{i}", "head:t", rest[2]], 2) for i in range(6)]
+    rows = contents(stories, head_value=0.5)
+    rule = clusters.ClusterRule()
+    whole = [rows["point"][i] for i in clusters._story_clusters(rows, rule)[0]]
+    cut = {}
+    for _, cell in rows.groupby(rows["head"] % 3):
+        cell = cell.reset_index(drop=True)
+        cut |= {p: cell["point"][i] for p, i in zip(cell["point"], clusters._story_clusters(cell, rule)[0])}
+    assert whole == [cut[p] for p in rows["point"]] == [rows["point"][i % 6] for i in range(12)]
+
+
 def test_pairs_of_large_clusters_come_in_blocks(spark):
     df = spark.range(50).selectExpr("id as k", "'c' as cluster", "3000L as size")
     assert clusters.same_cluster_pairs(df, "k").count() == 50 * 49 // 2
