@@ -70,10 +70,7 @@ def story_parts(words: list[str], heads: list[bool]) -> list[str]:
 
 
 def story_points(values: DataFrame, key: str, text: str, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, points): key and point of every record that says something; point, parts and weight of each different content.
-
-    Of a record with several contents the first one counts.
-    """
+    """(members, points): key, text and point of all that every record says; point, parts and weight (in records) of each different content."""
     values = values.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null").distinct()
     said, _, heads = canonical.wordings(values, "text", reference, "ref_id", "preferred_term", "entry_terms")
     each = said.select("text", F.posexplode("words").alias("at", "word")).join(heads.withColumn("head", F.lit(True)), "word", "left")
@@ -86,10 +83,11 @@ def story_points(values: DataFrame, key: str, text: str, reference: DataFrame) -
             yield pd.DataFrame({"text": batch["text"], "parts": [story_parts(list(w), list(h)) for w, h in zip(batch["words"], batch["heads"])]})
 
     parsed = each.mapInPandas(parse, "text string, parts array<string>").where("size(parts) > 0")
-    members = values.join(parsed, "text").groupBy("key").agg(F.min("parts").alias("parts"))
+    members = values.join(parsed, "text")
     members = materialize(members.withColumn("point", F.concat_ws("-", F.xxhash64("parts"), F.hash("parts"))))
-    points = materialize(members.groupBy("point").agg(F.first("parts").alias("parts"), F.count("*").alias("weight")))
-    return members.select("key", "point"), points
+    once = members.groupBy("point", "key").agg(F.first("parts").alias("parts"))
+    points = materialize(once.groupBy("point").agg(F.first("parts").alias("parts"), F.count("*").alias("weight")))
+    return members.select("key", "text", "point"), points
 
 
 def features(points: DataFrame, rule: ClusterRule = ClusterRule()) -> DataFrame:
@@ -346,8 +344,9 @@ def _assigned(x: np.ndarray, centroids: np.ndarray, mass: np.ndarray, least: flo
 
 
 def cluster_stories(values: DataFrame, key: str, text: str, reference: DataFrame, rule: ClusterRule = ClusterRule()) -> DataFrame:
-    """key, cluster, cosine (to the cluster's centroid) and size (of the cluster) of every record.
+    """key, cluster, cosine (to the cluster's centroid), size (of the cluster, in records) and texts (with their cosines) of every record.
 
+    A record with several complaints has a row for the cluster of each.
     Records tell the same if their head, onset, occasion and company, as far as stated, do, in
     whatever spelling and the wording the reference list knows. Records near no centroid
     form clusters of the records with the same content, which join a larger one that they differ from by slips.
@@ -366,24 +365,34 @@ def cluster_stories(values: DataFrame, key: str, text: str, reference: DataFrame
         return pd.DataFrame({"point": points, "cluster": ["c" + p for p in points[own]], "cosine": cosine.astype(float)})
 
     found = materialize(placed.groupBy("cell", "turn").applyInPandas(cluster, "point string, cluster string, cosine double"))
-    sized = found.join(points.select("point", "weight"), "point").groupBy("cluster").agg(F.sum("weight").alias("size"))
-    return members.join(found, "point").join(sized, "cluster").select(F.col("key").alias(key), "cluster", "cosine", "size")
+    texts = F.map_from_entries(F.collect_list(F.struct("text", "cosine")))
+    told = members.join(found, "point").groupBy("key", "cluster").agg(F.max("cosine").alias("cosine"), texts.alias("texts"))
+    sized = told.groupBy("cluster").agg(F.count("*").alias("size"))
+    return told.join(sized, "cluster").select(F.col("key").alias(key), "cluster", "cosine", "size", "texts")
 
 
 def same_cluster_pairs(clustered: DataFrame, key: str) -> DataFrame:
-    """<key>_a and <key>_b, smaller first, of every two records of a cluster. Large clusters are paired in blocks."""
+    """<key>_a and <key>_b, smaller first, of every two records of a cluster, once. Large clusters are paired in blocks.
+
+    Two records that share several clusters are paired in the first of those.
+    """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / 1024)).cast("int")
-    each = clustered.select(key, "cluster", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    left = each.select("cluster", F.col(key).alias(f"{key}_a"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    right = each.select("cluster", F.col(key).alias(f"{key}_b"), F.col("block").alias("with"))
+    every = F.collect_set("cluster").over(Window.partitionBy(key))
+    each = clustered.select(key, "cluster", blocks.alias("blocks"), every.alias("every")).withColumn("several", F.when(F.size("every") > 1, F.col("every")))
+    each = each.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    turns = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = each.select("cluster", F.col(key).alias(f"{key}_a"), F.col("several").alias("a"), "block", turns.alias("with"))
+    right = each.select("cluster", F.col(key).alias(f"{key}_b"), F.col("several").alias("b"), F.col("block").alias("with"))
     right = right.join(each.select("cluster", "block").distinct(), "cluster")
     pairs = left.join(right, ["cluster", "block", "with"])
-    return pairs.where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
+    first = F.col("a").isNull() | F.col("b").isNull() | (F.array_min(F.array_intersect("a", "b")) == F.col("cluster"))
+    return pairs.where((F.col(f"{key}_a") < F.col(f"{key}_b")) & first).select(f"{key}_a", f"{key}_b")
 
 
 def describe_clusters(clustered: DataFrame, values: DataFrame, key: str, text: str, typical: int = 3) -> DataFrame:
     """cluster, size and typical (the texts of the members nearest to the centroid, different ones, by cosine and text)."""
     said = clustered.join(values.select(key, F.col(text).alias("text")).distinct(), key)
+    said = said.withColumn("cosine", F.try_element_at("texts", F.col("text"))).where("cosine is not null")
     each = said.groupBy("cluster", "size", "text").agg(F.max("cosine").alias("cosine"), F.count("*").alias("n"))
     order = Window.partitionBy("cluster").orderBy(F.desc("cosine"), F.desc("n"), "text")
     top = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= typical)

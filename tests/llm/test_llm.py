@@ -404,6 +404,18 @@ def test_records_of_one_story_share_a_cluster(spark, tables):
     assert clusters.cluster_stories(df.where("k > 900"), "k", "t", tables[1]).count() == 0
 
 
+def test_a_record_with_several_complaints_has_all_of_them(spark, tables):
+    knee, hip = ["knee pain since monday after golf", "left knee ache since monday after golf"], ["hip out of joint today with fever", "dislocation of the hip today with fever"]
+    rows = [(1, knee[0]), (2, knee[1]), (3, hip[0]), (4, hip[1]), (5, knee[0]), (5, hip[1]), (6, knee[1]), (6, knee[0]), (6, hip[0]), (6, None), (5, hip[1])]
+    df = spark.createDataFrame(rows, "k long, t string")
+    found = clusters.cluster_stories(df, "k", "t", tables[1])
+    pairs = [(r["k_a"], r["k_b"]) for r in clusters.same_cluster_pairs(found, "k").collect()]
+    one, other = [1, 2, 5, 6], [3, 4, 5, 6]
+    assert sorted(pairs) == sorted({(a, b) for members in (one, other) for a in members for b in members if a < b})
+    told = {r["typical"][0].split()[-1]: (r["size"], sorted(r["typical"])) for r in clusters.describe_clusters(found, df, "k", "t").collect()}
+    assert told == {"golf": (4, sorted(knee)), "fever": (4, sorted(hip))}
+
+
 def test_words_meet_over_what_is_left_of_them(spark):
     words = {"during": 400, "surfing": 24, "surfnig": 1, "surffing": 1, "dring": 2, "knee": 50, "kene": 3, "knees": 2, "xq": 1, "dislocation": 5, "dilsocatoin": 1}
     counts = spark.createDataFrame(list(words.items()), "word string, n long")
